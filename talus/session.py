@@ -21,3 +21,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers started on this machine import the package from where the driver found it. On a cluster the
+    package is installed or shipped with --py-files instead."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
