@@ -7,9 +7,9 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "talus") -> SparkSession:
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "talus", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings the session."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +19,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", os.environ.get("TALUS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def share_package(spark: SparkSession) -> SparkSession:
