@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from talus.llm import op7_simhash as op7
 from talus.llm import op8_quality_rules as op8
+from talus.llm.storage import keep
 from talus.llm.tables import read
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = keep(op7.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)), "simhash")
+    text = F.lower(F.lpad(F.hex("simhash"), 16, "0"))
+    return op7.near_duplicates(marked).select("doc_id", text.alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return op8.judge(docs, op8.train(docs, read(spark, sf_dir, "labels")), drop=("text",))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {
+        "op7_simhash": op7_simhash,
+        "op8_quality_rules": op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (local tests) a temporary one, which is then set."""
+    """The folder named in spark.checkpoint.dir; where that is unset (local runs) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="talus-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _LOCAL.setdefault(app, _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="talus-"))
     return at.rstrip("/")
 
 
