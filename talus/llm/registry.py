@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from talus.llm import op2_substring_dedup as op2
 from talus.llm import op7_simhash as op7
 from talus.llm import op8_quality_rules as op8
 from talus.llm.storage import keep
 from talus.llm.tables import read
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = keep(op7.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)), "simhash")
     text = F.lower(F.lpad(F.hex("simhash"), 16, "0"))
@@ -27,6 +32,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op7_simhash": op7_simhash,
         "op8_quality_rules": op8_quality_rules,
     }
