@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from talus.llm import op10_decontaminate as op10
 from talus.llm import op2_substring_dedup as op2
 from talus.llm import op7_simhash as op7
 from talus.llm import op8_quality_rules as op8
@@ -30,11 +31,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.judge(docs, op8.train(docs, read(spark, sf_dir, "labels")), drop=("text",))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return op10.decontaminate(docs, read(spark, sf_dir, "benchmark"), drop=("text",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op7_simhash": op7_simhash,
         "op8_quality_rules": op8_quality_rules,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
