@@ -12,8 +12,10 @@ from talus.llm import op10_decontaminate as op10
 from talus.llm import op2_substring_dedup as op2
 from talus.llm import op7_simhash as op7
 from talus.llm import op8_quality_rules as op8
+from talus.llm import op9_sentencepiece as op9
 from talus.llm.storage import keep
 from talus.llm.tables import read
+from talus.llm.vocabulary import default_model
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.judge(docs, op8.train(docs, read(spark, sf_dir, "labels")), drop=("text",))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return op9.digest(docs, model_file or default_model(), drop=("text",))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return op10.decontaminate(docs, read(spark, sf_dir, "benchmark"), drop=("text",))
@@ -41,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op7_simhash": op7_simhash,
         "op8_quality_rules": op8_quality_rules,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_decontaminate": op10_decontaminate,
     }
 
