@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from talus.llm import op10_decontaminate as op10
 from talus.llm import op2_substring_dedup as op2
+from talus.llm import op5_token_counts as op5
+from talus.llm import op6_quality_classifier as op6
 from talus.llm import op7_simhash as op7
 from talus.llm import op8_quality_rules as op8
 from talus.llm import op9_sentencepiece as op9
@@ -22,6 +24,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return op5.count_tokens(docs, model_file or default_model(), drop=("text",))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    third = lambda doc_id: F.crc32(doc_id.cast("string").cast("binary")) % 3
+    rules = op6.fit(docs, read(spark, sf_dir, "labels"), where=lambda doc_id: third(doc_id) != 1)
+    scored = op6.classify(docs, rules, drop=("text",))
+    return scored.select("doc_id", F.coalesce(third(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = keep(op7.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)), "simhash")
     text = F.lower(F.lpad(F.hex("simhash"), 16, "0"))
@@ -46,6 +61,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op5_token_counts": op5_token_counts,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_simhash": op7_simhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_sentencepiece": op9_sentencepiece,
