@@ -74,6 +74,18 @@ def segments(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return first, last, grams[anchor], roll.of(first, last)
 
 
+def _copies(key: np.ndarray, ids: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which places have a key that stands at an earlier one: under a smaller id, or before it in the same row."""
+    known = np.zeros(len(key), bool)
+    if not len(key):
+        return known
+    order = np.lexsort((first, row, ids, key))
+    k, i, r, f = key[order], ids[order], row[order], first[order]
+    lead = np.maximum.accumulate(np.where(np.append(True, k[1:] != k[:-1]), np.arange(len(k)), 0))
+    known[order] = (i != i[lead]) | ((r == r[lead]) & (f != f[lead]))
+    return known
+
+
 _ROWS = "route long, anchor long, segment long, id long, first int, last int"
 
 
@@ -90,15 +102,7 @@ def _segments(length: int, gram: int):
             if not parts:
                 continue
             i, first, last, anchor, words, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((first, row, i, mix(anchor + mix(words))))
-            a, w, s = anchor[order], words[order], i[order]
-            copy = np.zeros(len(order), bool)
-            same = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
-            # a copy: the same segment stands before it with a smaller id, or earlier in the same row
-            lead = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0)) if len(order) else order
-            copy = (s != s[lead]) | ((row[order] == row[order][lead]) & (first[order] != first[order][lead]))
-            known = np.empty(len(order), bool)
-            known[order] = copy
+            known = _copies(mix(anchor + mix(words)), i, row, first)
             route = np.where(known, mix(i.view(np.uint64) + np.uint64(1)), anchor)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route.view(np.int64)), pa.array(anchor.view(np.int64), mask=known), pa.array(words.view(np.int64)), pa.array(i), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
@@ -177,32 +181,59 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
+_WORDS = "shard long, id long, first int, last int, words binary"
+
+
 def _words_of(length: int, wide: int):
-    """The words of spans that wait, from texts joined with their spans: (shard, id, first, words)."""
+    """The words of spans that wait, from texts joined with their spans. Spans of an anchor with more than wide segments are
+    parted into windows; windows that an earlier text of the block has are settled, and their runs have null words."""
+
+    def rows_of(block: Block, ids: np.ndarray, spans: pa.ListArray) -> pa.RecordBatch | None:
+        block.find_words().hash_words()
+        held = spans.slice(block.first, len(block))
+        flat = held.flatten()
+        doc = np.repeat(np.arange(len(block)), np.diff(held.offsets.to_numpy()))
+        first, last, anchor, variants = (flat.field(k).to_numpy() for k in range(4))
+        lo, hi = block.bounds[doc] + first, block.bounds[doc] + last
+        fit = hi <= block.bounds[doc + 1]  # else another row of this id is longer
+        few = fit & (variants <= wide)
+        lo, hi, shard, many = lo[few], hi[few], anchor[few], (fit & ~few)
+        gone_lo = gone_hi = np.zeros(0, np.int64)
+        if many.any():
+            a, n = (block.bounds[doc] + first)[many], (last - first)[many] - length + 1
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            key = block.roll().of(at, at + length)
+            known = _copies(key, ids[block.first + block.doc[at]], block.doc[at], at)
+            cover = covered_runs(len(block.starts), at[known], at[known] + length)
+            edge = np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))
+            cut = np.zeros(len(cover) + 1, bool)  # runs end with their texts
+            cut[block.bounds] = True
+            edge_lo = np.flatnonzero((edge[:-1] == 1) | (cut[:-1] & cover))
+            edge_hi = np.flatnonzero((edge[1:] == -1) | (cut[1:] & cover)) + 1
+            gone_lo, gone_hi = edge_lo, edge_hi
+            at, key = at[~known], key[~known]
+            lo, hi, shard = np.concatenate([lo, at]), np.concatenate([hi, at + length]), np.concatenate([shard, key.view(np.int64)])
+        if not len(lo) + len(gone_lo):
+            return None
+        a, b = block.starts[lo].tolist(), block.ends[hi - 1].tolist()
+        raw = block.data.tobytes()
+        words = [b" ".join(raw[x:y].split()) for x, y in zip(a, b, strict=True)] + [None] * len(gone_lo)
+        lo, hi = np.concatenate([lo, gone_lo]), np.concatenate([hi, gone_hi])
+        who = block.doc[lo]
+        shard = np.concatenate([shard, mix(gone_lo.astype(np.uint64)).view(np.int64)])
+        base = block.bounds[who]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard), pa.array(ids[block.first + who]), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32)), pa.array(words, pa.binary())],
+            names=["shard", "id", "first", "last", "words"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column(0), batch.column(2)
-            shard, who, start, text = [], [], [], []
-            for block in blocks(batch.column(1)):
-                block.find_words().hash_words()
-                roll = block.roll()
-                for k in range(len(block)):
-                    for span in spans[block.first + k].as_py() or ():
-                        first, last = block.bounds[k] + span["first"], block.bounds[k] + span["last"]
-                        if last > block.bounds[k + 1]:
-                            continue  # another row of this id is longer
-                        if span["variants"] <= wide:
-                            pieces = [(first, last, span["anchor"])]
-                        else:
-                            at = np.arange(first, last - length + 1)
-                            pieces = zip(at, at + length, mix(roll.of(at, at + length)).view(np.int64).tolist(), strict=True)
-                        for x, y, where in pieces:
-                            shard.append(where)
-                            who.append(ids[block.first + k].as_py())
-                            start.append(int(x - block.bounds[k]))
-                            text.append(b" ".join(block.data[block.starts[x] : block.ends[y - 1]].tobytes().split()))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(who, pa.int64()), pa.array(start, pa.int32()), pa.array(text, pa.binary())], names=["shard", "id", "first", "words"])
+            ids = numbers(batch.column(0))
+            for block in blocks(batch.column(1), 1 << 19):
+                out = rows_of(block, ids, batch.column(2))
+                if out is not None:
+                    yield out
 
     return run
 
@@ -274,7 +305,12 @@ def _match(length: int):
         shard, seen, alone, automaton = None, {}, None, None  # seen: the first place of each text; alone: the only one so far
         for batch in batches:
             who, first, last = [], [], []
-            for where, i, start, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for where, i, start, stop, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if text is None:
+                    who.append(i)
+                    first.append(start)
+                    last.append(stop)
+                    continue
                 if where != shard:
                     shard, seen, alone, automaton = where, {}, None, None
                 new, tokens = text not in seen, text.split()
@@ -339,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
     spans = keep(dealt.mapInArrow(_settle, _SPANS), "spans")
     waiting = spans.where("anchor is not null").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "variants")).alias("spans"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(waiting, "id")
-    words = texts.select("id", "text", "spans").mapInArrow(_words_of(length, wide), "shard long, id long, first int, words binary")
+    words = texts.select("id", "text", "spans").mapInArrow(_words_of(length, wide), _WORDS)
     matched = words.repartition("shard").sortWithinPartitions("shard", "id", "first").mapInArrow(_match(length), "id long, first int, last int")
     return spans.where("anchor is null").select("id", "first", "last").unionByName(matched)
 
