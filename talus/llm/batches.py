@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Compute = Callable[[pa.RecordBatch], list[pa.Array]]
@@ -32,3 +33,16 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], C
 
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
+
+
+def shield(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """df with all columns but the needed ones under neutral names, so that they clash with no name of an operator's own."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return df.select(*(F.col(q).alias(c if c in needed else f"_x{k}") for k, (c, q) in enumerate(zip(df.columns, quoted, strict=True))))
+
+
+def restore(out: DataFrame, df: DataFrame, needed: tuple[str, ...], added: tuple[str, ...] = (), gone: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of df under their names again, but those that are gone or that the added ones replace, then the added ones."""
+    new = {a.lower() for a in (*added, *gone)}
+    old = [F.col(c if c in needed else f"_x{k}").alias(c) for k, c in enumerate(df.columns) if c.lower() not in new]
+    return out.select(*old, *added)

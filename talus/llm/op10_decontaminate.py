@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.batches import add_columns, field
+from talus.llm.batches import add_columns, field, restore, shield
 from talus.llm.blocks import BYTE_CODES, Block, Rolling, blocks, mix, sums
 
 WINDOW = 10
@@ -196,6 +196,12 @@ def decontaminate(
     return out
 
 
+def filter_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with docs' columns."""
+    need = ("doc_id", "text")
+    return restore(decontaminate(shield(docs, need), benchmark).where("not contaminated"), docs, need)
+
+
 def _probe(held, window: int, literals: int, more: bool):
     """more: the columns exist from the block before, and its hits stay."""
 

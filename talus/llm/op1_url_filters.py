@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.llm.batches import restore, shield
 from talus.llm.components import connected_components
 from talus.llm.storage import keep
 
@@ -99,12 +100,12 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame,
     edges: (src, dst) alias keys, as page_edges() makes them."""
     groups = connected_components(edges)
     blocked_by = _blocked_aliases(edges, groups, rules, compiled)
-    judged = _judged(urls, "url", rules, compiled).withColumn("_key", alias_key(F.col("url")))
+    need, added = ("url",), ("host", "path", "rule", "verdict", "from_alias")
+    judged = _judged(shield(urls, need), "url", rules, compiled).withColumn("_key", alias_key(F.col("url")))
     judged = judged.join(blocked_by, F.col("_key") == F.col("_alias"), "left")
     by_alias = F.col("rule_verdict").isNull() & F.col("_alias").isNotNull()
     verdict = F.coalesce("rule_verdict", F.when(F.col("_alias").isNotNull(), F.lit("block")), F.lit("allow"))
-    kept = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict", "from_alias", "rule_verdict")]
-    return judged.select(*kept, "host", "path", "rule", verdict.alias("verdict"), by_alias.alias("from_alias"))
+    return restore(judged.withColumns({"verdict": verdict, "from_alias": by_alias}), urls, need, added)
 
 
 def _blocked_aliases(edges: DataFrame, groups: DataFrame, rules: list, compiled: int) -> DataFrame:

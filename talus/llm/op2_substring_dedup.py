@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.batches import add_columns, field
+from talus.llm.batches import add_columns, field, restore, shield
 from talus.llm.blocks import Block, blocks, covered_runs, mix, numbers
 from talus.llm.storage import keep
 
@@ -382,9 +382,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE, digest: bool = False) -> DataFrame:
     """docs with n_words, n_removed and the text of kept words, joined by single spaces; a text that loses nothing stays as
-    it is. With digest, kept_sha256 (of the kept words) takes the place of the text."""
+    it is. With digest, kept_sha256 (of the kept words) stands in for the text."""
     spans = repeated_spans(docs, length, gram, wide).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    joined = docs.join(spans, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_id"), "left").drop("_id")
+    need = ("doc_id", "text")
+    joined = shield(docs, need).join(spans, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_id"), "left").drop("_id")
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -398,4 +399,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
 
     fields = [field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256" if digest else "text", T.StringType())]
     out = add_columns(joined, fields, lambda: compute, drop=("_spans", "text") if digest else ("_spans",))
-    return out if digest else out.select(*docs.columns, *(c for c in ("n_words", "n_removed") if c not in docs.columns))
+    return restore(out, docs, need, ("n_words", "n_removed", "kept_sha256"), ("text",)) if digest else restore(out, docs, need, ("n_words", "n_removed"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.batches import add_columns, field
+from talus.llm.batches import add_columns, field, restore, shield
 from talus.llm.blocks import Block, blocks
 from talus.llm.components import connected_components
 from talus.llm.storage import keep
@@ -186,8 +186,8 @@ def near_duplicates(marked: DataFrame, hot: int = HOT) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays (with all rows that have both its
     id and its fingerprint: they are one document). Columns stay as they are."""
-    marked = fingerprints(docs.withColumnRenamed("simhash", "_simhash"))
-    small = keep(fingerprints(docs.select("doc_id", "text"), drop=("text",)), "simhash")
+    need = ("doc_id", "text")
+    small = keep(fingerprints(docs.select(*need), drop=("text",)), "simhash")
     stay = near_duplicates(small).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("simhash").alias("_print")).distinct()
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("simhash") == F.col("_print")), "left_semi")
-    return kept.drop("simhash").withColumnRenamed("_simhash", "simhash")
+    kept = fingerprints(shield(docs, need)).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("simhash") == F.col("_print")), "left_semi")
+    return restore(kept, docs, need)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.batches import add_columns, field
+from talus.llm.batches import add_columns, field, restore, shield
 from talus.llm.blocks import Block, blocks, mix, sums
 from talus.llm.textstats import BASE, base_counts
 
@@ -186,3 +186,9 @@ def judge(
 
     fields = [field(k, T.LongType()) for k in BASE] + [field("base_failed", T.BooleanType()), field("quality_p", T.DoubleType()), field("kept", T.BooleanType())]
     return add_columns(docs, fields, make, drop)
+
+
+def filter_documents(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns."""
+    need = ("doc_id", "text")
+    return restore(judge(shield(docs, need), model, keep_at).where("kept"), docs, need)

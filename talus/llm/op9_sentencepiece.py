@@ -264,7 +264,14 @@ def decode(rows: DataFrame, model_file: str, kind: str = "bpe") -> DataFrame:
 
     def make():
         encoder = _encoder(held.value, kind)
-        return lambda batch: [pa.array([None if x is None else encoder.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()], pa.string())]
+
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            column = batch.column("ids")
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            full = column.is_valid().to_numpy(zero_copy_only=False)
+            return [pa.array([encoder.decode(values[ends[k] : ends[k + 1]]) if full[k] else None for k in range(len(full))], pa.string())]
+
+        return compute
 
     return add_columns(rows, [field("text", T.StringType())], make)
 
