@@ -36,13 +36,13 @@ def test_query_equals_brute_force(spark):
     assert got == want
 
 
-def test_a_small_trie_and_long_words_change_nothing(spark):
+def test_a_small_store_and_long_words_change_nothing(spark):
     rng = random.Random(2)
     rows = [None, "", " \n", "x" * 5000, "é日😀  b", " ".join("".join(rng.choice("etahion") for _ in range(rng.randrange(1, 30))) for _ in range(300))]
     docs = table(spark, [(i, t, "n") for i, t in enumerate(rows)] + [(1, "", "m")], "doc_id long, text string, n_tokens string")
     want = sorted((i, sum(map(brute, words(t)))) for i, t in [*enumerate(rows), (1, "")])
-    for nodes, long in ((op5.MAX_NODES, 200), (40, 12)):
-        got = op5.count_tokens(docs, default_model(), nodes, long).collect()
+    for most, long in ((op5.MAX_WORDS, 1000), (40, 12)):
+        got = op5.count_tokens(docs, default_model(), most, long).collect()
         assert sorted((r.doc_id, r.n_tokens) for r in got) == want
 
 
