@@ -107,8 +107,10 @@ def fit_polynomial(df: DataFrame, x: str, y: str, max_order: int = 6, loss: str
         raise ValueError("there is no valid value to fit")
     centre, half = (ends["lo"] + ends["hi"]) / 2, max((ends["hi"] - ends["lo"]) / 2, 1e-12)
     t = (F.col(x) - centre) / half
+    df = df.select(x, y).dropna().persist()
     fits = [linear_fit(df, [F.pow(t, F.lit(k)) if k else F.lit(1.0) for k in range(order + 1)], F.col(y), robust) for order in range(1, max_order + 1)]
     cost = df.agg(*(LOSSES[loss](F.col(y), polynomial_1d(t, list(c))).alias(f"c{k}") for k, c in enumerate(fits))).first()
+    df.unpersist()
     k = best_order(list(cost), margin)
     scaled = np.polynomial.Polynomial(fits[k], domain=[centre - half, centre + half], window=[-1, 1])
     return [float(v) for v in scaled.convert().coef], k + 1

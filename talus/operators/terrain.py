@@ -7,7 +7,7 @@ import warnings
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import terrain as T
@@ -172,7 +172,7 @@ def texture_shading(df: DataFrame, alpha: float = 0.8) -> DataFrame:
 
     if not 0 <= alpha <= 2:
         raise ValueError("alpha must be between 0 and 2")
-    shaded = df.select("row", "col", "z").groupBy(F.lit(0)).applyInPandas(run, "row int, col int, texture_shading double")
+    shaded = df.select("row", "col", "z", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "row int, col int, texture_shading double")
     return shaded.withColumn("texture_shading", F.when(~F.isnan("texture_shading"), F.col("texture_shading")))
 
 
@@ -195,8 +195,14 @@ def mean_filter(df: DataFrame, size: int, shape: str = "circular") -> DataFrame:
     """row, col, mean of the valid cells in a kernel, n valid cells and kernel_size; a square or circular kernel."""
     r = size // 2
     if shape == "square":
-        win = separable(df.select("row", "col", "z"), r, {"total": (F.sum, "z")})
-        return win.select("row", "col", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("mean"), "n", F.lit(size * size).alias("kernel_size"))
+        # cells are spread along their rows first, so that a gap in the middle of a window hides nothing
+        along = F.explode(F.sequence(F.col("col") - r, F.col("col") + r))
+        lines = df.where("z is not null").select("row", along.alias("col"), "z").groupBy("row", "col").agg(F.sum("z").alias("s"), F.count("*").alias("k"))
+        down = Window.partitionBy("col").orderBy("row").rangeBetween(-r, r)
+        sums = lines.union(df.select("row", "col", F.lit(0.0), F.lit(0))).groupBy("row", "col").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+        win = sums.select("row", "col", F.sum("s").over(down).alias("s"), F.sum("k").over(down).alias("n"))
+        out = df.select("row", "col").join(win, ["row", "col"])
+        return out.select("row", "col", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean"), "n", F.lit(size * size).alias("kernel_size"))
     if shape != "circular":
         raise ValueError("the kernel is square or circular")
     centre = (size - 1) / 2

@@ -45,21 +45,23 @@ def separable(df: DataFrame, radius: int, aggregates: dict[str, tuple[Callable[[
 
 
 def halo_tiles(df: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], halo: int, out: list[str], size: int = 256, columns: tuple[str, ...] = ("z",)) -> DataFrame:
-    """row, col and the columns out of kernel(array), which gets tiles of size + 2 halo cells a side (missing cells are NaN)
+    """row, col and the columns out of kernel(array), which gets tiles of at most size + 4 halo cells a side (missing cells are NaN)
     and returns arrays of the same shape. Only cells of the table itself are returned. A tile is the unit of memory."""
     ends = lambda key: F.sequence(F.floor((F.col(key) - halo) / size), F.floor((F.col(key) + halo) / size))
     tiled = df.select("row", "col", *columns, F.explode(ends("row")).alias("tile_row")).select("*", F.explode(ends("col")).alias("tile_col"))
     schema = ", ".join(["row int", "col int", *(f"{c} double" for c in out)])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        side = size + 2 * halo
-        i, j = pdf["row"].to_numpy() - key[0] * size + halo, pdf["col"].to_numpy() - key[1] * size + halo
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        own = (row // size == key[0]) & (col // size == key[1])
+        # only the part that holds cells, with a rim of missing ones around it
+        i, j = row - row.min() + halo, col - col.min() + halo
+        shape = (int(i.max()) + halo + 1, int(j.max()) + halo + 1)
         arrays = []
         for c in columns:
-            a = np.full((side, side), np.nan)
+            a = np.full(shape, np.nan)
             a[i, j] = pdf[c].to_numpy(float)
             arrays.append(a)
-        own = (i >= halo) & (i < halo + size) & (j >= halo) & (j < halo + size)
         found = kernel(*arrays)
         return pd.DataFrame({"row": pdf["row"].to_numpy()[own], "col": pdf["col"].to_numpy()[own], **{c: found[c][i[own], j[own]] for c in out}})
 
