@@ -33,8 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids, the number of ids, and as text what the ids decode to."""
-    model = default_model()
-    return op9_sentencepiece.decode(op9_sentencepiece.encode(docs, model, drop=("text",)), model).withColumn("n_pieces", F.size("ids").cast("long"))
+    return op9_sentencepiece.encode(docs, default_model(), decoded=True).withColumn("n_pieces", F.size("ids").cast("long"))
 
 
 STAGES = [

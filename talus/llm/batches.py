@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +11,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows in an Arrow batch: whole texts travel in them, so fewer than Spark's default are held at a time.
+ROWS_A_BATCH = 3000
+_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded to ROWS_A_BATCH rows (a smaller setting stays)."""
+    now = int(df.sparkSession.conf.get(_CONF))
+    if now <= 0 or now > ROWS_A_BATCH:
+        df.sparkSession.conf.set(_CONF, str(ROWS_A_BATCH))
+    return df
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """run, with the memory that a task has freed given back to the system when the task ends. Spark reuses Python workers, and
+    without this each keeps the most it ever needed while later stages need theirs."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 Compute = Callable[[pa.RecordBatch], list[pa.Array]]
 
 
@@ -27,8 +62,9 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], C
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i, _ in old] + compute(batch), names=names)
+        del compute
 
-    return df.mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(tidy(run), schema)
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

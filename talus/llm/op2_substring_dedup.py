@@ -6,7 +6,7 @@ couldn't be broadcast. So the reference is sharded by content. Every window has
 is smallest (the leftmost of equals); equal windows have equal anchors in equal places. Consecutive windows with one anchor
 form a segment, and segments are dealt by anchor: whatever equals a window stands under its anchor.
 
-1. ``_segments`` reads each text once. In each Arrow batch all but the first holder of a segment are settled on the spot (an
+1. ``_segments`` reads each text once. Among some hundred thousand segments of a task all but the first holder of a segment are settled on the spot (an
    earlier document has all its windows), so of a passage that a third of all documents hold, few rows are shuffled.
 2. ``_settle`` reads rows sorted by anchor, segment and id as a stream. Later copies of a segment are removed; anchors with
    one segment need no more; the first copies of several different segments under one anchor are sent on with their words.
@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.batches import add_columns, field, restore, shield
+from talus.llm.batches import add_columns, bound_batches, field, restore, shield, tidy
 from talus.llm.blocks import Block, blocks, covered_runs, mix, numbers
 from talus.llm.storage import keep
 
 LENGTH = 20
 GRAM = 6
 WIDE = 2000
+_TOGETHER = 600_000  # segments among which copies are settled at once
 _NO_ID = np.iinfo(np.int64).min
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -92,22 +93,30 @@ _ROWS = "route long, anchor long, segment long, id long, first int, last int"
 def _segments(length: int, gram: int):
     """Rows of all segments: those already known to be copies have a null anchor, and a route of their own."""
 
+    def rows_of(parts: list[tuple]) -> pa.RecordBatch:
+        i, first, last, anchor, words, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        known = _copies(mix(anchor + mix(words)), i, row, first)
+        route = np.where(known, mix(i.view(np.uint64) + np.uint64(1)), anchor)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(route.view(np.int64)), pa.array(anchor.view(np.int64), mask=known), pa.array(words.view(np.int64)), pa.array(i), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
+            names=["route", "anchor", "segment", "id", "first", "last"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, rows = [], 0, 0
         for batch in batches:
-            ids, parts = numbers(batch.column(0)), []
+            ids = numbers(batch.column(0))
             for block in blocks(batch.column(1)):
                 first, last, anchor, words = segments(block, length, gram)
                 doc = block.doc[first] if len(first) else first
-                parts.append((ids[block.first + doc], first - block.bounds[doc], last - block.bounds[doc], anchor, words, block.first + doc))
-            if not parts:
-                continue
-            i, first, last, anchor, words, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-            known = _copies(mix(anchor + mix(words)), i, row, first)
-            route = np.where(known, mix(i.view(np.uint64) + np.uint64(1)), anchor)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(route.view(np.int64)), pa.array(anchor.view(np.int64), mask=known), pa.array(words.view(np.int64)), pa.array(i), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                names=["route", "anchor", "segment", "id", "first", "last"],
-            )
+                parts.append((ids[block.first + doc], first - block.bounds[doc], last - block.bounds[doc], anchor, words, rows + block.first + doc))
+                held += len(first)
+            rows += batch.num_rows
+            if held >= _TOGETHER:
+                yield rows_of(parts)
+                parts, held = [], 0
+        if parts:
+            yield rows_of(parts)
 
     return run
 
@@ -370,13 +379,13 @@ def _cut(batch: pa.RecordBatch, text_at: int, spans_at: int) -> list[pa.Array]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
     """(id, first, last): words of documents (doc_id, text) that some earlier window covers. Spans may overlap; a missing id
     is the smallest long."""
-    rows = docs.select("doc_id", "text").mapInArrow(_segments(length, gram), _ROWS)
+    rows = bound_batches(docs.select("doc_id", "text")).mapInArrow(tidy(_segments(length, gram)), _ROWS)
     dealt = rows.repartition("route").drop("route").sortWithinPartitions("anchor", "segment", "id", "first")
-    spans = keep(dealt.mapInArrow(_settle, _SPANS), "spans")
+    spans = keep(dealt.mapInArrow(tidy(_settle), _SPANS), "spans")
     waiting = spans.where("anchor is not null").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "variants")).alias("spans"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(waiting, "id")
-    words = texts.select("id", "text", "spans").mapInArrow(_words_of(length, wide), _WORDS)
-    matched = words.repartition("shard").sortWithinPartitions("shard", "id", "first").mapInArrow(_match(length), "id long, first int, last int")
+    words = texts.select("id", "text", "spans").mapInArrow(tidy(_words_of(length, wide)), _WORDS)
+    matched = words.repartition("shard").sortWithinPartitions("shard", "id", "first").mapInArrow(tidy(_match(length)), "id long, first int, last int")
     return spans.where("anchor is null").select("id", "first", "last").unionByName(matched)
 
 

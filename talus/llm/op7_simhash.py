@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.batches import add_columns, field, restore, shield
+from talus.llm.batches import add_columns, field, restore, shield, tidy
 from talus.llm.blocks import Block, blocks
 from talus.llm.components import connected_components
 from talus.llm.storage import keep
@@ -170,7 +170,7 @@ def link(prints: DataFrame, hot: int = HOT) -> DataFrame:
         marked = rows.join(crowded.withColumn("split", F.lit(True)), "key", "left")
         places = [F.col("key").bitwiseOR(F.lit((k + 1) << 34).cast("long")).bitwiseOR(F.shiftleft(_other_byte(k), 40)) for k in range(4)]
         routed = marked.select(F.explode(F.when(F.col("split"), F.array(*places)).otherwise(F.array("key"))).alias("route"), "simhash", "own")
-    return routed.repartition("route").sortWithinPartitions("route").mapInArrow(_verify, "src long, dst long")
+    return routed.repartition("route").sortWithinPartitions("route").mapInArrow(tidy(_verify), "src long, dst long")
 
 
 def near_duplicates(marked: DataFrame, hot: int = HOT) -> DataFrame:

@@ -12,7 +12,7 @@ The ids equal those of the SentencePiece library for models without a normaliser
 
 Decoding joins pieces, turns marks into spaces and drops the leading space, so it returns each text, but that a mark in the
 text itself comes back as a space. Null texts have null ids and null texts have null decodings; empty texts have no ids. Ids
-outside the vocabulary are an error. Parts once encoded are kept in a bounded table of the worker.
+outside the vocabulary are an error. Parts once encoded are kept in a bounded table of the task.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from talus.llm.vocabulary import MARK, Vocabulary, load
 
 _PARTS = re.compile("\n| *[^ \n]+| +")
 _SLICE = 1 << 19
-_KEPT = 400_000
+_KEPT = 200_000
 _LONG = 1000
 _END = 0xFE
 _NONE, _START, _NEVER = -3, -2, float("inf")
@@ -194,7 +194,7 @@ class Encoder:
         split = [_PARTS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.done) > _KEPT:
             self.done.clear()
-        if len(self.pairs) > 4 * _KEPT:
+        if len(self.pairs) > 2 * _KEPT:
             self.pairs.clear()
         missing, size = [], 0
         done = self.done
@@ -223,15 +223,17 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_KNOWN: dict[tuple, tuple[dict, dict]] = {}
 
 
 def _encoder(vocabulary: Vocabulary, kind: str) -> Encoder:
-    key = (hash(vocabulary.pieces), kind)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary, kind)
-    return _ENCODERS[key]
+    """An encoder for a task; what is known about pairs of pieces (a bounded table) is shared by the tasks of a worker."""
+    encoder, key = Encoder(vocabulary, kind), (hash(vocabulary.pieces), kind)
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = encoder.pairs, encoder.spines
+    encoder.pairs, encoder.spines = _KNOWN[key]
+    return encoder
 
 
 def _in_slices(column: pa.Array, rows: int = 500):
@@ -239,8 +241,8 @@ def _in_slices(column: pa.Array, rows: int = 500):
         yield column.slice(k, rows).to_pylist()
 
 
-def encode(docs: DataFrame, model_file: str, kind: str = "bpe", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with ids (an array of integers)."""
+def encode(docs: DataFrame, model_file: str, kind: str = "bpe", drop: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """docs with ids (an array of integers); with decoded, text becomes what the ids decode to, as decode() would make it."""
     held = docs.sparkSession.sparkContext.broadcast(load(model_file))
 
     def make():
@@ -251,11 +253,15 @@ def encode(docs: DataFrame, model_file: str, kind: str = "bpe", drop: tuple[str,
             values = np.frombuffer(b"".join(r for r in raw if r), "<i4")
             offsets = np.concatenate([[0], np.cumsum([len(r or b"") // 4 for r in raw])]).astype(np.int32)
             null = np.array([r is None for r in raw])
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(null))]
+            out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(null))]
+            if decoded:
+                out.append(pa.array([None if r is None else encoder.decode(np.frombuffer(r, "<i4")) for r in raw], pa.string()))
+            return out
 
         return compute
 
-    return add_columns(docs, [field("ids", T.ArrayType(T.IntegerType()))], make, drop)
+    fields = [field("ids", T.ArrayType(T.IntegerType()))] + ([field("text", T.StringType())] if decoded else [])
+    return add_columns(docs, fields, make, drop)
 
 
 def decode(rows: DataFrame, model_file: str, kind: str = "bpe") -> DataFrame:
