@@ -82,7 +82,7 @@ G = "(zx * zx + zy * zy)"
 TURN = repr(2 * math.pi)
 _ASPECT = f"(-atan2(-zx, zy) - floor(-atan2(-zx, zy) / {TURN}) * {TURN})"
 _MEAN = "(-((1 + zy * zy) * zxx - 2 * zx * zy * zxy + (1 + zx * zx) * zyy) / (2 * sqrt(power(1 + {g}, 3))))".format(g=G)
-_SPREAD = "sqrt(greatest(0.0, {h} * {h} - power((zxx * zyy - zxy * zxy) / power(1 + {g}, 2), 2)))".format(h=_MEAN, g=G)
+_SPREAD = "sqrt(greatest(0.0, {h} * {h} - (zxx * zyy - zxy * zxy) / power(1 + {g}, 2)))".format(h=_MEAN, g=G)
 
 
 def surface(name: str, degrees: bool = True, method: str = "geometric", azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> str:

@@ -129,6 +129,7 @@ class NuthKaab(Method):
         width = 2 * math.pi / self.bins
         sampled = prepare(ref, inlier, self.subsample, self.seed).withColumn("tan", tan).where("tan > 1e-9")
         sampled = sampled.withColumn("asp", around - F.floor(around / (2 * math.pi)) * (2 * math.pi)).persist()
+        tba = tba.select("row", "col", "z").persist()  # both are met again in every iteration
         east = north = up = 0.0
         steps = 0
         try:
@@ -151,6 +152,7 @@ class NuthKaab(Method):
             up = float(final["m"]) if final else up
         finally:
             sampled.unpersist()
+            tba.unpersist()
         shift = (east * grid.resolution, north * grid.resolution, up if self.vertical else 0.0)
         return Fit(resample.matrix(*shift), report={"shift_x": shift[0], "shift_y": shift[1], "shift_z": shift[2], "iterations": steps})
 
@@ -164,13 +166,14 @@ class DhMinimize(Method):
     tolerance: float = 1e-3
 
     def fit(self, ref, tba, grid, inlier=None) -> Fit:
-        sampled = prepare(ref, inlier, self.subsample, self.seed).persist()
+        sampled, tba = prepare(ref, inlier, self.subsample, self.seed).persist(), tba.select("row", "col", "z").persist()
         loss = self.loss or (lambda dh: float(nmad(dh, "dh").first()["nmad"]))
         try:
             best, cost = nelder_mead(lambda v: loss(_dh(sampled, tba, v[0], v[1])), np.zeros(2), 1.0, self.tolerance)
             up = float(quantiles(_dh(sampled, tba, *best), [], "dh", {"m": 0.5}).first()["m"])
         finally:
             sampled.unpersist()
+            tba.unpersist()
         shift = (float(best[0]) * grid.resolution, float(best[1]) * grid.resolution, up)
         return Fit(resample.matrix(*shift), report={"shift_x": shift[0], "shift_y": shift[1], "shift_z": up, "loss": cost})
 

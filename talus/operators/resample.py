@@ -26,11 +26,13 @@ def interp(points: DataFrame, raster: DataFrame, columns: dict[str, str], prow:
         fr, fc = r - r0, c - c0
         corners = [(r0, c0, (1 - fr) * (1 - fc)), (r0, c0 + 1, (1 - fr) * fc), (r0 + 1, c0, fr * (1 - fc)), (r0 + 1, c0 + 1, fr * fc)]
     around = F.array(*(F.struct(a.cast("int").alias("row"), b.cast("int").alias("col"), w.alias("w")) for a, b, w in corners))
-    needed = points.select("pid", F.explode(F.filter(around, lambda k: k["w"] > 0)).alias("k")).select("pid", "k.*")
-    cells = raster.select(*KEY, *(F.col(v).alias(f"_v{k}") for k, v in enumerate(columns.values())))
-    met = needed.join(cells, KEY, "left")
-    sums = [F.when(F.count(f"_v{k}") == F.count("*"), F.sum(F.col("w") * F.col(f"_v{k}"))).alias(name) for k, name in enumerate(columns)]
-    return points.join(met.groupBy("pid").agg(*sums), "pid", "left")
+    # each point goes once to its corners and comes back with their sums, other columns with it
+    needed = points.select("*", F.explode_outer(F.filter(around, lambda k: k["w"] > 0)).alias("_k"))
+    cells = raster.select(F.col("row").alias("_row"), F.col("col").alias("_col"), *(F.col(v).alias(f"_v{k}") for k, v in enumerate(columns.values())))
+    met = needed.join(cells, (F.col("_k.row") == F.col("_row")) & (F.col("_k.col") == F.col("_col")), "left")
+    own = [F.first(c).alias(c) for c in points.columns if c != "pid"]
+    sums = [F.when(F.count(f"_v{k}") == F.count("*"), F.sum(F.col("_k.w") * F.col(f"_v{k}"))).alias(name) for k, name in enumerate(columns)]
+    return met.groupBy("pid").agg(*own, *sums)
 
 
 def shift(df: DataFrame, rows: float, cols: float) -> DataFrame:

@@ -41,7 +41,7 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, probs: dict[str, fl
         low, high = at(F.floor(h)), at(F.ceil(h))
         part = F.max(h - F.floor(h))
         out.append((low + (high - low) * part).alias(name))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *out)
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *out).where("n is not null")
 
 
 def _with_group(df: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame:
