@@ -138,7 +138,7 @@ def fill_local_hypsometric(df: DataFrame, n_bins: int = 20, min_coverage: float
     stats = df.where("zone > 0 and z is not null").groupBy("zone").agg(F.min("z").alias("lo"), F.max("z").alias("hi"), F.avg(F.when(F.col("dh").isNotNull(), 1.0).otherwise(0.0)).alias("share"))
     cells = df.join(stats.where(F.col("share") >= min_coverage), "zone", "left")
     width = F.greatest((F.col("hi") - F.col("lo")) / n_bins, F.lit(1e-9))
-    cells = cells.withColumn("_w", width).withColumn("bin", F.least(F.lit(n_bins - 1), F.floor((F.col("z") - F.col("lo")) / F.col("_w")).cast("int")))
+    cells = cells.withColumn("_w", width).withColumn("bin", F.when(F.col("lo").isNotNull() & F.col("z").isNotNull(), F.least(F.lit(n_bins - 1), F.floor((F.col("z") - F.col("lo")) / F.col("_w")).cast("int"))))
     medians = quantiles(cells.where("dh is not null and bin is not null"), ["zone", "bin"], "dh", {"m": 0.5}).where(F.col("n") >= count_threshold)
     curves = medians.groupBy("zone").agg(F.sort_array(F.collect_list(F.struct("bin", "m"))).alias("_curve"))  # at most n_bins a zone
     met = cells.join(curves, "zone", "left")
@@ -177,6 +177,7 @@ def fill_regional(df: DataFrame, signal: DataFrame | None = None, n_bins: int =
     usable = stats.where((F.col("share") >= min_coverage) & (F.col("hi") > F.col("lo")) & ((F.col("khi") - F.col("klo")) >= min_range * (F.col("hi") - F.col("lo"))))
     cells = df.join(usable.select("zone", "lo", "hi"), "zone", "left")
     index = F.least(F.lit(n_bins - 1), F.floor((F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_bins).cast("int"))
+    index = F.when(F.col("lo").isNotNull() & F.col("z").isNotNull(), index)
     cells = cells.withColumn("bin", index).join(F.broadcast(signal.select("bin", "w_mean")), "bin", "left")
     s = F.col("w_mean")
     sums = cells.where("dh is not null and w_mean is not null").groupBy("zone").agg(

@@ -109,7 +109,8 @@ def bin_index(x: Column, edges: Sequence[float]) -> Column:
     steps = np.diff(e)
     if len(e) > 2 and np.allclose(steps, steps[0], rtol=1e-12, atol=0):
         raw = F.floor((x - e[0]) / float(steps[0])).cast("int")
-        index = F.when(x < e[0], None).when(x > e[-1], None).otherwise(F.least(F.lit(len(e) - 2), F.greatest(F.lit(0), raw)))
+        # least() and greatest() pass over nulls, so the range is asked first
+        index = F.when((x >= e[0]) & (x <= e[-1]), F.least(F.lit(len(e) - 2), F.greatest(F.lit(0), raw)))
         # rounding may put values next to an edge into the bin beside it: the edges decide
         low = F.element_at(F.array(*map(F.lit, e)), index + 1)
         high = F.element_at(F.array(*map(F.lit, e)), index + 2)

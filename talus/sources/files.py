@@ -45,7 +45,7 @@ def _ascii(spark: SparkSession, path: str, grid: Grid) -> tuple[DataFrame, Grid]
     """An ASCII grid: six lines of heading, then rows of numbers. Lines are numbered by Spark's text reader, whose files hold
     one raster; only the heading comes to the driver."""
     lines = spark.read.text(path, wholetext=True)
-    text = lines.select(F.split(F.trim("value"), r"\s*\n\s*").alias("lines"))
+    text = lines.select(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s*\n\s*").alias("lines"))
     head = {k.lower(): float(v) for k, v in (line.split()[:2] for line in text.select(F.slice("lines", 1, 6).alias("h")).first()["h"])}
     size, nrows = head["cellsize"], int(head["nrows"])
     west = head.get("xllcorner", head.get("xllcenter", 0.0) - size / 2)
