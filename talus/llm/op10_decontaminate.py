@@ -1,13 +1,17 @@
 """Benchmark decontamination with templates.
 
 Words lose everything but letters and digits, and case; words of which nothing is left are no tokens. Then numbers, names
-(words with an ASCII capital that don't start a sentence) and units become typed slots. A document is contaminated where a
+(words with a capital that don't start a sentence) and units become typed slots. A document is contaminated where a
 window of ``window`` tokens has the template of a window of some benchmark item, and the slots are consistent: over the
 tokens that the two share at one alignment, equal values of the item stand for equal values of the document and different
 ones for different ones. So a question with other numbers and names is caught, and one that mixes them up isn't. A window
 in which fewer than ``literals`` tokens are no slots says too little; it counts only if all its slot values are equal too.
 A second index holds the plain tokens, for copies whose case was changed.
 
+A third index holds a looser template, for items that the first two miss: there capitalised words are names at the start of
+a sentence too, unless they are function words (``OPENERS``); words are parted at hyphens and between digits and letters
+(5kg, twenty-five); and a run of names or of numbers without punctuation in it is one slot, however many words it has.
+
 Items shorter than a window count with their whole length; items of fewer than five tokens only where they are the whole
 document. Null or empty texts and items match nothing; the same item twice counts once. Rows that repeat an id are judged
 one by one. The index is broadcast in blocks of at most ``block`` windows: a larger benchmark takes several scans.
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus.llm.batches import add_columns, field, restore, shield
-from talus.llm.blocks import BYTE_CODES, Block, Rolling, blocks, mix, sums
+from talus.llm.blocks import BYTE_CODES, SPACE, Block, Rolling, blocks, mix, sums
 
 WINDOW = 10
 LITERALS = 5
@@ -43,8 +47,20 @@ zero one two three four five six seven eight nine ten eleven twelve thirteen fou
 nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
 """.split()
 
+# Words that open sentences as what they are, not as names; and titles, whose full stop ends no name.
+OPENERS = """
+a about after all also although an and another any are as at because before both but by can could did do does during each
+either every everyone few find first for from give given had has have he her here his how however i if in is it its last
+let many more most much my neither next no not now of on once one only or our she should since so some such suppose than
+that the their then there these they this those though to today tomorrow under until was we were what when where which
+while who whom whose why will with would yes yesterday yet you your
+""".split()
+TITLES = "mr mrs ms miss dr prof professor st sir lady".split()
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Code points of the basic plane that are capitals.
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[0x80:] = True
 _STOP = np.zeros(256, bool)
@@ -61,16 +77,25 @@ def _hash_list(words: list[str]) -> np.ndarray:
 
 
 _UNITS, _NUMBERS = _hash_list(UNITS), _hash_list(NUMBERS)
+_OPENERS, _TITLES = _hash_list(OPENERS), _hash_list(TITLES)
 
 
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+def _capitals(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the code points (of UTF-8 data) that begin at these places are capitals."""
+    x, y, z = (np.append(data, [0, 0, 0])[at + k].astype(np.int64) for k in range(3))
+    two, three = ((x & 31) << 6) | (y & 63), ((x & 15) << 12) | ((y & 63) << 6) | (z & 63)
+    return _CAPITAL[np.where(x < 0x80, x, np.where(x < 0xE0, two, np.where(x < 0xF0, three, 0)))]
+
+
 class Tokens:
-    """Tokens of a block: values (hashes of folded words), kinds (0 literal, 1 number, 2 unit, 3 name), codes, doc, bounds."""
+    """Tokens of a block: values (hashes of folded words), kinds (0 literal, 1 number, 2 unit, 3 name), codes, doc, bounds;
+    with ``loose`` those of the looser template."""
 
-    def __init__(self, block: Block):
+    def __init__(self, block: Block, loose: bool = False):
         block.find_words()
         use = _LETTER[block.data]
         place = np.zeros(len(block.data) + 1, np.int64)
@@ -78,9 +103,6 @@ class Tokens:
         a, b = place[block.starts], place[block.ends]
         full = b > a
         plain = block.data[use]
-        first = np.zeros(len(a), np.uint8)
-        first[full] = plain[a[full]]
-        capital = (first >= 65) & (first <= 90)
         opens = np.ones(len(a), bool)  # starts a sentence
         if len(a) > 1:
             feeds = np.zeros(len(block.data) + 1, np.int64)
@@ -88,16 +110,52 @@ class Tokens:
             opens[1:] = _STOP[block.data[block.ends[:-1] - 1]] | (feeds[block.starts[1:]] > feeds[block.ends[:-1]])
             opens[1:] |= block.doc[1:] != block.doc[:-1]
         a, b = a[full], b[full]
-        self.doc = block.doc[full]
-        self.bounds = np.searchsorted(self.doc, np.arange(len(block) + 1))
-        self.values = Rolling(BYTE_CODES[_FOLD[plain]], _BASE).of(a, b)
-        digits = sums((plain >= 48) & (plain <= 57), np.append(a, b[-1:])) if len(a) else a
+        self.doc, opens = block.doc[full], opens[full]
+        rolling = Rolling(BYTE_CODES[_FOLD[plain]], _BASE)
+        digit = (plain >= 48) & (plain <= 57)
+        if loose and len(a):
+            a, b, opens = self._part(block, use, digit, a, opens)
+        self.values = rolling.of(a, b)
+        digits = sums(digit, np.append(a, b[-1:])) if len(a) else a
         number = (digits == b - a) | _among(self.values, _NUMBERS)
         unit = _among(self.values, _UNITS)
-        name = capital[full] & ~opens[full]
+        name = _capitals(plain, a) & ~(opens & _among(self.values, _OPENERS) if loose else opens)
         self.kinds = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.int8)
+        if loose and len(a):
+            self._join(block, use, rolling, a, b)
+        self.bounds = np.searchsorted(self.doc, np.arange(len(block) + 1))
         self.codes = np.where(self.kinds > 0, _SLOTS[np.maximum(self.kinds, 1) - 1], self.values)
 
+    def _part(self, block: Block, use: np.ndarray, digit: np.ndarray, a: np.ndarray, opens: np.ndarray) -> tuple:
+        """Starts, ends and opens of the parts of words between hyphens, digits and letters; doc follows."""
+        before = np.append(np.uint8(32), block.data)[np.flatnonzero(use)]  # the byte before each that is used
+        cut = before == 45
+        cut[1:] |= digit[1:] != digit[:-1]
+        word = np.zeros(len(cut), bool)
+        word[a] = True
+        starts = np.flatnonzero(cut | word)
+        of = np.cumsum(word)[starts] - 1
+        self.doc = self.doc[of]
+        return starts, np.append(starts[1:], len(cut)), opens[of] & word[starts]
+
+    def _join(self, block: Block, use: np.ndarray, rolling: Rolling, a: np.ndarray, b: np.ndarray) -> None:
+        """Runs of names or numbers become one token: what lies between two of them is white space or hyphens alone, or the
+        full stop of a title or initial."""
+        raw = np.flatnonzero(use)
+        marks = np.zeros(len(block.data) + 1, np.int64)
+        np.cumsum(~use & ~SPACE[block.data] & (block.data != 45), out=marks[1:])
+        feeds = np.zeros(len(block.data) + 1, np.int64)
+        np.cumsum(block.data == 10, out=feeds[1:])
+        end, begin = raw[b[:-1] - 1] + 1, raw[a[1:]]
+        short = _among(self.values[:-1], _TITLES) | (b[:-1] - a[:-1] == 1)
+        stop = (block.data[np.minimum(end, len(block.data) - 1)] == 46) & (marks[begin] - marks[end] == 1)
+        clear = (marks[begin] == marks[end]) | (stop & short & (self.kinds[:-1] == 3))
+        same = (self.kinds[1:] == self.kinds[:-1]) & np.isin(self.kinds[1:], (1, 3)) & (self.doc[1:] == self.doc[:-1])
+        first = np.flatnonzero(np.append(True, ~(same & clear & (feeds[begin] == feeds[end]))))
+        last = np.append(first[1:], len(a)) - 1
+        self.values = rolling.of(a[first], b[last])
+        self.kinds, self.doc = self.kinds[first], self.doc[first]
+
     def windows(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens and hashes of the windows of n tokens of one text."""
         at = np.arange(len(self.doc))
@@ -108,17 +166,17 @@ class Tokens:
 class Index:
     """The windows of some benchmark items, by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
+    def __init__(self, items: list[tuple[int, str]], window: int, loose: bool = False):
         self.ids = [i for i, _ in items]
         (block,) = list(blocks(pa.array([t for _, t in items], pa.string()), limit=1 << 62)) or [None]
-        t = Tokens(block)
+        t = Tokens(block, loose)
         self.parts = [slice(t.bounds[k], t.bounds[k + 1]) for k in range(len(items))]
         self.codes, self.values, self.kinds = t.codes, t.values, t.kinds
         lengths = np.diff(t.bounds)
         self.tables: dict[tuple[int, bool], tuple] = {}
         for n in sorted({*np.minimum(lengths, window).tolist()} - {0}):
             of = lengths >= window if n == window else lengths == n
-            for plain in (False, True):
+            for plain in (False,) if loose else (False, True):
                 at, h = t.windows(t.values if plain else t.codes, n)
                 mine = of[t.doc[at]]
                 at, h = at[mine], h[mine]
@@ -174,6 +232,16 @@ def _hits(t: Tokens, index: Index, window: int, literals: int, docs: int) -> lis
     return found
 
 
+def _both(block: Block, held: tuple[Index, Index], window: int, literals: int) -> list[dict[int, list[int]]]:
+    """The items that the typed template and the plain tokens find, and those that only the looser template does."""
+    exact, loose = held
+    found = _hits(Tokens(block), exact, window, literals, len(block))
+    for mine, more in zip(found, _hits(Tokens(block, True), loose, window, literals, len(block)), strict=True):
+        for item, seen in more.items():
+            mine.setdefault(item, seen)
+    return found
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, block: int = BLOCK, drop: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -191,7 +259,8 @@ def decontaminate(
     out = docs
     for p in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
-        held = spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in rows), key=str), window) if rows else None)
+        texts = sorted(((r.item_id, r.text) for r in rows), key=str)
+        held = spark.sparkContext.broadcast((Index(texts, window), Index(texts, window, True)) if rows else None)
         out = add_columns(out, fields, _probe(held, window, literals, p > 0), drop if p == parts - 1 else ())
     return out
 
@@ -206,12 +275,12 @@ def _probe(held, window: int, literals: int, more: bool):
     """more: the columns exist from the block before, and its hits stay."""
 
     def make():
-        index = held.value
+        both = held.value
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             found: list[dict[int, list[int]]] = []
             for block in blocks(batch.column("text")):
-                found += _hits(Tokens(block), index, window, literals, len(block)) if index else [{}] * len(block)
+                found += _both(block, both, window, literals) if both else [{}] * len(block)
             ids, n, other = ([sorted(x, key=lambda v: (v is None, v or 0)) for x in found], [sum(v[0] for v in x.values()) for x in found], [any(v[1] for v in x.values()) for x in found])
             if more:
                 ids = [sorted({*a, *b}, key=lambda v: (v is None, v or 0)) for a, b in zip(ids, batch.column("item_ids").to_pylist(), strict=True)]

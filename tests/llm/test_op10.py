@@ -43,6 +43,26 @@ def test_slots(spark):
     assert got[4] == (False, [], False)
 
 
+def test_names_at_starts_of_sentences_accents_runs_and_joined_units(spark):
+    items = [
+        (1, "Tom has 3 cats. Sue has 4 dogs. Who has more?"),
+        (2, "When Anna drove from Berlin to Rome with 5kg of apples, she lost 2 of them on the way."),
+        (3, "The shop of Peter sold 30 red lamps on a day and 12 more the day after."),
+        (4, "Every day Mary walks from home to school and meets her friends at noon."),
+    ]
+    texts = [
+        "Bob has 5 cats. Ann has 9 dogs. Who has more?",
+        "When \u00c9lodie drove from \u00c5rhus to New York with 7 kg of apples, she lost 4 of them on the way.",
+        "The shop of Mr. Carl Smith sold twenty-five red lamps on a day and 3 hundred more the day after.",
+        "Every day \u1ea4n walks from home to school and meets her friends at noon.",
+        "Bob has 5 cats. Bob has 9 dogs. Who has more?",
+        "Bob had 5 cats. Ann sold 9 dogs. Who paid more?",
+    ]
+    want = [(True, [1], True), (True, [2], True), (True, [3], True), (True, [4], True), (False, [], False), (False, [], False)]
+    assert verdicts(spark, texts, items) == want
+    assert verdicts(spark, texts, items, block=20) == want
+
+
 def test_short_items_nulls_empty_and_blocks(spark):
     items = [(1, ITEM), (2, "what is the capital city of france"), (3, "yes no"), (4, None), (5, ""), (1, ITEM), (None, "")]
     texts = [None, "", "yes no", "well yes no", "so what is the capital city of France then", ITEM + " x" * 20000]
