@@ -240,19 +240,60 @@ def _spread(located: DataFrame) -> float:
     return float(max(s[0] or 0.0, s[1] or 0.0, 1e-6))
 
 
-def nearest(points: DataFrame, others: DataFrame, cell: float, reach: int = 1) -> DataFrame:
-    """Each point (pid, x, y, z) with the nearest of others (oid, ox, oy, oz, ...) in three dimensions, among those at most
-    ``reach`` cells away in plan: an equi-join on the cell of a plane grid, and the least distance by point."""
+def nearest(points: DataFrame, others: DataFrame, cell: float, reach: int | None = None) -> DataFrame:
+    """Each point (pid, x, y, z) with the nearest of others (oid, ox, oy, oz, ...) in three dimensions, however far, ties by oid.
+
+    An equi-join on the 3 x 3 cells of a plane grid around a point settles all that find a partner within one cell's width,
+    and the others descend a tree of boxes. With ``reach`` only others at most so many cells away in plan are asked, and a
+    point without any there is left out."""
+    others = others.where("ox is not null and oy is not null and oz is not null")
     boxed = others.withColumns({"bi": F.floor(F.col("ox") / cell), "bj": F.floor(F.col("oy") / cell)})
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))))
+    r = 1 if reach is None else reach
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-r, r + 1) for j in range(-r, r + 1))))
     spread = points.select("*", around.alias("o")).withColumns({"bi": F.floor(F.col("x") / cell) + F.col("o.i"), "bj": F.floor(F.col("y") / cell) + F.col("o.j")}).drop("o")
-    met = spread.join(boxed, ["bi", "bj"])
+    near = _least(spread, boxed)
+    if reach is not None:
+        return near
+    # whatever lies outside the 3 x 3 cells is farther than one cell in plan
+    near = near.where(F.col("d2") <= float(cell) ** 2)
+    return near.unionByName(_descend(points.join(near.select("pid"), "pid", "left_anti"), boxed, cell))
+
+
+def _least(spread: DataFrame, boxed: DataFrame) -> DataFrame:
+    """Of the pairs that meet in a cell the nearest by point, with d2."""
     d2 = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2) + F.pow(F.col("z") - F.col("oz"), 2)
-    rest = [c for c in others.columns]
-    best = met.withColumn("d2", d2).groupBy("pid").agg(F.min_by(F.struct("x", "y", "z", *rest, "d2"), F.struct("d2", "oid")).alias("b"))
+    rest = [c for c in boxed.columns if c not in ("bi", "bj")]
+    best = spread.join(boxed, ["bi", "bj"]).withColumn("d2", d2).groupBy("pid").agg(F.min_by(F.struct("x", "y", "z", *rest, "d2"), F.struct("d2", "oid")).alias("b"))
     return best.select("pid", "b.*")
 
 
+def _descend(points: DataFrame, boxed: DataFrame, cell: float) -> DataFrame:
+    """The nearest of others by branch and bound: from boxes over all of them to cells, each level halves the boxes, and a
+    point goes on with those that are no farther than the farthest corner of some box."""
+    e = boxed.agg(F.min("bi"), F.max("bi"), F.min("bj"), F.max("bj")).first()
+    if e[0] is None:
+        return _least(points.withColumns({"bi": F.lit(0).cast("long"), "bj": F.lit(0).cast("long")}), boxed)
+    top = max(1, e[1] - e[0], e[3] - e[2]).bit_length()
+    ends = [f(c).alias(f"{n}{c}") for c in ("ox", "oy", "oz") for f, n in ((F.min, "lo_"), (F.max, "hi_"))]
+    cells = boxed.groupBy("bi", "bj").agg(*ends)
+    pairs = None
+    for k in range(top, -1, -1):
+        up = [F.floor((F.col(c) - low) / (1 << k)).alias(c) for c, low in (("bi", e[0]), ("bj", e[2]))]
+        merged = [f(f"{n}{c}").alias(f"{n}{c}") for c in ("ox", "oy", "oz") for f, n in ((F.min, "lo_"), (F.max, "hi_"))]
+        boxes = cells.select(*up, *(f"{n}{c}" for c in ("ox", "oy", "oz") for n in ("lo_", "hi_"))).groupBy("bi", "bj").agg(*merged)
+        if pairs is None:
+            met = points.crossJoin(F.broadcast(boxes))  # one box
+        else:
+            parts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+            met = pairs.select("*", parts.alias("o")).withColumns({"bi": F.col("bi") * 2 + F.col("o.i"), "bj": F.col("bj") * 2 + F.col("o.j")}).drop("o").join(boxes, ["bi", "bj"])
+        least = sum((F.pow(F.greatest(F.col(f"lo_{o}") - F.col(c), F.col(c) - F.col(f"hi_{o}"), F.lit(0.0)), 2) for c, o in (("x", "ox"), ("y", "oy"), ("z", "oz"))), F.lit(0.0))
+        most = sum((F.pow(F.greatest(F.col(c) - F.col(f"lo_{o}"), F.col(f"hi_{o}") - F.col(c)), 2) for c, o in (("x", "ox"), ("y", "oy"), ("z", "oz"))), F.lit(0.0))
+        bounded = met.select(*points.columns, "bi", "bj", least.alias("_least"), most.alias("_most"))
+        bounded = bounded.withColumn("_bound", F.min("_most").over(Window.partitionBy("pid")))
+        pairs = bounded.where("_least <= _bound").select(*points.columns, "bi", "bj")
+    return _least(pairs.withColumns({"bi": F.col("bi") + e[0], "bj": F.col("bj") + e[2]}), boxed)
+
+
 @dataclass
 class ICP(Method):
     """Iterative closest points: each moved point is paired with the nearest of the reference, and a rigid step follows from

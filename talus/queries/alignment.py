@@ -138,7 +138,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = tables.points(spark, sf)
     others = p.where("pid % 2 = 1").select(F.col("pid").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    return align.nearest(p.where("pid % 2 = 0"), others, 20.0).select("pid", "oid", *r6("d2"))
+    return align.nearest(p.where("pid % 2 = 0"), others, 20.0, reach=1).select("pid", "oid", *r6("d2"))
 
 
 _DERAMP_CELLS = f"WITH p AS ({PAIR}), d AS (SELECT row, col, z_tba, z_ref - z_tba AS dh FROM p)"

@@ -39,6 +39,19 @@ def test_icp_and_cpd(spark):
     assert align.ICP(only_translation=True).fit(ref, tba, GRID).translations[:2] == pytest.approx((3.0, -2.0), abs=0.6)
 
 
+def test_nearest_is_nearest_however_far(spark):
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.uniform(0, 40, (60, 3)), [[500.0, -300.0, 0.0], [20.0, 20.0, 400.0], [3.0, 3.0, -90.0]]])
+    b = np.concatenate([rng.uniform(0, 40, (80, 3)) * [1, 1, 5], [[-700.0, 90.0, 3.0], [900.0, 900.0, 1.0], [20.0, 80.0, 399.0]]])
+    points = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(a)], "pid long, x double, y double, z double")
+    others = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(b)] + [(-1, 3.0, 3.0, None)], "oid long, ox double, oy double, oz double")
+    got = {r.pid: r.oid for r in align.nearest(points, others, 2.0).collect()}
+    want = np.argmin(((a[:, None] - b[None]) ** 2).sum(axis=2), axis=1)
+    assert got == dict(enumerate(want.tolist()))
+    assert len(align.nearest(points, others, 2.0, reach=1).collect()) < len(got)
+    assert align.nearest(points, others.limit(0), 2.0).count() == 0
+
+
 def test_rotations_are_recovered(spark):
     ref = from_array(spark, hills())
     m = resample.matrix(2.0, -1.0, 1.0, 0.3, -0.2, 0.5)
