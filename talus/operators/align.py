@@ -196,7 +196,7 @@ class LZD(Method):
     six parameters follow from normal equations with its gradients."""
 
     only_translation: bool = False
-    max_iterations: int = 20
+    max_iterations: int = 200
     tolerance: float = 0.01
     subsample: float = 5e5
 

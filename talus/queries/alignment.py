@@ -102,33 +102,33 @@ def _(spark, sf):
 
 @query("nuth_kaab")
 def _(spark, sf):
-    return _fit_row(spark, align.NuthKaab(subsample=20_000).fit(*moved_pair(spark, sf), GRID))
+    return _fit_row(spark, align.NuthKaab().fit(*moved_pair(spark, sf), GRID))
 
 
 @query("dh_minimize")
 def _(spark, sf):
-    return _fit_row(spark, align.DhMinimize(subsample=5_000, tolerance=0.05).fit(*moved_pair(spark, sf), GRID))
+    return _fit_row(spark, align.DhMinimize().fit(*moved_pair(spark, sf), GRID))
 
 
 @query("lzd")
 def _(spark, sf):
-    return _fit_row(spark, align.LZD(subsample=20_000, only_translation=True, max_iterations=8).fit(*moved_pair(spark, sf), GRID))
+    return _fit_row(spark, align.LZD().fit(*moved_pair(spark, sf), GRID))
 
 
 @query("icp")
 def _(spark, sf):
-    return _fit_row(spark, align.ICP(subsample=5_000, only_translation=True, max_iterations=6).fit(*moved_pair(spark, sf, 0.3, -0.2), GRID))
+    return _fit_row(spark, align.ICP().fit(*moved_pair(spark, sf, 0.3, -0.2), GRID))
 
 
 @query("cpd")
 def _(spark, sf):
-    return _fit_row(spark, align.CPD(subsample=800, only_translation=True, max_iterations=20).fit(*moved_pair(spark, sf, 0.3, -0.2), GRID))
+    return _fit_row(spark, align.CPD().fit(*moved_pair(spark, sf, 0.3, -0.2), GRID))
 
 
 @query("pipeline_vshift_nk")
 def _(spark, sf):
     ref, tba = moved_pair(spark, sf)
-    steps = align.VerticalShift() + align.NuthKaab(subsample=20_000, max_iterations=4)
+    steps = align.VerticalShift() + align.NuthKaab()
     aligned, _fit = steps.fit_and_apply(ref, tba, GRID)
     b = aligned.select("row", "col", F.col("z").alias("b"))
     return ref.join(b, ["row", "col"]).agg(F.count("b").alias("n"), F.round(F.stddev_pop(F.col("z") - F.col("b")), 3).alias("std"))

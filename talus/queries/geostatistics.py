@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from talus.grid import Grid
-from talus.operators import geostat, masks, vertical
+from talus.operators import geostat, vertical
 from talus.queries.statistics import r6
 from talus.queries.surfaces import DENSE, PAIR, POINTS, SPARSE
 from talus.sources import tables
@@ -176,7 +176,7 @@ def _(spark, sf):
     with_sigma, _bins, f = heteroscedasticity(d, "dh", {"z_ref": [0.0, 25.0, 35.0, 45.0, 55.0, 110.0]}, 30, stable=F.col("row") % 5 == 0)
     z, _factor = two_step_standardization(with_sigma.where("row % 5 = 0"), "dh", F.col("sigma"))
     p = z.where("z is not null").select(F.struct("row", "col").alias("pid"), F.col("col").cast("double").alias("x"), (-F.col("row")).cast("double").alias("y"), "z")
-    v = geostat.variogram(masks.sample(p, 400, keys=["pid"]), geostat.lag_edges(2.0, 90.0), "dowd", 400).toPandas()
+    v = geostat.variogram(p, geostat.lag_edges(2.0, 90.0), "dowd").toPandas()
     models = geostat.fit_models(["gaussian", "spherical"], v)
     zones = with_sigma.select((F.col("row") % 5).alias("zone"), "sigma")
     return geostat.propagate(zones, models, 1.0).select("zone", F.round("mean_sigma", 4).alias("mean_sigma"), "area", F.round("n_eff", 2).alias("n_eff"))

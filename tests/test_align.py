@@ -52,6 +52,23 @@ def test_nearest_is_nearest_however_far(spark):
     assert align.nearest(points, others.limit(0), 2.0).count() == 0
 
 
+@pytest.mark.parametrize(("query", "method"), [("nuth_kaab", align.NuthKaab), ("dh_minimize", align.DhMinimize), ("lzd", align.LZD), ("icp", align.ICP), ("cpd", align.CPD), ("pipeline_vshift_nk", align.NuthKaab)])
+def test_registered_fits_use_the_defaults(spark, monkeypatch, query, method):
+    from talus.queries import alignment
+
+    class Asked(Exception):
+        pass
+
+    def fit(self, *args):
+        raise Asked(self)
+
+    monkeypatch.setattr(method, "fit", fit)
+    with pytest.raises(Asked) as asked:
+        alignment.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert asked.value.args[0] == method()
+    assert align.LZD().max_iterations == 200
+
+
 def test_rotations_are_recovered(spark):
     ref = from_array(spark, hills())
     m = resample.matrix(2.0, -1.0, 1.0, 0.3, -0.2, 0.5)
