@@ -23,6 +23,9 @@ from talus.operators.fitting import gram
 from talus.operators.masks import include, sample
 from talus.operators.stats import nmad, quantiles
 
+#: Points in a sample of coherent point drift at most.
+MOST = 20_000
+
 
 def gradients(df: DataFrame) -> DataFrame:
     """row, col, z, gx (eastward) and gn (northward) by cell: central differences, one-sided at gaps and edges."""
@@ -359,7 +362,7 @@ class ICP(Method):
 @dataclass
 class CPD(Method):
     """Coherent point drift: soft pairs between two point sets, a rigid step and a variance from their moments. The method is
-    quadratic in its sample, which is bounded (5 000 points by default), so it runs on the driver in blocks of arrays."""
+    quadratic in its sample (5 000 points by default; above MOST it raises), so it runs on the driver in blocks of arrays."""
 
     weight: float = 0.0
     only_translation: bool = False
@@ -398,8 +401,12 @@ class CPD(Method):
         return Fit(m, tuple(map(float, middle)), {"iterations": steps, "sigma2": sigma2})
 
     def _points(self, df: DataFrame, grid: Grid) -> np.ndarray:
-        pts = resample.to_points(df, grid, min(self.subsample, 20_000) if self.subsample > 1 else self.subsample, self.seed).orderBy("pid")
-        return np.array([(r.x, r.y, r.z) for r in pts.collect()], float).reshape(-1, 3)
+        if self.subsample > MOST:
+            raise ValueError(f"the method is quadratic in its sample and takes at most {MOST} points")
+        pts = resample.to_points(df, grid, self.subsample, self.seed).orderBy("pid").limit(MOST + 1).collect()
+        if len(pts) > MOST:
+            raise ValueError(f"the method is quadratic in its sample and takes at most {MOST} points: ask for a smaller subsample")
+        return np.array([(r.x, r.y, r.z) for r in pts], float).reshape(-1, 3)
 
     def _expect(self, x, moved, sigma2, n, m):
         px, p1, pt = np.zeros_like(moved), np.zeros(m), np.zeros(n)

@@ -69,6 +69,15 @@ def test_registered_fits_use_the_defaults(spark, monkeypatch, query, method):
     assert align.LZD().max_iterations == 200
 
 
+def test_cpd_raises_above_its_bound(spark, monkeypatch):
+    ref, tba = pair(spark, 0.3, -0.2)
+    with pytest.raises(ValueError, match="at most 20000"):
+        align.CPD(subsample=50_000).fit(ref, tba, GRID)
+    monkeypatch.setattr(align, "MOST", 1000)
+    with pytest.raises(ValueError, match="at most 1000"):
+        align.CPD(subsample=1).fit(ref, tba, GRID)
+
+
 def test_rotations_are_recovered(spark):
     ref = from_array(spark, hills())
     m = resample.matrix(2.0, -1.0, 1.0, 0.3, -0.2, 0.5)
