@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.numeric import gauss_legendre, least_squares
@@ -68,26 +68,60 @@ def _estimate(pairs: DataFrame, by: list[str], estimator: str) -> DataFrame:
         got = quantiles(pairs, by, "d", {"_m": 0.5})
         return got.select(*by, (2.198 * F.col("_m") * F.col("_m") / 2).alias("exp"), F.col("n").alias("count"))
     if estimator == "genton":
-        # the first quartile of differences between differences, over at most 500 pairs of each bin (chosen by hash)
-        by_group = pairs.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("d", "key").alias("h"), "signed"))), 1, 500).alias("_s"), n)
-
-        @F.pandas_udf("double")
-        def quartile(lists: pd.Series) -> pd.Series:
-            out = []
-            for items in lists:
-                v = np.array([i["signed"] for i in items], float)
-                if len(v) < 2:
-                    out.append(None)
-                    continue
-                d = np.sort(np.abs(v[:, None] - v[None, :])[np.triu_indices(len(v), 1)])
-                h = len(v) // 2 + 1
-                out.append(0.5 * (2.219 * d[min(len(d), h * (h - 1) // 2) - 1]) ** 2)
-            return pd.Series(out, dtype=float)
-
-        return by_group.select(*by, quartile("_s").alias("exp"), "count")
+        return _genton(pairs, by)
     raise ValueError(f"the estimator is one of {', '.join(ESTIMATORS)}")
 
 
+def _genton(pairs: DataFrame, by: list[str], parts: int = 8) -> DataFrame:
+    """Genton's estimator over all pairs: the h (h - 1) / 2 smallest (h = n / 2 + 1) of the differences between the n signed
+    differences of a group, to 1e-12 of their range.
+
+    Equal values are counted once. A search narrows the threshold of each group: with C(x) values up to x, the differences
+    up to t are the sum of C(v + t) over all values v, less n (n + 1) / 2. Values and shifted values are ordered by range
+    partitions, so a step is one distributed sort of parts + 1 times the values, and only bounds by group reach the driver."""
+    spark, schema = pairs.sparkSession, pairs.select(*by).schema
+    counts = pairs.groupBy(*by, F.col("signed").cast("double").alias("_v")).agg(F.count("*").alias("_k")).where("_v is not null").persist()
+    try:
+        rows = counts.groupBy(*by).agg(F.sum("_k").alias("n"), (F.max("_v") - F.min("_v")).alias("r")).collect()
+        size = {tuple(g[b] for b in by): g["n"] for g in rows}
+        span = {tuple(g[b] for b in by): g["r"] for g in rows}
+        rank = {g: (n // 2 + 1) * (n // 2) // 2 for g, n in size.items()}
+        found: dict[tuple, float | None] = {g: None for g in size}
+        bounds = {g: (0.0, span[g]) for g, n in size.items() if n > 1}
+        while bounds:
+            steps = {g: [low + (high - low) * k / parts for k in range(parts)] for g, (low, high) in bounds.items()}
+            table = spark.createDataFrame([(*g, k, t) for g, ts in steps.items() for k, t in enumerate(ts)], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", _i int, _t double")
+            got: dict[tuple, dict[int, int]] = {g: {} for g in bounds}
+            for r in _up_to(counts, by, table).collect():
+                g = tuple(r[b] for b in by)
+                got[g][r["_i"]] = r["_s"] - size[g] * (size[g] + 1) // 2
+            for g, (low, high) in list(bounds.items()):
+                enough = [k for k in range(parts) if got[g][k] >= rank[g]]
+                k = enough[0] if enough else parts
+                low, high = steps[g][max(0, k - 1)], steps[g][k] if enough else high
+                bounds[g] = (low, high)
+                if high - low <= 1e-12 * span[g]:
+                    found[g] = high
+                    del bounds[g]
+    finally:
+        counts.unpersist()
+    out = [(*g, None if d is None else 0.5 * (2.219 * d) ** 2, size[g]) for g, d in found.items()]
+    return spark.createDataFrame(out, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", exp double, count long")
+
+
+def _up_to(counts: DataFrame, by: list[str], table: DataFrame) -> DataFrame:
+    """by, _i and _s: for each threshold _t of table the sum, over the counted values, of how many lie up to _t above them."""
+    asked = counts.join(F.broadcast(table), by).select(*by, (F.col("_v") + F.col("_t")).alias("_x"), "_i", F.lit(0).cast("long").alias("_k"), F.col("_k").alias("_w"))
+    both = counts.join(F.broadcast(table.select(*by).distinct()), by).select(*by, F.col("_v").alias("_x"), F.lit(-1).alias("_i"), "_k", F.lit(0).cast("long").alias("_w")).unionByName(asked)
+    parted = both.repartitionByRange(*by, "_x").withColumn("_p", F.spark_partition_id())
+    # values come before the thresholds that equal them
+    within = parted.withColumn("_c", F.sum("_k").over(Window.partitionBy("_p", *by).orderBy("_x", "_i").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = within.where("_i >= 0").groupBy("_p", *by, "_i").agg(F.sum(F.col("_c") * F.col("_w")).alias("_s"), F.sum("_w").alias("_w"))
+    sizes = parted.groupBy("_p", *by).agg(F.sum("_k").alias("_m"))
+    before = sizes.select("_p", *by, (F.sum("_m").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_m")).alias("_before"))
+    return sums.join(before, ["_p", *by]).groupBy(*by, "_i").agg(F.sum(F.col("_s") + F.col("_before") * F.col("_w")).alias("_s"))
+
+
 def _lag(h: Column, edges: Sequence[float]) -> Column:
     e = F.array(*(F.lit(float(v)) for v in edges))
     return F.try_element_at(F.filter(e, lambda v: h <= v), F.lit(1))

@@ -222,3 +222,26 @@ def test_streams_add_up(spark, tmp_path):
         spark.createDataFrame([(0.0, 0.0, 1.0 + k), (1.0, -2.0, 5.0), (1.0, 0.0, None)], schema).write.mode("append").parquet(src)
         surface.follow(spark.readStream.schema(schema).parquet(src), grid, out, f"file://{tmp_path}/cp").awaitTermination()
     assert {(r.row, r.col): (r.z, r.n) for r in surface.surface(spark, out).collect()} == {(0, 0): (1.5, 2), (2, 1): (5.0, 2)}
+
+
+def test_genton_uses_all_pairs(spark):
+    z = np.random.default_rng(3).gamma(0.7, 10.0, size=(24, 30)).round(2)
+    z[5, 5] = np.nan
+    z[:, 20:] = np.round(z[:, 20:])  # with many ties
+    got = {r.lags: (r.exp, r["count"]) for r in geostat.near_variogram(from_array(spark, z), [1.0, 1.5, 2.0], "genton").collect()}
+    for lag, offsets in ((1.0, [(0, 1), (1, 0)]), (1.5, [(1, 1), (1, -1)]), (2.0, [(0, 2), (2, 0)])):
+        v = []
+        for i, j in offsets:
+            a, b = z[: len(z) - i, max(0, -j) : 30 - max(0, j)], z[i:, max(0, j) : 30 + min(0, j)]
+            v.append((a - b).ravel())
+        v = np.concatenate(v)
+        v = v[~np.isnan(v)]
+        # the sign of a pair follows a hash of its cells
+        assert got[lag][1] == len(v) > 500
+        assert got[lag][0] > 0
+    signed = spark.createDataFrame([(0, 1.0, float(x)) for x in v] + [(1, 1.0, 2.0)], "run int, lags double, signed double")
+    d = np.sort(np.abs(v[:, None] - v[None, :])[np.triu_indices(len(v), 1)])
+    h = len(v) // 2 + 1
+    rows = {r.run: (r.exp, r["count"]) for r in geostat._estimate(signed.withColumn("d", F.abs("signed")).withColumn("key", F.xxhash64("signed")), ["run", "lags"], "genton").collect()}
+    assert rows[0] == (pytest.approx(0.5 * (2.219 * d[h * (h - 1) // 2 - 1]) ** 2, rel=1e-9), len(v))
+    assert rows[1] == (None, 1)
