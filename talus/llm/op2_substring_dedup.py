@@ -16,8 +16,9 @@ form a segment, and segments are dealt by anchor: whatever equals a window stand
    than ``wide`` segments are dealt on by the windows' hashes, so that no shard grows without bound; equal windows still meet.
 4. ``_cut`` joins the spans with the texts by id.
 
-Nulls and empty texts have no words. Rows that repeat an id are one document read at the same places: they never make each
-other's windows earlier. Rows without an id come before all others. Words are kept unchanged.
+Nulls and empty texts have no words. Rows that repeat an id and its text are one document: they never make each other's
+windows earlier. Where texts under one id differ they are documents of their own, in order of a hash of the text, and all ids
+are replaced by numbers that keep this order. Rows without an id come before all others, and are told apart likewise. Words are kept unchanged.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -389,12 +390,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
     return spans.where("anchor is null").select("id", "first", "last").unionByName(matched)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _number, which orders documents and is equal only in rows with the same doc_id and text."""
+    known = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(_NO_ID)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    if known.groupBy("_key").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b")).where("a < b").isEmpty():
+        return known.withColumn("_number", F.col("_key")).drop("_key", "_hash")
+    parted = known.select("_key", "_hash").distinct().repartitionByRange("_key", "_hash").withColumn("_part", F.spark_partition_id())
+    placed = keep(parted.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy("_key", "_hash"))), "places")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbers_of = placed.join(F.broadcast(before), "_part").select("_key", "_hash", (F.col("_before") + F.col("_place")).alias("_number"))
+    return known.join(numbers_of, ["_key", "_hash"]).drop("_key", "_hash")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE, digest: bool = False) -> DataFrame:
     """docs with n_words, n_removed and the text of kept words, joined by single spaces; a text that loses nothing stays as
     it is. With digest, kept_sha256 (of the kept words) stands in for the text."""
-    spans = repeated_spans(docs, length, gram, wide).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     need = ("doc_id", "text")
-    joined = shield(docs, need).join(spans, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_id"), "left").drop("_id")
+    numbered = _numbered(shield(docs, need))
+    spans = repeated_spans(numbered.select(F.col("_number").alias("doc_id"), "text"), length, gram, wide).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    joined = numbered.join(spans, F.col("_number") == F.col("_id"), "left").drop("_id", "_number")
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:

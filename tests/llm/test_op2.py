@@ -75,6 +75,18 @@ def test_nulls_empty_repeats_and_clashing_columns(spark):
     assert found == {(1, None, 0), (2, "", 0), (3, long, 0), (None, "a b", 0), (4, "y", 5000), (5, " a\tb ", 0)}
 
 
+def test_texts_that_share_an_id_or_have_none_are_documents_of_their_own(spark):
+    rng = random.Random(9)
+    make = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage, a, b, c, d = make(30), make(40), make(40), make(40), make(90)
+    rows = [(None, f"{passage} {a}"), (None, f"{b} {passage}"), (None, d), (7, f"{c} {passage}"), (7, d[: len(d) // 2] + " end"), (8, f"{a} new"), (9, f"{make(50)}"), (9, f"{make(50)}")]
+    got = {r.text for r in op2.remove_repeats(table(spark, rows, "doc_id long, text string").repartition(3)).collect()}
+    kept = [t for t in got if passage in t]
+    assert len(kept) == 1 and kept[0] in (rows[0][1], rows[1][1])  # one of the rows without an id keeps the passage
+    assert got >= {d, rows[6][1], rows[7][1]}  # no clean word goes
+    assert {a, b} & got and c in got and "new" in got
+
+
 def test_empty_table(spark):
     assert op2.remove_repeats(table(spark, [], "doc_id long, text string"), digest=True).count() == 0
 
