@@ -20,6 +20,7 @@ one by one. The index is broadcast in blocks of at most ``block`` windows: a lar
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus.llm.batches import add_columns, field, restore, shield
-from talus.llm.blocks import BYTE_CODES, SPACE, Block, Rolling, blocks, mix, sums
+from talus.llm.blocks import SPACE, Block, blocks, hash_slices, hash_windows, mix, sums
 
 WINDOW = 10
 LITERALS = 5
@@ -65,15 +66,13 @@ _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[0x80:] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:")] = True
-_BASE = 0x9E3779B97F4A7C15
-_WINDOW_BASE = 0xD1342543DE82EF95
 _SLOTS = mix(np.array([11, 12, 13], np.uint64))  # number, unit, name
 
 
 def _hash_list(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w) for w in words])
-    return np.sort(Rolling(BYTE_CODES[data], _BASE).of(ends - [len(w) for w in words], ends))
+    return np.sort(hash_slices(data, ends - [len(w) for w in words], ends))
 
 
 _UNITS, _NUMBERS = _hash_list(UNITS), _hash_list(NUMBERS)
@@ -111,18 +110,18 @@ class Tokens:
             opens[1:] |= block.doc[1:] != block.doc[:-1]
         a, b = a[full], b[full]
         self.doc, opens = block.doc[full], opens[full]
-        rolling = Rolling(BYTE_CODES[_FOLD[plain]], _BASE)
+        self.folded = _FOLD[plain]
         digit = (plain >= 48) & (plain <= 57)
         if loose and len(a):
             a, b, opens = self._part(block, use, digit, a, opens)
-        self.values = rolling.of(a, b)
+        self.values, self.starts, self.ends = hash_slices(self.folded, a, b), a, b
         digits = sums(digit, np.append(a, b[-1:])) if len(a) else a
         number = (digits == b - a) | _among(self.values, _NUMBERS)
         unit = _among(self.values, _UNITS)
         name = _capitals(plain, a) & ~(opens & _among(self.values, _OPENERS) if loose else opens)
         self.kinds = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.int8)
         if loose and len(a):
-            self._join(block, use, rolling, a, b)
+            self._join(block, use, a, b)
         self.bounds = np.searchsorted(self.doc, np.arange(len(block) + 1))
         self.codes = np.where(self.kinds > 0, _SLOTS[np.maximum(self.kinds, 1) - 1], self.values)
 
@@ -138,7 +137,7 @@ class Tokens:
         self.doc = self.doc[of]
         return starts, np.append(starts[1:], len(cut)), opens[of] & word[starts]
 
-    def _join(self, block: Block, use: np.ndarray, rolling: Rolling, a: np.ndarray, b: np.ndarray) -> None:
+    def _join(self, block: Block, use: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """Runs of names or numbers become one token: what lies between two of them is white space or hyphens alone, or the
         full stop of a title or initial."""
         raw = np.flatnonzero(use)
@@ -153,14 +152,19 @@ class Tokens:
         same = (self.kinds[1:] == self.kinds[:-1]) & np.isin(self.kinds[1:], (1, 3)) & (self.doc[1:] == self.doc[:-1])
         first = np.flatnonzero(np.append(True, ~(same & clear & (feeds[begin] == feeds[end]))))
         last = np.append(first[1:], len(a)) - 1
-        self.values = rolling.of(a[first], b[last])
+        self.starts, self.ends = a[first], b[last]
+        self.values = hash_slices(self.folded, self.starts, self.ends)
         self.kinds, self.doc = self.kinds[first], self.doc[first]
 
     def windows(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens and hashes of the windows of n tokens of one text."""
         at = np.arange(len(self.doc))
         at = at[at + n <= self.bounds[self.doc + 1]] if len(at) else at
-        return at, Rolling(codes, _WINDOW_BASE).of(at, at + n)
+        return at, hash_windows(codes, n)[at]
+
+    def words(self, at: Iterable[int]) -> list[bytes]:
+        """The folded bytes of tokens."""
+        return [self.folded[self.starts[k] : self.ends[k]].tobytes() for k in at]
 
 
 class Index:
@@ -171,7 +175,7 @@ class Index:
         (block,) = list(blocks(pa.array([t for _, t in items], pa.string()), limit=1 << 62)) or [None]
         t = Tokens(block, loose)
         self.parts = [slice(t.bounds[k], t.bounds[k + 1]) for k in range(len(items))]
-        self.codes, self.values, self.kinds = t.codes, t.values, t.kinds
+        self.kinds, self.words = t.kinds, t.words(range(len(t.doc)))
         lengths = np.diff(t.bounds)
         self.tables: dict[tuple[int, bool], tuple] = {}
         for n in sorted({*np.minimum(lengths, window).tolist()} - {0}):
@@ -187,18 +191,18 @@ class Index:
         self.doc = t.doc
 
 
-def _consistent(kinds: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> bool:
-    """Whether slots map one to one."""
-    pairs = set(zip(kinds.tolist(), theirs.tolist(), ours.tolist(), strict=True))
+def _consistent(slots: list[tuple[int, bytes, bytes]]) -> bool:
+    """Whether slots (kind, theirs, ours) map one to one."""
+    pairs = set(slots)
     return len(pairs) == len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs})
 
 
 def _hits(t: Tokens, index: Index, window: int, literals: int, docs: int) -> list[dict[int, list[int]]]:
-    """For each text the items that it contains: number of windows, and whether some slot value differs."""
+    """For each text the items that it contains: number of windows, and whether some slot value differs. Hashes nominate
+    windows; the bytes of their tokens decide."""
     aligned: dict[tuple, dict[int, bool]] = defaultdict(dict)
     for (n, plain), (hashes, places, mark) in index.tables.items():
-        codes, theirs = (t.values, index.values) if plain else (t.codes, index.codes)
-        at, h = t.windows(codes, n)
+        at, h = t.windows(t.values if plain else t.codes, n)
         met = mark[(h >> np.uint64(46)).astype(np.int64)]
         at, h = at[met], h[met]
         lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
@@ -206,14 +210,17 @@ def _hits(t: Tokens, index: Index, window: int, literals: int, docs: int) -> lis
             a = int(at[k])
             if n < _SHORT and t.bounds[t.doc[a] + 1] - t.bounds[t.doc[a]] != n:
                 continue
+            ours, kinds = t.words(range(a, a + n)), t.kinds[a : a + n]
             for b in places[lo[k] : hi[k]].tolist():
-                if np.array_equal(codes[a : a + n], theirs[b : b + n]):
+                slots = np.zeros(n, bool) if plain else (kinds > 0) & (kinds == index.kinds[b : b + n])
+                if all(slot or x == y for slot, x, y in zip(slots.tolist(), ours, index.words[b : b + n], strict=True)):
                     aligned[int(t.doc[a]), int(index.doc[b]), a - b, n][a] = plain
     found: list[dict[int, list[int]]] = [{} for _ in range(docs)]
 
     def sound(tokens: np.ndarray, shift: int) -> bool:
         slots = tokens[(index.kinds[tokens - shift] > 0) & (t.kinds[tokens] > 0)]
-        return _consistent(index.kinds[slots - shift], t.values[slots], index.values[slots - shift])
+        theirs = [index.words[k] for k in (slots - shift).tolist()]
+        return _consistent(list(zip(index.kinds[slots - shift].tolist(), theirs, t.words(slots.tolist()), strict=True)))
 
     for (doc, item, shift, n), starts in aligned.items():
         tokens = np.unique(np.concatenate([np.arange(a, a + n) for a in starts]))
@@ -221,7 +228,7 @@ def _hits(t: Tokens, index: Index, window: int, literals: int, docs: int) -> lis
         good, other = 0, False
         for a, plain in starts.items():
             own = np.arange(a, a + n)
-            equal = plain or bool((t.values[own] == index.values[own - shift]).all())
+            equal = plain or t.words(range(a, a + n)) == index.words[a - shift : a - shift + n]
             enough = int((index.kinds[own - shift] == 0).sum()) >= min(literals, n)
             if equal or (enough and whole):
                 good, other = good + 1, other or not equal

@@ -6,14 +6,16 @@ couldn't be broadcast. So the reference is sharded by content. Every window has
 is smallest (the leftmost of equals); equal windows have equal anchors in equal places. Consecutive windows with one anchor
 form a segment, and segments are dealt by anchor: whatever equals a window stands under its anchor.
 
-1. ``_segments`` reads each text once. Among some hundred thousand segments of a task all but the first holder of a segment are settled on the spot (an
-   earlier document has all its windows), so of a passage that a third of all documents hold, few rows are shuffled.
-2. ``_settle`` reads rows sorted by anchor, segment and id as a stream. Later copies of a segment are removed; anchors with
-   one segment need no more; the first copies of several different segments under one anchor are sent on with their words.
+1. ``_segments`` reads each text once. Among some hundred thousand segments of a task all but the first holder of a segment
+   are settled on the spot, after their bytes have been compared (an earlier document has all its windows), so of a passage
+   that a third of all documents hold, few rows are shuffled.
+2. Rows are counted by anchor. Anchors with one row need no more; all rows of the others are sent on with their words. Hashes
+   only bring rows together here: nothing is removed by them.
 3. ``_match`` has one suffix automaton for an anchor's segments, a reference shard of bounded size. Segments come in order of
    id and place; each is streamed through the automaton for its matching statistics (the longest suffix at each word that
-   occurs before), the maximal spans of at least ``length`` words are removed, and it joins the automaton. Anchors with more
-   than ``wide`` segments are dealt on by the windows' hashes, so that no shard grows without bound; equal windows still meet.
+   occurs before), the maximal spans of at least ``length`` words are removed, and it joins the automaton; a segment whose
+   words are those of an earlier one goes whole. Anchors with more than ``wide`` rows are dealt on by the windows' hashes, so
+   that no shard grows without bound; equal windows still meet.
 4. ``_cut`` joins the spans with the texts by id.
 
 Nulls and empty texts have no words. Rows that repeat an id and its text are one document: they never make each other's
@@ -24,7 +26,7 @@ are replaced by numbers that keep this order. Rows without an id come before all
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus.llm.batches import add_columns, bound_batches, field, restore, shield, tidy
-from talus.llm.blocks import Block, blocks, covered_runs, mix, numbers
+from talus.llm.blocks import Block, blocks, covered_runs, hash_runs, hash_windows, mix, numbers
 from talus.llm.storage import keep
 
 LENGTH = 20
@@ -60,9 +62,8 @@ def segments(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    roll, n = block.roll(), len(block.starts)
-    g = np.arange(n - gram + 1)
-    grams = roll.of(g, g + gram)
+    grams = hash_windows(block.words, gram)
+    g = np.arange(len(grams))
     least = _sliding_min((grams & ~_PLACE) | (g.astype(np.uint64) & _PLACE), length - gram + 1)[at]
     doc = block.doc[at]
     new = np.ones(len(at), bool)
@@ -73,133 +74,77 @@ def segments(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     base = (first >> 24) << 24  # places are kept modulo 2**24
     anchor = base + (least[head] & _PLACE).astype(np.int64)
     anchor = np.where(anchor < first, anchor + (1 << 24), anchor)
-    return first, last, grams[anchor], roll.of(first, last)
+    return first, last, grams[anchor], hash_runs(hash_windows(block.words, length)[at], head)
 
 
-def _copies(key: np.ndarray, ids: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which places have a key that stands at an earlier one: under a smaller id, or before it in the same row."""
+def _copies(key: np.ndarray, ids: np.ndarray, row: np.ndarray, first: np.ndarray, text: Callable[[int], bytes]) -> np.ndarray:
+    """Which places hold the words of one with their key that stands earlier: under a smaller id, or before it in the same
+    row. text gives the bytes of a place, and the words in them decide."""
     known = np.zeros(len(key), bool)
     if not len(key):
         return known
     order = np.lexsort((first, row, ids, key))
     k, i, r, f = key[order], ids[order], row[order], first[order]
     lead = np.maximum.accumulate(np.where(np.append(True, k[1:] != k[:-1]), np.arange(len(k)), 0))
-    known[order] = (i != i[lead]) | ((r == r[lead]) & (f != f[lead]))
+    met = (i != i[lead]) | ((r == r[lead]) & (f != f[lead]))
+    now, held = -1, b""
+    for place, head in zip(order[met].tolist(), order[lead[met]].tolist(), strict=True):
+        if head != now:
+            now, held = head, text(head)
+        own = text(place)
+        known[place] = own == held or own.split() == held.split()
     return known
 
 
-_ROWS = "route long, anchor long, segment long, id long, first int, last int"
+_ROWS = "route long, anchor long, id long, first int, last int"
 
 
 def _segments(length: int, gram: int):
     """Rows of all segments: those already known to be copies have a null anchor, and a route of their own."""
 
-    def rows_of(parts: list[tuple]) -> pa.RecordBatch:
-        i, first, last, anchor, words, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-        known = _copies(mix(anchor + mix(words)), i, row, first)
-        route = np.where(known, mix(i.view(np.uint64) + np.uint64(1)), anchor)
+    def rows_of(parts: list[tuple], raw: list[bytes]) -> pa.RecordBatch:
+        i, first, last, anchor, words, row, which, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, to, of = a.tolist(), b.tolist(), which.tolist()
+        known = _copies(mix(anchor + mix(words)), i, row, first, lambda k: raw[of[k]][at[k] : to[k]])
+        route = np.where(known, mix(i.view(np.uint64) + mix(first.astype(np.uint64))), anchor)
         return pa.RecordBatch.from_arrays(
-            [pa.array(route.view(np.int64)), pa.array(anchor.view(np.int64), mask=known), pa.array(words.view(np.int64)), pa.array(i), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-            names=["route", "anchor", "segment", "id", "first", "last"],
+            [pa.array(route.view(np.int64)), pa.array(anchor.view(np.int64), mask=known), pa.array(i), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
+            names=["route", "anchor", "id", "first", "last"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, rows = [], 0, 0
+        parts, raw, held, rows = [], [], 0, 0
         for batch in batches:
             ids = numbers(batch.column(0))
             for block in blocks(batch.column(1)):
                 first, last, anchor, words = segments(block, length, gram)
-                doc = block.doc[first] if len(first) else first
-                parts.append((ids[block.first + doc], first - block.bounds[doc], last - block.bounds[doc], anchor, words, rows + block.first + doc))
+                if not len(first):
+                    continue
+                doc = block.doc[first]
+                which = np.full(len(first), len(raw))
+                parts.append((ids[block.first + doc], first - block.bounds[doc], last - block.bounds[doc], anchor, words, rows + block.first + doc, which, block.starts[first], block.ends[last - 1]))
+                raw.append(block.data.tobytes())
                 held += len(first)
             rows += batch.num_rows
             if held >= _TOGETHER:
-                yield rows_of(parts)
-                parts, held = [], 0
+                yield rows_of(parts, raw)
+                parts, raw, held = [], [], 0
         if parts:
-            yield rows_of(parts)
+            yield rows_of(parts, raw)
 
     return run
 
 
-_SPANS = "id long, first int, last int, anchor long, variants int"
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, segment, id, first. Spans with a null anchor are removed words; others wait for _match().
-
-    What is held of an anchor that goes on in the next batch: its distinct segments' first rows."""
-    held: list[tuple] = []  # first rows of the segments of the anchor that is open
-    open_anchor, lead = None, None  # lead: the segment and id last met as first
-
-    def flush(out):
-        if len(held) > 1:
-            out.append(tuple(np.array(x) for x in zip(*[(i, f, e, open_anchor, len(held)) for i, f, e in held], strict=True)))
-
-    def batch_of(out):
-        i, f, e, a, v = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(i.astype(np.int64)), pa.array(f.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(a.astype(np.int64), mask=v == 0), pa.array(v.astype(np.int32))],
-            names=["id", "first", "last", "anchor", "variants"],
-        )
-
-    for batch in batches:
-        out = []
-        free = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        i, f, e = (batch.column(k).to_numpy() for k in (2, 3, 4))
-        if free.any():
-            zero = np.zeros(int(free.sum()), np.int64)
-            out.append((i[free], f[free], e[free], zero, zero))
-        if not free.all():
-            a, s = batch.column(0).fill_null(0).to_numpy()[~free], batch.column(1).to_numpy()[~free]
-            i, f, e = i[~free], f[~free], e[~free]
-            n = len(a)
-            new_a = np.append(True, a[1:] != a[:-1])
-            new_s = new_a | np.append(True, s[1:] != s[:-1])
-            if open_anchor is not None and a[0] == open_anchor:
-                new_a[0] = False
-                new_s[0] = lead is None or s[0] != lead[0]
-            head = np.maximum.accumulate(np.where(new_s, np.arange(n), -1))
-            head_id = np.where(head >= 0, i[np.maximum(head, 0)], lead[1] if lead else 0)
-            copy = ~new_s & (i != head_id)
-            if copy.any():
-                zero = np.zeros(int(copy.sum()), np.int64)
-                out.append((i[copy], f[copy], e[copy], zero, zero))
-            heads = np.flatnonzero(new_s)
-            starts = np.flatnonzero(new_a)
-            cuts = np.concatenate([starts, [n]])
-            # segments that belong to the anchor open from the batch before
-            for k in heads[heads < cuts[0]].tolist():
-                held.append((i[k], f[k], e[k]))
-            if len(starts):
-                flush(out)
-                group = np.searchsorted(starts, heads, "right") - 1
-                inner = (group >= 0) & (group < len(starts) - 1)
-                size = np.bincount(group[inner], minlength=len(starts))
-                pick = heads[inner][size[group[inner]] > 1]
-                if len(pick):
-                    out.append((i[pick], f[pick], e[pick], a[pick], size[np.searchsorted(starts, pick, "right") - 1]))
-                held[:] = [(i[k], f[k], e[k]) for k in heads[group == len(starts) - 1].tolist()]
-                open_anchor = a[-1]
-            k = int(head[-1])
-            lead = (s[-1], i[k]) if k >= 0 else lead
-        if out:
-            yield batch_of(out)
-    out = []
-    flush(out)
-    if out:
-        yield batch_of(out)
-
-
 _WORDS = "shard long, id long, first int, last int, words binary"
 
 
 def _words_of(length: int, wide: int):
-    """The words of spans that wait, from texts joined with their spans. Spans of an anchor with more than wide segments are
+    """The words of spans that wait, from texts joined with their spans. Spans of an anchor with more than wide rows are
     parted into windows; windows that an earlier text of the block has are settled, and their runs have null words."""
 
     def rows_of(block: Block, ids: np.ndarray, spans: pa.ListArray) -> pa.RecordBatch | None:
         block.find_words().hash_words()
+        raw = block.data.tobytes()
         held = spans.slice(block.first, len(block))
         flat = held.flatten()
         doc = np.repeat(np.arange(len(block)), np.diff(held.offsets.to_numpy()))
@@ -212,8 +157,9 @@ def _words_of(length: int, wide: int):
         if many.any():
             a, n = (block.bounds[doc] + first)[many], (last - first)[many] - length + 1
             at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            key = block.roll().of(at, at + length)
-            known = _copies(key, ids[block.first + block.doc[at]], block.doc[at], at)
+            key = hash_windows(block.words, length)[at]
+            x, y = block.starts[at].tolist(), block.ends[at + length - 1].tolist()
+            known = _copies(key, ids[block.first + block.doc[at]], block.doc[at], at, lambda k: raw[x[k] : y[k]])
             cover = covered_runs(len(block.starts), at[known], at[known] + length)
             edge = np.diff(np.concatenate([[0], cover.astype(np.int8), [0]]))
             cut = np.zeros(len(cover) + 1, bool)  # runs end with their texts
@@ -226,7 +172,6 @@ def _words_of(length: int, wide: int):
         if not len(lo) + len(gone_lo):
             return None
         a, b = block.starts[lo].tolist(), block.ends[hi - 1].tolist()
-        raw = block.data.tobytes()
         words = [b" ".join(raw[x:y].split()) for x, y in zip(a, b, strict=True)] + [None] * len(gone_lo)
         lo, hi = np.concatenate([lo, gone_lo]), np.concatenate([hi, gone_hi])
         who = block.doc[lo]
@@ -381,8 +326,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
     """(id, first, last): words of documents (doc_id, text) that some earlier window covers. Spans may overlap; a missing id
     is the smallest long."""
     rows = bound_batches(docs.select("doc_id", "text")).mapInArrow(tidy(_segments(length, gram)), _ROWS)
-    dealt = rows.repartition("route").drop("route").sortWithinPartitions("anchor", "segment", "id", "first")
-    spans = keep(dealt.mapInArrow(tidy(_settle), _SPANS), "spans")
+    met = rows.repartition("route").withColumn("variants", F.count("*").over(Window.partitionBy("route")))
+    spans = keep(met.where("anchor is null or variants > 1").drop("route"), "spans")
     waiting = spans.where("anchor is not null").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "variants")).alias("spans"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(waiting, "id")
     words = texts.select("id", "text", "spans").mapInArrow(tidy(_words_of(length, wide)), _WORDS)

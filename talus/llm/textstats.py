@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from talus.llm.blocks import LEADS, Block, Rolling, covered, later, repeated, sums, _BASE_BYTE, BYTE_CODES
+from talus.llm.blocks import LEADS, Block, covered, later, later_slices, repeated_windows, sums
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -32,22 +32,18 @@ def dup_lines(block: Block) -> np.ndarray:
     ends = np.sort(np.concatenate([block.offsets[1:], feeds]))
     has = np.searchsorted(block.starts, ends) > np.searchsorted(block.starts, starts)
     starts, ends, doc = starts[has], ends[has], doc[has]
-    lines = Rolling(BYTE_CODES[block.data], _BASE_BYTE).of(starts, ends)
-    return np.bincount(doc[later(doc, lines)], minlength=len(block))
+    return np.bincount(doc[later_slices(block.data, doc, starts, ends)], minlength=len(block))
 
 
 def repeat_words(block: Block, window: int) -> np.ndarray:
     """Words in windows of so many words that occur twice or more in their text, the first included, by text."""
-    at = block.window_starts(window)
-    if not len(at):
-        return np.zeros(len(block), np.int64)
-    twice = at[repeated(block.doc[at], block.roll().of(at, at + window))]
-    return sums(covered(len(block.starts), twice, window), block.bounds)
+    return sums(covered(len(block.starts), repeated_windows(block, window), window), block.bounds)
 
 
 def base_counts(block: Block) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (windows of 8 words) of each text."""
     block.find_words().hash_words()
+    block.number_words()
     return {
         "n_words": block.counts.astype(np.int64),
         "word_chars": sums(LEADS[block.data] & ~block.space, block.offsets),
@@ -63,7 +59,7 @@ def shape_counts(block: Block) -> dict[str, np.ndarray]:
     lengths = block.ends - block.starts
     first_upper = _UPPER[d[block.starts]]
     caps = first_upper & _UPPER[d[np.minimum(block.starts + 1, max(0, len(d) - 1))]] & (lengths > 1) if len(d) else first_upper
-    again = later(block.doc, block.words) if len(block.starts) else np.zeros(0, bool)
+    again = later(block.doc, block.ids)
     return {
         "n_bytes": np.diff(o),
         "n_upper": sums(_UPPER[d], o),

@@ -78,3 +78,11 @@ def test_empty_table_and_clashing_columns(spark):
     docs = table(spark, [(1, ITEM, "x", 3), (1, ITEM, "y", 4)], "doc_id long, text string, item_ids string, n_hits int")
     rows = op10.decontaminate(docs, items).collect()
     assert [r.item_ids for r in rows] == [[1], [1]]
+
+
+def test_unequal_words_whose_linear_hashes_meet_are_no_hit(spark):
+    from test_op2 import thue_morse
+
+    a, b = thue_morse(1024)
+    item = f"one two three {a} five six seven eight nine ten"
+    assert [v[0] for v in verdicts(spark, [item, item.replace(a, b)], [(1, item)])] == [True, False]

@@ -97,3 +97,49 @@ def test_automaton_spans():
     a.add(list("xxabcy"))
     assert a.spans(list("zabcdezcdefgyabcy"), 4) == [(1, 6), (7, 12), (13, 17)]
     assert a.spans(list("zzz"), 1) == []
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_unequal_words_whose_linear_hashes_meet_stay(spark):
+    same = " ".join(f"w{k}" for k in range(19))
+    for n in (1024, 2048):
+        a, b = thue_morse(n)
+        rows = [(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{same} {a}")]
+        assert result(op2.remove_repeats(table(spark, rows, "doc_id long, text string"), digest=True)) == brute(rows)
+
+
+def test_equal_hashes_alone_remove_nothing(monkeypatch):
+    """With hashes that all meet, only copies are settled in a task, and what is left goes on to the automata."""
+    monkeypatch.setattr(op2, "mix", lambda x: x * op2.np.uint64(0))
+    monkeypatch.setattr(op2, "hash_windows", lambda codes, n: op2.np.zeros(max(0, len(codes) - n + 1), op2.np.uint64))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(30)]
+    batch = op2.pa.RecordBatch.from_arrays([op2.pa.array(range(60), op2.pa.int64()), op2.pa.array(texts + texts)], names=["doc_id", "text"])
+    rows = [r for out in op2._segments(20, 6)(iter([batch])) for r in out.to_pylist()]
+    assert {r["id"] for r in rows if r["anchor"] is None} <= set(range(30, 60))
+    assert all(r["anchor"] is not None for r in rows if r["id"] < 30)
+
+
+def test_the_automaton_decides(monkeypatch):
+    """Parts of passages go only by matching statistics: without them they stay."""
+    shared = [f"s{k}".encode() for k in range(25)]
+    rows = [(1, 1, b" ".join([b"x", *shared, b"y"])), (1, 2, b" ".join([b"p", b"q", *shared, b"r"])), (1, 3, b" ".join([b"p", b"q", *shared, b"r"]))]
+    names = ["shard", "id", "first", "last", "words"]
+    batch = op2.pa.RecordBatch.from_pylist([dict(zip(names, (s, i, 5, 5 + len(w.split()), w), strict=True)) for s, i, w in rows])
+    spans = lambda: [tuple(r.values()) for out in op2._match(20)(iter([batch])) for r in out.to_pylist()]
+    assert spans() == [(2, 7, 32), (3, 5, 33)]
+    monkeypatch.setattr(op2.SuffixAutomaton, "spans", lambda *_: [])
+    assert spans() == [(3, 5, 33)]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    long = " ".join(f"v{rng.randrange(5000)}" for _ in range(400_000))
+    rows = [(1, long), (2, long[:500_000]), (3, "x" * 3_000_000), (4, "x" * 3_000_000 + " y")]
+    assert result(op2.remove_repeats(table(spark, rows, "doc_id long, text string"), digest=True)) == brute(rows)

@@ -50,3 +50,44 @@ def test_no_labels_nulls_empty_and_clashing_columns(spark):
     labels = table(spark, [(1, 0, 0), (2, 1, 0), (2, None, 0), (None, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     assert op6.classify(docs, op6.fit(docs, labels)).count() == 4
     assert op6.classify(docs.limit(0), rules).count() == 0
+
+
+def shapes(text):
+    """The further counts of a text, character by character."""
+    from common import words
+
+    text = text or ""
+    raw, w = text.encode(), words(text)
+    ascii_upper = lambda c: "A" <= c <= "Z"
+    return {
+        "n_bytes": len(raw),
+        "n_upper": sum(map(ascii_upper, text)),
+        "n_lower": sum("a" <= c <= "z" for c in text),
+        "n_digit": sum("0" <= c <= "9" for c in text),
+        "n_punct": sum(c in "!\"'(),-./:;?@[]_`{}~\\^+=" for c in text),
+        "n_pipe": text.count("|"),
+        "n_bang": text.count("!"),
+        "n_wide": sum(ord(c) > 127 for c in text),
+        "n_feeds": text.count("\n"),
+        "n_cap_words": sum(ascii_upper(x[0]) for x in w),
+        "n_all_caps": sum(len(x.encode()) > 1 and ascii_upper(x[0]) and ascii_upper(x[1]) for x in w),
+        "n_short_words": sum(len(x.encode()) <= 3 for x in w),
+        "n_long_words": sum(len(x.encode()) >= 12 for x in w),
+        "n_again_words": len(w) - len(set(w)),
+    }
+
+
+def test_statistics_equal_brute_force(spark):
+    from common import texts
+    from test_op2 import thue_morse
+    from test_op8 import brute
+
+    from talus.llm.textstats import BASE
+
+    a, b = thue_morse(1024)
+    rows = texts(spark) + [(-1, f"{a} {b} {a}"), (-2, "A"), (-3, None), (-4, "AB aB Ab\n" * 30000), (-5, "é" * 40000)]
+    got = {r.doc_id: r for r in op6.statistics(table(spark, rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        c = shapes(text) | dict(zip(BASE, brute(text), strict=True))
+        want = [min(c[x] / max(1, c[y]), 1e3) for x, y in op6.RATES.values()] + [np.log1p(c["n_words"])]
+        assert [got[i][n] for n in op6.NAMES] == pytest.approx(want), i

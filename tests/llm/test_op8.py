@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -72,3 +73,20 @@ def test_few_null_and_contradicting_labels(spark, labels):
 
 def test_empty_table(spark):
     assert op8.judge(table(spark, [], "doc_id long, text string"), None).count() == 0
+
+
+def test_counts_stand_letters_whose_linear_hashes_meet_and_hashes_that_all_meet(monkeypatch):
+    from test_op2 import thue_morse
+
+    from talus.llm import blocks, textstats
+
+    a, b = thue_morse(1024)
+    rng = random.Random(2)
+    odd = [f"{a}\n{b}", f"{a}\n{b}\n{a}", " ".join([a] * 9 + [b] * 9 + [a] * 9), None, "", "x\n\nx\n x", "é " * 20]
+    odd += ["\n".join(" ".join(rng.choice(["ab", "c", "dé", "fghij" * 20]) for _ in range(rng.randrange(12))) for _ in range(30)) for _ in range(20)]
+    got = lambda: [tuple(map(int, r)) for blk in blocks.blocks(blocks.pa.array(odd)) for r in zip(*map(textstats.base_counts(blk).get, textstats.BASE), strict=True)]
+    want = [brute(t) for t in odd]
+    assert got() == want
+    monkeypatch.setattr(blocks, "mix", lambda x: x * blocks.np.uint64(0))
+    monkeypatch.setattr(blocks.xxhash, "xxh64_intdigest", lambda *_: 0)
+    assert got() == want
