@@ -10,7 +10,9 @@ Host: what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 ``#`` or the end. Null urls and urls without ``://`` have both empty, and no alias. Aliases are compared as host, path and
 query, without scheme and fragment. Repeated rows are judged alike, one by one.
 
-Up to ``compiled`` rules become one column expression; more are joined on the suffixes of distinct hosts.
+Up to ``compiled`` rules become one column expression; more are joined on the suffixes of distinct hosts. The rules are the
+caller's list, so their number is known: up to ``broadcast`` of them the table of rules is broadcast, and a suffix that a
+third of all hosts have is no hot key; more are shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from talus.llm.components import connected_components
 from talus.llm.storage import keep
 
 COMPILED = 200
+BROADCAST = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 
@@ -71,7 +74,7 @@ def _fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> C
     return ((host == rule_host) | F.endswith(host, F.concat(F.lit("."), rule_host))) & F.startswith(path, rule_path)
 
 
-def apply_rules(rows: DataFrame, rules: list[tuple[str, str, str]], compiled: int = COMPILED) -> DataFrame:
+def apply_rules(rows: DataFrame, rules: list[tuple[str, str, str]], compiled: int = COMPILED, broadcast: int = BROADCAST) -> DataFrame:
     """rows (with host and path) with rule and rule_verdict, null where none fits; rules: (host, path, allow or block)."""
     order = sorted(dict.fromkeys(rules), key=lambda r: (-len(r[0] + r[1]), r[2] != "allow", r))
     if len(order) <= compiled:
@@ -84,7 +87,7 @@ def apply_rules(rows: DataFrame, rules: list[tuple[str, str, str]], compiled: in
     parts = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     distinct = rows.select("host", "path").distinct()
-    met = distinct.select("host", "path", F.explode(suffixes).alias("suffix")).join(table, "suffix").where(F.startswith("path", "rule_path"))
+    met = distinct.select("host", "path", F.explode(suffixes).alias("suffix")).join(F.broadcast(table) if len(order) <= broadcast else table, "suffix").where(F.startswith("path", "rule_path"))
     first = met.groupBy("host", "path").agg(F.min_by(F.struct(F.concat("suffix", "rule_path").alias("rule"), "verdict"), "place").alias("_best"))
     return rows.join(first, ["host", "path"], "left").select(*rows.columns, F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
 

@@ -2,9 +2,9 @@
 
 A log holds events (conv_id, message key columns, seq, kind, role, text). Events of one message are sorted by seq and folded:
 ``message``, ``edit`` and ``regenerate`` replace what the message said so far, ``delta`` appends to it; the last role that is
-given counts. Messages are folded apart from each other, so the events of one huge conversation are spread over tasks; only
-finished messages are gathered by conversation, whose text is one row in any case. Messages are sorted by their key columns,
-nulls first.
+given counts. Logs are parted by conversation and, so that the events of one huge conversation are spread over tasks, by
+message; only finished messages are gathered by conversation, whose text is one row in any case. Messages are sorted by their
+key columns, nulls first. ``stream`` makes such a log of finished messages, as a chat service would have written it.
 
 The template marks turns: ``<|im_start|>role``, a line feed, the text, ``<|im_end|>``, a line feed. In texts every ``<``,
 backslashes, ``|`` gets one backslash more, so no control string is left in them and the step can be undone. In roles ``%``,
@@ -55,6 +55,21 @@ def fold(events: DataFrame, message: Sequence[str] = ("turn",)) -> DataFrame:
     )
 
 
+def stream(messages: DataFrame, message: Sequence[str] = ("turn",), loss_role: str = "assistant", pieces: int = 4) -> DataFrame:
+    """A log that folds to messages (conv_id, key columns, role, text), its events out of order. Answers begin with a delta of
+    a draft, are regenerated, and then come in so many deltas; other messages are sent as a draft, go on with a delta, and are
+    edited to what they say."""
+    text = F.coalesce("text", F.lit(""))
+    draft = F.concat(F.substring(text, 1, 20), F.lit(" …"))
+    none = F.lit(None).cast("string")
+    event = lambda seq, kind, role, said: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+    size = F.ceil(F.length(text) / pieces)
+    parts = [event(2 + k, "delta", none, F.substr(text, size * k + 1, size)) for k in range(pieces)]
+    answer = F.array(*reversed([event(0, "delta", F.col("role"), draft), event(1, "regenerate", none, none), *parts]))
+    other = F.array(event(2, "edit", F.col("role"), text), event(1, "delta", none, draft), event(0, "message", none, draft))
+    return messages.select("conv_id", *message, F.explode(F.when(F.col("role") == loss_role, answer).otherwise(other)).alias("_e")).select("conv_id", *message, "_e.*")
+
+
 def render(messages: DataFrame, message: Sequence[str] = ("turn",), loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, and segments: pieces of formatted in order, with loss where the mask holds."""
     turn = F.struct(*message, F.col("role"), escape(F.col("text")).alias("body"))

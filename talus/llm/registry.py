@@ -38,6 +38,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.judge(pages.select("page_id", "url"), URL_RULES, edges).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on pages with a table of redirects: each url redirects to its path on one mirror, so pages with the same path
+    are aliases of each other and of the mirror's page, and what blocks one of them blocks those that no rule fits."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    url = F.col("url")
+    mirror = F.concat(F.lit("http://mirror.example.net"), op1.path_of(url))
+    redirects = pages.select(op1.alias_key(url).alias("src"), op1.alias_key(mirror).alias("dst"))
+    return op1.judge(pages, URL_RULES, redirects).select("page_id", "host", "path", "rule", "verdict", "from_alias")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
@@ -47,9 +57,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    events = rows.union(more).select("*", F.row_number().over(same).alias("copy"), F.lit(0).alias("seq"), F.lit("message").alias("kind"))
     order = ("turn", "copy")
-    return op3.digest(op3.render(op3.fold(events, order), order))
+    log = op3.stream(rows.union(more).withColumn("copy", F.row_number().over(same)), order)
+    return op3.digest(op3.render(op3.fold(log, order), order))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +104,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "url_aliases": url_aliases,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_warc": op4_warc,

@@ -19,6 +19,33 @@ SELECT page_id, host, path,
 FROM hp
 """
 
+#: Redirects join all pages of one path with the mirror's page of that path, which the rules of net may block.
+URL_ALIASES = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), hp AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(r, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM u
+), rules(h, p, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), met AS (
+  SELECT page_id, host, path, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
+  FROM hp LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+), one AS (
+  SELECT *, host <> '' AS linked, starts_with(path, '/es/') OR starts_with(path, '/fr/') AS mirror_blocked FROM met WHERE k = 1
+), grouped AS (
+  SELECT *, coalesce(bool_or(v = 'block') OVER (PARTITION BY linked, CASE WHEN path = '' THEN '/' ELSE path END), false) OR mirror_blocked AS bad FROM one
+)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN linked AND bad THEN 'block' ELSE 'allow' END) AS verdict,
+       v IS NULL AND linked AND bad AS from_alias
+FROM grouped
+"""
+
 OP2_SUBSTRING_DEDUP = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -73,3 +73,18 @@ def test_null_and_odd_urls_and_empty_tables(spark):
     assert rows["http://a.net?/es/"] == ("a.net", "", None, "allow")
     assert rows[urls[-1]][2:] == ("net/es/", "block")
     assert op1.judge(table(spark, [], "url string"), RULES, none).count() == 0
+
+
+def test_redirects_decide_in_the_query_with_edges(spark):
+    from talus.llm.tables import read
+
+    want = rows_of(sql.URL_ALIASES, SF)
+    got = registry.url_aliases(spark, SF)
+    assert sorted_rows(got, list(want[0])) == want
+    rows = got.collect()
+    assert any(r.from_alias for r in rows)
+    # without edges these pages would be allowed, and an allow rule stands against blocked aliases
+    plain = {r.page_id: r.verdict for r in op1.judge(read(spark, SF, "pages"), RULES, table(spark, [], "src string, dst string")).collect()}
+    assert all(plain[r.page_id] == "allow" for r in rows if r.from_alias)
+    blocked = {r.path for r in rows if r.from_alias}
+    assert any(r.verdict == "allow" and r.rule == "com/" for r in rows if r.path.startswith(("/es/", "/fr/"))) and blocked

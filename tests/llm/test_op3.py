@@ -49,3 +49,22 @@ def test_empty_table_and_plan_is_native(spark):
     assert op3.digest(op3.render(op3.fold(none))).count() == 0
     plan = registry.op3_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_query_folds_drafts_deltas_edits_and_regenerations(spark):
+    rows = [(1, 0, "user", "hi there"), (1, 1, "assistant", "abcdefghi"), (1, 2, "assistant", None), (2, 0, None, "x"), (2, 1, "user", "")]
+    messages = table(spark, rows, "conv_id long, turn long, role string, text string")
+    log = op3.stream(messages)
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["delta"] == 2 * 5 + 3
+    want = sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+    assert sorted(tuple(r) for r in op3.fold(log.repartition(5)).collect()) == want
+    for lost in ("edit", "regenerate", "delta"):  # each kind decides something
+        assert sorted(tuple(r) for r in op3.fold(log.where(F.col("kind") != lost)).collect()) != want
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, 0, 1, "message", "user", "hi", "x", 7), (1, 0, 2, "edit", None, "ho", "y", 8)]
+    events = table(spark, rows, EVENTS + ", segments string, _log int")
+    assert [tuple(r) for r in op3.fold(events).collect()] == [(1, 0, "user", "ho")]
+    assert op3.render(op3.fold(events)).count() == 1
