@@ -10,8 +10,13 @@ Reader: finds the end of the central directory from the file's tail, follows the
 central directory, and from local headers the place of stored members. The index gives a range for each record; ranges are
 dealt out again, so one large package is read by many tasks, and each record is read alone with its own gzip member.
 
+Archives of other writers are read too: record ids and types are kept as they stand (``page_id`` is null where the id names no
+page), fields may lack a space after the colon, go on over lines or be missing, records may be uncompressed, and payloads of
+records that are no HTTP messages are their whole blocks. Of revisits without a digest the digest is null.
+
 Files are opened with Arrow's filesystems, so any shared folder whose scheme they know will do. Null html is an empty payload.
-A null page_id is written as such and is the smallest of its payload only if no other id is there. Rows that repeat the
+Urls with white space
+or control characters are percent-encoded, which a field of the record says. A null page_id is written as such and is the smallest of its payload only if no other id is there. Rows that repeat the
 smallest id and payload are all responses.
 """
 
@@ -20,7 +25,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -33,11 +40,18 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talus.llm.batches import bound_batches, tidy
+from talus.llm.skew import join_counted
 from talus.llm.storage import keep, new_path
 
 RECORDS = 4000
+#: Urls with these signs are percent-encoded, and a field says so.
+_ODD_SIGNS = re.compile(r"[\x00-\x20\x7f]|^<|>$")
+_SAFE, _ENCODED = "!#$&'()*+,/:;=?@[]~", "X-Target-Encoding"
+_PAGE = re.compile("<?urn:page:([0-9]+)>?")
 _DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+_RANGES = 50_000  # in a batch
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,7 +66,10 @@ def _record(page_id: int | None, url: str | None, payload: bytes, first: int | N
     name = lambda i: f"<urn:page:{'null' if i is None else i}>"
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", name(page_id)), ("WARC-Date", _DATE)]
     if url is not None:
-        head.append(("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~")))
+        odd = bool(_ODD_SIGNS.search(url))
+        head.append(("WARC-Target-URI", quote(url, safe=_SAFE) if odd else url))
+        if odd:
+            head.append((_ENCODED, "percent"))
     head.append(("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)))
     if revisit:
         head += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", name(first))]
@@ -94,9 +111,10 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     """Write pages (page_id, url, html); returns the packages (path, n_records)."""
     folder = folder or new_path(pages.sparkSession, "packages")
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    known = pages.select("page_id", "url", payload.alias("payload")).withColumn("key", F.sha1("payload"))
-    firsts = known.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    planned = known.join(firsts.select("key", "first"), "key", "left").select("page_id", "url", "payload", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    known = bound_batches(pages).select("page_id", "url", payload.alias("payload")).withColumn("key", F.sha1("payload"))
+    counted = known.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = keep(counted.where("n > 1 and first is not null"), "firsts")
+    planned = join_counted(known, firsts, "key").select("page_id", "url", "payload", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []
@@ -112,7 +130,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
             done.append(package.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "n_records"])
 
-    return keep(planned.mapInArrow(write, "path string, n_records long"), "packages")
+    return keep(planned.mapInArrow(tidy(write), "path string, n_records long"), "packages")
 
 
 # reading
@@ -173,15 +191,17 @@ def _open(path: str):
 def record_ranges(packages: DataFrame) -> DataFrame:
     """(path, start, length) of every record that the packages' indexes name; packages: (path)."""
 
+    def ranges_of(path: str, starts: list[int], lengths: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["path", "start", "length"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 f, size = _open(path)
                 with f:
                     members = _members(f, size)
-                    starts, lengths = [], []
                     for name, (method, packed, at) in members.items():
-                        if not name.startswith("indexes/"):
+                        if not name.startswith("indexes/") or "cdx" not in name:
                             continue
                         f.seek(at)
                         lines = f.read(packed)
@@ -189,8 +209,11 @@ def record_ranges(packages: DataFrame) -> DataFrame:
                             lines = zlib.decompress(lines, -15)
                         if name.endswith(".gz"):
                             lines = gzip.decompress(lines)
-                        for line in lines.decode().splitlines():
-                            entry = json.loads(line.split(" ", 2)[2])
+                        starts, lengths = [], []
+                        for line in io.BytesIO(lines):
+                            if b"{" not in line:
+                                continue  # a heading
+                            entry = json.loads(line[line.index(b"{") :])
                             kind, total, place = members["archive/" + entry["filename"]]
                             if kind != 0:
                                 raise ValueError(f"{entry['filename']} is not stored: its records have no ranges")
@@ -198,38 +221,69 @@ def record_ranges(packages: DataFrame) -> DataFrame:
                                 raise ValueError(f"{entry['filename']} is too short for its index")
                             starts.append(place + int(entry["offset"]))
                             lengths.append(int(entry["length"]))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["path", "start", "length"])
+                            if len(starts) == _RANGES:
+                                yield ranges_of(path, starts, lengths)
+                                starts, lengths = [], []
+                        if starts:
+                            yield ranges_of(path, starts, lengths)
 
-    return packages.select("path").mapInArrow(find, "path string, start long, length long")
+    return packages.select("path").mapInArrow(tidy(find), "path string, start long, length long")
 
 
-_FIELDS = "page_id long, url string, record_type string, refers_to long, digest string, payload binary"
+_FIELDS = "page_id long, url string, record_type string, refers_to long, digest string, payload binary, record_id string, refers_to_id string"
+
+
+def _header(raw: bytes) -> tuple[dict[str, str], int]:
+    """The fields of a record by lower-case name (of equal names the first counts), and where its block begins."""
+    end = raw.find(b"\r\n\r\n")
+    head = raw if end < 0 else raw[:end]
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError("no WARC record at this place")
+    fields: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+            continue
+        name, _, value = line.partition(":")
+        last = name.strip().lower()
+        if last in fields:
+            last = None  # a field may be repeated; what goes on over lines then belongs to the repeated one
+        else:
+            fields[last] = value.strip()
+    return fields, len(raw) if end < 0 else end + 4
 
 
 def parse_record(raw: bytes) -> tuple:
     """The columns of read_records() from one record."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("no WARC record at this place")
-    fields = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines[1:])}
-    block = rest[: int(fields["content-length"])]
-    _, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda text: None if text is None or text.endswith(":null>") else int(text.rpartition(":")[2].rstrip(">"))
-    kind, url = fields["warc-type"], fields.get("warc-target-uri")
+    fields, at = _header(raw)
+    size = fields.get("content-length", "")
+    block = raw[at : at + int(size)] if size.isdigit() else raw[at:]
+    kind, record_id, refers_to = (fields.get(k) for k in ("warc-type", "warc-record-id", "warc-refers-to"))
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    page = lambda text: int(m[1]) if text and (m := _PAGE.fullmatch(text)) else None
+    stated = fields.get("warc-payload-digest")
+    revisit = kind == "revisit"
+    url = fields.get("warc-target-uri")
+    if url is not None:
+        url = unquote(url) if fields.get(_ENCODED.lower()) == "percent" else url.removeprefix("<").removesuffix(">")
     return (
-        number(fields["warc-record-id"]),
-        None if url is None else unquote(url),
+        page(record_id),
+        url,
         kind,
-        number(fields.get("warc-refers-to")),
-        fields["warc-payload-digest"].removeprefix("sha1:") if kind == "revisit" else base32_sha1(payload),
-        None if kind == "revisit" else payload,
+        page(refers_to),
+        (None if stated is None else stated.rpartition(":")[2]) if revisit else base32_sha1(payload),
+        None if revisit else payload,
+        record_id,
+        refers_to,
     )
 
 
 def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records of ranges (path, start, length): page_id, url, record_type, refers_to, digest (of a response: computed from the
-    payload) and payload (null for revisits), or payload_bytes instead."""
+    """Records of ranges (path, start, length): page_id, url, record_type, refers_to, digest (computed from the payload; of a
+    revisit the stated one), payload (null for revisits), or payload_bytes instead, record_id and refers_to_id."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, now = None, None
@@ -243,21 +297,24 @@ def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
                             f.close()
                         (f, _), now = _open(path), path
                     f.seek(start)
-                    row = parse_record(gzip.decompress(f.read(length)))
-                    rows.append(row if payloads else (*row[:5], None if row[5] is None else len(row[5])))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary() if payloads else pa.int64()]
-                names = ["page_id", "url", "record_type", "refers_to", "digest", "payload" if payloads else "payload_bytes"]
+                    raw = f.read(length)
+                    row = parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                    rows.append(row if payloads else (*row[:5], None if row[5] is None else len(row[5]), *row[6:]))
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary() if payloads else pa.int64(), pa.string(), pa.string()]
+                names = ["page_id", "url", "record_type", "refers_to", "digest", "payload" if payloads else "payload_bytes", "record_id", "refers_to_id"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         if f:
             f.close()
 
     schema = _FIELDS if payloads else _FIELDS.replace("payload binary", "payload_bytes long")
     n = ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return ranges.repartition(int(n)).sortWithinPartitions("path", "start").mapInArrow(read, schema)
+    return ranges.repartition(int(n)).sortWithinPartitions("path", "start").mapInArrow(tidy(read), schema)
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit's bytes are those of what it refers to."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of responses and revisits; a revisit's bytes are those
+    of what it refers to."""
+    records = records.where("record_type in ('response', 'revisit')")
     held = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     joined = records.join(held, (F.col("refers_to") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")

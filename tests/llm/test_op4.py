@@ -73,3 +73,45 @@ def test_zip64_directories_comments_and_damage():
     assert op4._members(io.BytesIO(wide), len(wide)) == {"archive/a": (0, 5, at)}
     with pytest.raises(ValueError):
         op4._members(io.BytesIO(b"no package"), 10)
+
+
+def foreign(kind, fields, block, version="WARC/1.0"):
+    return f"{version}\r\n".encode() + "".join(f"{k}{v}\r\n" for k, v in [("WARC-Type:", kind), *fields, ("Content-Length:", len(block))]).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import json
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    records = [
+        foreign("warcinfo", [("WARC-Record-ID: ", "<urn:uuid:0>")], b"software: x\r\n"),
+        foreign("request", [("WARC-Record-ID:", "<urn:uuid:1>"), ("Content-Type:", "application/http;msgtype=request")], b"GET / HTTP/1.1\r\n\r\n"),
+        foreign("response", [("WARC-Record-ID: ", "<urn:uuid:2>"), ("WARC-Target-URI: ", "http://a/x%20y"), ("content-type:", "application/http;\r\n msgtype=response")], http + b"one\r\n\r\ntwo"),
+        foreign("revisit", [("WARC-Record-ID: ", "<urn:uuid:3>"), ("WARC-Refers-To: ", "<urn:uuid:2>"), ("Content-Type: ", "application/http")], http),
+        foreign("resource", [("WARC-Record-ID: ", "<urn:page:7>"), ("Content-Type: ", "text/plain")], b"\xff\x00 raw"),
+    ]
+    data, lines = b"", ["!OpenWayback-CDXJ 1.0\n"]
+    for k, r in enumerate(records):
+        packed = r if k == 4 else gzip.compress(r)
+        lines.append(f"a,b)/ 2024 {json.dumps({'filename': 'x.warc.gz', 'offset': str(len(data)), 'length': str(len(packed))})}\n")
+        data += packed
+    with zipfile.ZipFile(tmp_path / "f.wacz", "w") as z:
+        z.writestr("archive/x.warc.gz", data)
+        z.writestr("indexes/index.cdx.gz", gzip.compress("".join(lines).encode()), compress_type=zipfile.ZIP_DEFLATED)
+        z.writestr("pages/pages.jsonl", "{}")
+    ranges = op4.record_ranges(table(spark, [(f"file://{tmp_path}/f.wacz",)], "path string"))
+    got = sorted(op4.read_records(ranges).collect(), key=lambda r: r.record_id)
+    assert [(r.record_type, r.page_id, r.record_id) for r in got] == [("resource", 7, "<urn:page:7>"), ("warcinfo", None, "<urn:uuid:0>"), ("request", None, "<urn:uuid:1>"), ("response", None, "<urn:uuid:2>"), ("revisit", None, "<urn:uuid:3>")]
+    assert bytes(got[0].payload) == b"\xff\x00 raw" and bytes(got[3].payload) == b"one\r\n\r\ntwo"
+    assert got[3].url == "http://a/x%20y" and got[3].digest == op4.base32_sha1(b"one\r\n\r\ntwo")
+    assert (got[4].digest, got[4].payload, got[4].refers_to_id) == (None, None, "<urn:uuid:2>")
+    assert op4.resolve(op4.read_records(ranges, payloads=False)).count() == 2
+
+
+def test_hot_and_long_payloads_and_clashing_columns_equal_sql(spark, tmp_path):
+    rows = [(k, f"u{k}", "" if k % 3 else "hot") for k in range(3000)] + [(k, "v", f"cold {k // 2}") for k in range(3000, 3400)]
+    rows += [(9001, "w", "é" * 3_000_000), (9000, "w", "é" * 3_000_000)]
+    table(spark, [(*r, "x", 1) for r in rows], PAGES + ", first string, n int").write.parquet(f"file://{tmp_path}/pages.parquet")
+    frame = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    want = rows_of(sql.OP4_WARC, SF, pages=frame)
+    assert sorted_rows(registry.op4_warc(spark, f"file://{tmp_path}"), list(want[0])) == want
