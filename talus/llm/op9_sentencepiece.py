@@ -3,7 +3,9 @@
 Texts get a leading space, spaces become the mark, and each text is parted where no piece can reach across (before runs of
 marks, around line feeds). The distinct parts of an Arrow batch are concatenated and indexed by a suffix array, sorted to the
 length of the longest piece; every piece is found by binary search as a range of suffixes, and each suffix in the range is an
-edge of the lattice. Edges are sorted by position and relaxed from left to right.
+edge of the lattice. Edges are sorted by position and relaxed from left to right. Parts of over a
+thousand characters are relaxed alone, their edges found in windows. Models with pieces that reach across the borders of parts,
+with a normaliser or without byte fallback raise when they are loaded.
 
 ``bpe`` models: an edge extends the encoding that ends where it starts if its piece and the last piece there stay two pieces
 when they are merged alone. Each prefix has one encoding, so the first edge that fits ends the search for its end. ``unigram``
@@ -11,7 +13,7 @@ models: the edge with the best sum of scores stays, of equals the longer. Code p
 The ids equal those of the SentencePiece library for models without a normaliser (the public one is such a model).
 
 Decoding joins pieces, turns marks into spaces and drops the leading space, so it returns each text, but that a mark in the
-text itself comes back as a space. Null texts have null ids and null texts have null decodings; empty texts have no ids. Ids
+text itself comes back as a space. Bytes that are no UTF-8 come in as U+FFFD. Null texts have null ids and null texts have null decodings; empty texts have no ids. Ids
 outside the vocabulary are an error. Parts once encoded are kept in a bounded table of the task.
 """
 
@@ -30,7 +32,10 @@ from talus.llm.batches import add_columns, field
 from talus.llm.vocabulary import MARK, Vocabulary, load
 
 _PARTS = re.compile("\n| *[^ \n]+| +")
+#: What a piece must look like so that none crosses a border between parts.
+_WITHIN = re.compile(f"{MARK}*[^{MARK}\n]*|\n")
 _SLICE = 1 << 19
+_WINDOW = 1 << 16  # bytes of a long part whose edges are held at once
 _KEPT = 200_000
 _LONG = 1000
 _END = 0xFE
@@ -40,8 +45,13 @@ _STEP[0xC0:0xE0], _STEP[0xE0:0xF0], _STEP[0xF0:] = 2, 3, 4
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, kind: str = "bpe"):
-        self.kind, self.ids = kind, vocabulary.ids()
+    def __init__(self, vocabulary: Vocabulary, kind: str | None = None):
+        self.kind, self.ids = kind or vocabulary.kind, vocabulary.ids()
+        if self.kind not in ("bpe", "unigram"):
+            raise ValueError(f"unknown kind of model {self.kind}")
+        crossing = [vocabulary.pieces[i] for i in vocabulary.usable if not _WITHIN.fullmatch(vocabulary.pieces[i])]
+        if crossing:
+            raise ValueError(f"pieces such as {crossing[0]!r} reach across the borders at which texts are parted")
         self.pieces, self.byte_ids, self.n = vocabulary.pieces, vocabulary.byte_ids, len(vocabulary.pieces)
         self.scores = np.array([*vocabulary.scores, min(vocabulary.scores[i] for i in vocabulary.usable) - 10])  # the last: of what is no piece
         order = sorted(vocabulary.usable)
@@ -84,8 +94,55 @@ class Encoder:
             np.concatenate([self.found[which], np.full(len(gap), -1)]),
         )
 
+    def _encode_long(self, part: str) -> None:
+        """Relax the edges of one long part place by place; edges are found in windows, so few of them are held."""
+        raw = part.replace(" ", MARK).encode()
+        last, back = np.full(len(raw) + 1, _NONE, np.int32), np.zeros(len(raw) + 1, np.int64)
+        last[0] = _START
+        bpe, fits, scores = self.kind == "bpe", self._fit, self.scores.tolist()
+        # what is known of the places that edges of the window may end at
+        ahead: dict[int, tuple] = {0: (_START, 0, 0.0)}
+        for low in range(0, len(raw), _WINDOW):
+            start, end, piece = self._edges(raw[low : low + _WINDOW + self.width])
+            own = start < _WINDOW
+            order = np.argsort(start[own], kind="stable")
+            now, at = -1, None
+            for s, e, p in zip((start[own][order] + low).tolist(), (end[own][order] + low).tolist(), piece[own][order].tolist(), strict=True):
+                if s != now:
+                    now, at = s, ahead.pop(s, None)
+                    if at is not None:
+                        last[s], back[s] = at[0], at[1]
+                if at is None:
+                    continue
+                if bpe:
+                    if e not in ahead and fits(at[0], p):
+                        ahead[e] = (p, s, 0.0)
+                else:
+                    total, known = at[2] + scores[p], ahead.get(e)
+                    if known is None or total > known[2]:
+                        ahead[e] = (p, s, total)
+        at = ahead.pop(len(raw))
+        last[-1], back[-1] = at[0], at[1]
+        ids: list[int] = []
+        e = len(raw)
+        while e:
+            s, p = int(back[e]), int(last[e])
+            if p >= 0:
+                ids.append(p)
+            else:
+                ids += [self.byte_ids[v] for v in reversed(raw[s:e])]
+            e = s
+        self.done[part] = np.array(ids[::-1], "<i4").tobytes()
+
     def _encode(self, parts: list[str]) -> None:
-        """Relax the edges of all parts in step: those at the first place of every part, then those at the next, and so on."""
+        """Relax the edges of all parts in step: those at the first place of every part, then those at the next, and so on;
+        long parts alone, so that the others need few steps."""
+        for part in parts:
+            if len(part) > _LONG:
+                self._encode_long(part)
+        parts = [p for p in parts if len(p) <= _LONG]
+        if not parts:
+            return
         raw = [p.replace(" ", MARK).encode() for p in parts]
         start, end, piece = self._edges(bytes([_END]).join(raw) + bytes([_END]))
         sizes = np.array([len(r) for r in raw])
@@ -177,6 +234,13 @@ class Encoder:
                         return False
         return whole
 
+    def _fit(self, before: int, p: int) -> bool:
+        key = (before + 3) * (self.n + 3) + p + 3
+        known = self.pairs.get(key)
+        if known is None:
+            known = self.pairs[key] = self._stays(before, p)
+        return known
+
     def _fits(self, before: np.ndarray, p: np.ndarray) -> np.ndarray:
         keys, inverse = np.unique((before + 3) * (self.n + 3) + p + 3, return_inverse=True)
         pairs, out = self.pairs, []
@@ -236,12 +300,20 @@ def _encoder(vocabulary: Vocabulary, kind: str) -> Encoder:
     return encoder
 
 
+def _strings(column: pa.Array) -> list[str | None]:
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+        return [None if r is None else r.decode("utf-8", "replace") for r in raw]
+
+
 def _in_slices(column: pa.Array, rows: int = 500):
     for k in range(0, len(column), rows):
-        yield column.slice(k, rows).to_pylist()
+        yield _strings(column.slice(k, rows))
 
 
-def encode(docs: DataFrame, model_file: str, kind: str = "bpe", drop: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, kind: str | None = None, drop: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """docs with ids (an array of integers); with decoded, text becomes what the ids decode to, as decode() would make it."""
     held = docs.sparkSession.sparkContext.broadcast(load(model_file))
 
@@ -264,7 +336,7 @@ def encode(docs: DataFrame, model_file: str, kind: str = "bpe", drop: tuple[str,
     return add_columns(docs, fields, make, drop)
 
 
-def decode(rows: DataFrame, model_file: str, kind: str = "bpe") -> DataFrame:
+def decode(rows: DataFrame, model_file: str, kind: str | None = None) -> DataFrame:
     """rows (with ids) with the decoded text as column text."""
     held = rows.sparkSession.sparkContext.broadcast(load(model_file))
 
@@ -282,7 +354,7 @@ def decode(rows: DataFrame, model_file: str, kind: str = "bpe") -> DataFrame:
     return add_columns(rows, [field("text", T.StringType())], make)
 
 
-def digest(docs: DataFrame, model_file: str, kind: str = "bpe", drop: tuple[str, ...] = ()) -> DataFrame:
+def digest(docs: DataFrame, model_file: str, kind: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_pieces, ids_sha256 (of the ids as little-endian 32-bit integers) and round_trip: the ids decode to the
     text with its marks as spaces. All three are null for null texts."""
     held = docs.sparkSession.sparkContext.broadcast(load(model_file))

@@ -71,3 +71,44 @@ def test_empty_table_and_clashing_columns(spark):
     assert op9.digest(table(spark, [], "doc_id long, text string"), default_model()).count() == 0
     rows = op9.encode(table(spark, [(1, "a", "x")], "doc_id long, text string, ids string"), default_model()).collect()
     assert rows[0].ids == [264]
+
+
+def test_long_unbroken_texts_equal_the_library_in_bounded_time(library):
+    import time
+
+    rng = random.Random(8)
+    signs = "aetinghonsrd日本é23+/="
+    e = op9.Encoder(load(default_model()))
+    long = ["".join(rng.choice(signs) for _ in range(n)) for n in (1001, 5000, 70_000, 300_000)]
+    long += ["x" * 70_000, "日" * 30_000, " " * 5000 + "a", "the" * 25_000, "�😀" * 3000]
+    for text in long:
+        began = time.time()
+        (raw,) = e.encode([text])
+        assert np.frombuffer(raw, "<i4").tolist() == library.encode(text)
+        assert time.time() - began < 30
+        assert e.decode(np.frombuffer(raw, "<i4")) == text
+
+
+def test_long_and_short_parts_relax_alike(monkeypatch):
+    v = load(default_model())
+    texts = odd_texts(150)
+    for kind in ("bpe", "unigram"):
+        want = op9.Encoder(v, kind).encode(texts)
+        alone = op9.Encoder(v, kind)
+        alone._encode = lambda parts, e=alone: [e._encode_long(p) for p in parts]
+        monkeypatch.setattr(op9, "_WINDOW", 8)
+        assert alone.encode(texts) == want
+        monkeypatch.undo()
+
+
+def test_models_that_break_an_assumption_raise():
+    import dataclasses
+
+    v = load(default_model())
+    assert v.kind == "bpe"
+    for piece in ("a▁b", "a\nb", "▁\n"):
+        odd = dataclasses.replace(v, pieces=(*v.pieces, piece), scores=(*v.scores, -1.0), usable=v.usable | {len(v.pieces)})
+        with pytest.raises(ValueError):
+            op9.Encoder(odd)
+    with pytest.raises(ValueError):
+        op9.Encoder(v, "word")
