@@ -361,10 +361,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
         n, removed, kept = _cut(batch, text_at, spans_at)
         if digest:
             return [n, removed, pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-        old = batch.column(text_at)
+        old = batch.column(text_at).view(pa.large_binary() if pa.types.is_large_string(batch.column(text_at).type) else pa.binary())
         changed = removed.to_numpy() > 0
-        new = [kept[k].decode() if changed[k] else old[k].as_py() for k in range(len(kept))]
-        return [n, removed, pa.array(new, pa.string())]
+        new = [kept[k] if changed[k] else old[k].as_py() for k in range(len(kept))]
+        return [n, removed, pa.array(new, pa.binary()).view(pa.string())]  # bytes that are no UTF-8 stay as they are
 
     fields = [field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_sha256" if digest else "text", T.StringType())]
     out = add_columns(joined, fields, lambda: compute, drop=("_spans", "text") if digest else ("_spans",))

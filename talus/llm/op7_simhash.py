@@ -7,7 +7,9 @@ Hamming balls), and whoever stands under a value that is some fingerprint's own
 of the verified links leaves the task, never all pairs.
 
 A value under which more than ``hot`` fingerprints stand is split by the other segment: of its four bytes at least one is
-equal wherever two fingerprints link, so the rows are dealt by (value, byte place, byte) instead, and no link is lost.
+equal wherever two fingerprints link, so the rows are dealt by (value, byte place, byte) instead, and no link is lost. Where
+that is not enough, the bits that are not fixed yet are parted in four again, twice if need be; then 14 bits are free, and
+what can stand under a route is bounded.
 
 Null texts count as empty; texts without words have fingerprint 0. Rows with the same text share a fingerprint before any
 index is built. A null id never names a component unless no other is there. Rows that repeat an id are judged one by one.
@@ -20,13 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus.llm.batches import add_columns, field, restore, shield, tidy
 from talus.llm.blocks import Block, blocks
 from talus.llm.components import connected_components
+from talus.llm.skew import join_counted
 from talus.llm.storage import keep
 
 RADIUS = 3
@@ -97,11 +100,47 @@ def _index(prints: DataFrame) -> DataFrame:
     return flipped.select("simhash", "flip", halves.alias("half")).select(F.col("half").bitwiseXOR(F.col("flip")).alias("key"), "simhash", (F.col("flip") == 0).alias("own"))
 
 
-def _other_byte(k: int) -> Column:
-    """Byte k of the segment that the key is not about."""
-    first = F.shiftrightunsigned("simhash", 32 + 8 * k)
-    second = F.shiftrightunsigned("simhash", 8 * k)
-    return F.when(F.col("key") < (1 << 32), first).otherwise(second).bitwiseAND(F.lit(255).cast("long"))
+def _quarters(bits: list[int]) -> list[list[int]]:
+    """Bits parted in four, as evenly as may be."""
+    step = -(-len(bits) // 4)
+    short = 4 * step - len(bits)
+    sizes = [step - (k >= 4 - short) for k in range(4)]
+    return [bits[sum(sizes[:k]) : sum(sizes[: k + 1])] for k in range(4)]
+
+
+def _splits() -> list[dict[int, list[int]]]:
+    """For each level the masks that split a route, by the mask of the bits that it has fixed so far."""
+    signed = lambda bits: sum(1 << k for k in bits) - (1 << 64 if 63 in bits else 0)
+    fixed, levels = [set(range(32)), set(range(32, 64))], []
+    for _ in range(3):
+        level, after = {}, []
+        for f in fixed:
+            parts = _quarters(sorted(set(range(64)) - f))
+            level[signed(f)] = [signed(set(p)) for p in parts]
+            after += [f | set(p) for p in parts]
+        levels.append(level)
+        fixed = after
+    return levels
+
+
+def _split(rows: DataFrame, masks: dict[int, list[int]], hot: int) -> DataFrame | None:
+    """rows (route, simhash, own, fixed, settled) with the routes of over hot rows split; None where there are none."""
+    crowded = rows.where("not settled").groupBy("route").agg(F.count("*").alias("n"), F.max("own").alias("met")).where(f"n > {hot} and met")
+    crowded = keep(crowded.select(F.col("route").alias("_route")), "crowded")
+    if crowded.isEmpty():
+        return None
+    table = F.create_map(*(x for k, v in masks.items() for x in (F.lit(k).cast("long"), F.array(*(F.lit(m).cast("long") for m in v)))))
+    marked = rows.join(crowded, F.col("route") == F.col("_route"), "left")
+    mask = F.explode(F.when(F.col("_route").isNotNull() & ~F.col("settled"), table[F.col("fixed")]).otherwise(F.array(F.lit(0).cast("long"))))
+    parted = marked.select("route", "simhash", "own", "fixed", "settled", mask.alias("_mask"))
+    more = F.col("_mask") != 0
+    return parted.select(
+        F.when(more, F.xxhash64("route", "_mask", F.col("simhash").bitwiseAND(F.col("_mask")))).otherwise(F.col("route")).alias("route"),
+        "simhash",
+        "own",
+        F.col("fixed").bitwiseOR(F.col("_mask")).alias("fixed"),
+        (F.col("settled") | ~more).alias("settled"),
+    )
 
 
 def _forest(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +174,6 @@ def _forest(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows sorted by route; the last route of a batch waits for the next batch."""
-    waiting = None
 
     def links(route, prints, own):
         edge = np.concatenate([[True], route[1:] != route[:-1]]) if len(route) else np.zeros(0, bool)
@@ -146,48 +184,57 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _forest(prints[use].view(np.uint64), group[use])
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
+    waiting: list[list[np.ndarray]] = []  # parts of one route
     for batch in batches:
         now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
-        if waiting is not None:
-            now = [np.concatenate(x) for x in zip(waiting, now, strict=True)]
         if not len(now[0]):
             continue
-        cut = int(np.flatnonzero(np.concatenate([[True], now[0][1:] != now[0][:-1]]))[-1])
-        waiting = [x[cut:] for x in now]
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # sorted: where the last route begins
+        if waiting and waiting[0][0][0] != now[0][0]:
+            yield links(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+            waiting = []
         if cut:
-            yield links(*(x[:cut] for x in now))
-    if waiting is not None:
-        yield links(*waiting)
+            whole = [*waiting, [x[:cut] for x in now]]
+            waiting = []
+            yield links(*(np.concatenate(x) for x in zip(*whole, strict=True)))
+        waiting.append([x[cut:] for x in now])
+    if waiting:
+        yield links(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
 
 def link(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (src, dst) between the distinct fingerprints of prints (simhash) that join all that lie within 3 bits."""
-    rows = _index(prints)
-    crowded = keep(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("met")).where(f"n > {hot} and met").select("key"), "crowded")
-    if crowded.isEmpty():
-        routed = rows.select(F.col("key").alias("route"), "simhash", "own")
-    else:
-        marked = rows.join(crowded.withColumn("split", F.lit(True)), "key", "left")
-        places = [F.col("key").bitwiseOR(F.lit((k + 1) << 34).cast("long")).bitwiseOR(F.shiftleft(_other_byte(k), 40)) for k in range(4)]
-        routed = marked.select(F.explode(F.when(F.col("split"), F.array(*places)).otherwise(F.array("key"))).alias("route"), "simhash", "own")
-    return routed.repartition("route").sortWithinPartitions("route").mapInArrow(tidy(_verify), "src long, dst long")
+    levels = _splits()
+    half = list(levels[0])
+    fixed = F.when(F.col("key") < (1 << 32), F.lit(half[0])).otherwise(F.lit(half[1])).cast("long")
+    routed = _index(prints).select(F.col("key").alias("route"), "simhash", "own", fixed.alias("fixed"), F.lit(False).alias("settled"))
+    for masks in levels:
+        parted = _split(routed, masks, hot)
+        if parted is None:
+            break
+        routed = parted
+    return routed.select("route", "simhash", "own").repartition("route").sortWithinPartitions("route").mapInArrow(tidy(_verify), "src long, dst long")
 
 
 def near_duplicates(marked: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, simhash, component_id) for each row of marked (doc_id, simhash): the smallest id that can be reached."""
-    prints = keep(marked.groupBy("simhash").agg(F.min("doc_id").alias("first_id")), "prints")
+    prints = keep(marked.groupBy("simhash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "prints")
     groups = connected_components(link(prints.select("simhash"), hot)).withColumnRenamed("node", "simhash")
-    labelled = prints.join(groups, "simhash", "left").select("simhash", F.coalesce("component", "simhash").alias("component"), "first_id")
+    labelled = prints.join(groups, "simhash", "left").select("simhash", F.coalesce("component", "simhash").alias("component"), "first_id", "n")
     ids = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_print = labelled.join(ids, "component").select("simhash", "component_id")
-    return marked.select("doc_id", "simhash").join(by_print, "simhash")
+    by_print = keep(labelled.join(ids, "component").select("simhash", "n", "component_id"), "classes")
+    return join_counted(marked.select("doc_id", "simhash"), by_print, "simhash", "inner")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays (with all rows that have both its
-    id and its fingerprint: they are one document). Columns stay as they are."""
+    id and its text: they are one document; of other texts under the id those that have its fingerprint stay too). Columns stay
+    as they are. Texts are read once for their fingerprints; rows are told apart by id, length and hash of the text."""
     need = ("doc_id", "text")
-    small = keep(fingerprints(docs.select(*need), drop=("text",)), "simhash")
-    stay = near_duplicates(small).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("simhash").alias("_print")).distinct()
-    kept = fingerprints(shield(docs, need)).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("simhash") == F.col("_print")), "left_semi")
+    said = F.coalesce("text", F.lit(""))
+    own = {"_long": F.octet_length(said), "_hash": F.xxhash64(said)}
+    small = keep(fingerprints(docs.select(*need, *(c.alias(k) for k, c in own.items())), drop=("text",)), "simhash")
+    best = near_duplicates(small.select("doc_id", "simhash")).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("simhash").alias("_print")).distinct()
+    stay = small.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("simhash") == F.col("_print"))).select("_id", F.col("_long").alias("_l"), F.col("_hash").alias("_h")).distinct()
+    kept = shield(docs, need).withColumns(own).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_long") == F.col("_l")) & (F.col("_hash") == F.col("_h")), "left_semi")
     return restore(kept, docs, need)

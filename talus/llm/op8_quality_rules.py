@@ -8,7 +8,8 @@ whole texts in Arrow batches; nothing is shuffled, and only the weights (two arr
 Null texts are empty texts. Texts of under ``min_words`` words, or with more than ``max_repeat_percent`` % of their words in
 repeated 8-word windows, fail the base rules. Where labels hold fewer than two classes there is no model, and the base rules
 alone decide. Labels that contradict each other for one id count by majority, a tie as 1; null ids or labels are left out.
-Rows that repeat an id are judged one by one. Columns of the input with the names of results are replaced.
+Rows that repeat an id are judged one by one; one of them is learned from. Bytes that are no UTF-8 are other bytes to the counts
+and U+FFFD to the runs of code points. Columns of the input with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -47,10 +48,16 @@ def word_buckets(block: Block, bits: int = BITS) -> np.ndarray:
 
 def gram_buckets(block: Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of runs of three code points, and their bounds by text (no run crosses texts)."""
-    points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lead = np.zeros(len(block.data) + 1, np.int64)
-    np.cumsum((block.data & 0xC0) != 0x80, out=lead[1:])
-    offsets = lead[block.offsets]
+    raw = block.data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lead = np.zeros(len(block.data) + 1, np.int64)
+        np.cumsum((block.data & 0xC0) != 0x80, out=lead[1:])
+        offsets = lead[block.offsets]
+    except UnicodeDecodeError:
+        texts = [block.text(k).decode("utf-8", "replace") for k in range(len(block))]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     n = np.maximum(0, np.diff(offsets) - 2)
     bounds = np.concatenate([[0], np.cumsum(n)])
     if not bounds[-1]:
@@ -75,12 +82,15 @@ def probability(margin: np.ndarray, m: Model) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, where=None) -> DataFrame:
-    """Texts of at most max_labelled labelled ids, with label y; the ids (bounded by that number) are broadcast."""
+    """Texts of at most max_labelled labelled ids, one an id, with label y; the ids (bounded by that number) are broadcast. Of
+    different texts under one id that with the smallest hash counts."""
     ids = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("y")).where("_id is not null and y is not null")
     if where is not None:
         ids = ids.where(where(F.col("_id")))
     ids = ids.groupBy("_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    return docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(ids), "_id")
+    found = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(ids), "_id")
+    text = F.coalesce("text", F.lit(""))
+    return found.groupBy("_id").agg(F.min_by(text, F.xxhash64(text)).alias("text"), F.max("y").alias("y"))
 
 
 def _features(batch: pa.RecordBatch) -> list[pa.Array]:

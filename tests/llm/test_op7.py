@@ -85,3 +85,33 @@ def test_every_link_is_found_also_under_crowded_keys(spark, hot):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert got == {i: find(i) for i in range(len(prints))}
+
+
+def test_hot_fingerprints_and_routes_split_twice_and_more(spark):
+    """One fingerprint that most rows have, and a segment under which all stand, split until three bytes are fixed."""
+    rng = np.random.default_rng(2)
+    high = 0x1234ABCD << 32
+    prints = sorted({high | int(x) for x in rng.integers(0, 2**12, 900)})
+    rows = list(enumerate(prints)) + [(10_000 + k, prints[5]) for k in range(3000)]
+    got = {r.doc_id: r.component_id for r in op7.near_duplicates(table(spark, rows, "doc_id long, simhash long"), 5).collect()}
+    want = {r.doc_id: r.component_id for r in op7.near_duplicates(table(spark, rows, "doc_id long, simhash long")).collect()}
+    assert got == want and len(got) == len(rows) and set(got.values()) == {0}
+
+
+def test_every_pair_within_reach_shares_a_route_at_each_level():
+    rng = np.random.default_rng(3)
+    for level in op7._splits():
+        for fixed, masks in level.items():
+            assert sum(masks) & (2**64 - 1) == ~fixed & (2**64 - 1)  # the parts are disjoint and cover what is free
+    for _ in range(300):
+        x = int(rng.integers(0, 2**63))
+        y = x
+        for k in rng.choice(64, 3, replace=False):
+            y ^= 1 << int(k)
+        low = bin((x ^ y) & 0xFFFFFFFF).count("1") <= 1
+        fixed = 0xFFFFFFFF if low else 0xFFFFFFFF << 32
+        for level in op7._splits():
+            masks = level[fixed if fixed < 1 << 63 else fixed - (1 << 64)]
+            same = [m for m in masks if ((x ^ y) & m) & (2**64 - 1) == 0]
+            assert same
+            fixed |= same[0] & (2**64 - 1)
