@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import op2_substring_dedup, op7_simhash, op8_quality_rules, op9_sentencepiece, op10_decontaminate
-from talus.llm.storage import keep
+from talus.llm.storage import keep, release, scratch
 from talus.llm.tables import read
 from talus.llm.vocabulary import default_model
 
@@ -49,8 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each leaves is a table in the shared folder."""
+    """All stages in order; what each leaves is a table in the shared folder, and goes when the next one's is written. That of
+    the last but one stays, as the result reads it."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch(spark):
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"), stay=True)
+        if number:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
