@@ -13,11 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talus.functions.numeric import gauss_legendre, least_squares
 from talus.operators.masks import sample
 from talus.operators.stats import nmad, quantiles
 
+#: Models whose integral over a disk has a closed form.
+CLOSED = ["spherical", "exponential", "gaussian", "cubic"]
 MODELS = ["spherical", "exponential", "gaussian", "cubic", "stable", "matern"]
 #: Points in one run's sample at most: its pairs are its square, and one side of them is broadcast.
 MOST = 20_000
@@ -92,9 +95,12 @@ def _genton(pairs: DataFrame, by: list[str], parts: int = 8) -> DataFrame:
             steps = {g: [low + (high - low) * k / parts for k in range(parts)] for g, (low, high) in bounds.items()}
             table = spark.createDataFrame([(*g, k, t) for g, ts in steps.items() for k, t in enumerate(ts)], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", _i int, _t double")
             got: dict[tuple, dict[int, int]] = {g: {} for g in bounds}
-            for r in _up_to(counts, by, table).collect():
+            held: list[DataFrame] = []
+            for r in _up_to(counts, by, table, held).collect():
                 g = tuple(r[b] for b in by)
                 got[g][r["_i"]] = r["_s"] - size[g] * (size[g] + 1) // 2
+            for parted in held:
+                parted.unpersist()
             for g, (low, high) in list(bounds.items()):
                 enough = [k for k in range(parts) if got[g][k] >= rank[g]]
                 k = enough[0] if enough else parts
@@ -109,11 +115,13 @@ def _genton(pairs: DataFrame, by: list[str], parts: int = 8) -> DataFrame:
     return spark.createDataFrame(out, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", exp double, count long")
 
 
-def _up_to(counts: DataFrame, by: list[str], table: DataFrame) -> DataFrame:
+def _up_to(counts: DataFrame, by: list[str], table: DataFrame, held: list[DataFrame]) -> DataFrame:
     """by, _i and _s: for each threshold _t of table the sum, over the counted values, of how many lie up to _t above them."""
     asked = counts.join(F.broadcast(table), by).select(*by, (F.col("_v") + F.col("_t")).alias("_x"), "_i", F.lit(0).cast("long").alias("_k"), F.col("_k").alias("_w"))
     both = counts.join(F.broadcast(table.select(*by).distinct()), by).select(*by, F.col("_v").alias("_x"), F.lit(-1).alias("_i"), "_k", F.lit(0).cast("long").alias("_w")).unionByName(asked)
-    parted = both.repartitionByRange(*by, "_x").withColumn("_p", F.spark_partition_id())
+    # kept, so that both readers see the same parts whatever exchanges are reused; the caller gives it back
+    parted = both.repartitionByRange(*by, "_x").withColumn("_p", F.spark_partition_id()).persist()
+    held.append(parted)
     # values come before the thresholds that equal them
     within = parted.withColumn("_c", F.sum("_k").over(Window.partitionBy("_p", *by).orderBy("_x", "_i").rowsBetween(Window.unboundedPreceding, 0)))
     sums = within.where("_i >= 0").groupBy("_p", *by, "_i").agg(F.sum(F.col("_c") * F.col("_w")).alias("_s"), F.sum("_w").alias("_w"))
@@ -191,12 +199,11 @@ def _equidistant(points: DataFrame, subsample: int, runs: int, seed: int) -> Dat
     near = points.crossJoin(F.broadcast(table))  # runs is a small number by choice
     d = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
     ring = F.size(F.filter(F.array(*(F.lit(r) for r in radii[1:])), lambda v: v <= d))
-    from pyspark.sql import Window
-
     ranked = near.select("run", "pid", "x", "y", "z", ring.alias("ring"), F.xxhash64("pid", "run", F.lit(seed)).alias("h"))
-    share = F.count("*").over(Window.partitionBy("run", "ring"))
-    # a threshold on the hash thins rings to about the sample before they are ranked
-    thin = ranked.withColumn("k", share).where(F.pmod("h", F.lit(1 << 20)) * F.col("k") <= 4 * plan["samples"] * (1 << 20))
+    # rings are counted by a combined aggregate (a row for each run and ring), and a threshold on the hash thins them to about
+    # the sample before they are ranked
+    sizes = ranked.groupBy("run", "ring").agg(F.count("*").alias("k"))
+    thin = ranked.join(F.broadcast(sizes), ["run", "ring"]).where(F.pmod("h", F.lit(1 << 20)) * F.col("k") <= 4 * plan["samples"] * (1 << 20))
     kept = thin.withColumn("rank", F.row_number().over(Window.partitionBy("run", "ring").orderBy("h", "pid"))).where(F.col("rank") <= plan["samples"])
     centre = kept.where("ring = 0").select("run", "h", "x", "y", "z")
     other = kept.select("run", "ring", *(F.col(c).alias(f"{c}2") for c in ("h", "x", "y", "z")))
@@ -330,16 +337,37 @@ def neff_numerical(area: float, params: Sequence[dict]) -> float:
 
 def neff_exact(points: DataFrame, params: Sequence[dict], subsample: int | None = None, seed: int = 42) -> float:
     """Effective samples of points (pid, x, y, err): the squared mean error over the mean of all pairwise covariances. With a
-    subsample only so many points (by hash) stand on one side; that side is bounded, and is broadcast."""
+    subsample only so many points (by hash) stand on one side. That side is broadcast, so it has at most MOST points; more
+    points than that need a subsample."""
+    if subsample is not None and subsample > MOST:
+        raise ValueError(f"one side of all pairs has at most {MOST} points")
+    if subsample is None and points.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"all pairs of more than {MOST} points are too many: give a subsample")
     other = points if subsample is None else sample(points, subsample, seed, ["pid"])
     b = other.select(*(F.col(c).alias(f"{c}2") for c in ("x", "y", "err")))
     h = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    pairs = points.crossJoin(F.broadcast(b) if subsample is not None else b)
+    pairs = points.crossJoin(F.broadcast(b))
     got = pairs.agg(F.avg(correlation(params, h) * F.col("err") * F.col("err2")).alias("v")).first()["v"]
     mean = points.agg(F.avg("err").alias("m")).first()["m"]
     return float(mean**2 / got)
 
 
+def polygon_area(ring_xy: Sequence[tuple[float, float]]) -> float:
+    """The area in a simple polygon."""
+    return abs(sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(ring_xy, [*ring_xy[1:], ring_xy[0]], strict=True))) / 2
+
+
+def number_effective_samples(area: float | Sequence[tuple[float, float]] | DataFrame, params: Sequence[dict], subsample: int = 1000, seed: int = 42) -> float:
+    """Effective samples in an area: a number is a disk's area, by closed form or quadrature; a polygon (corners) counts by its
+    area; a table of points (pid, x, y, err) counts all pairs with a subsample of it."""
+    if isinstance(area, DataFrame):
+        return neff_exact(area, params, subsample, seed)
+    size = float(area) if isinstance(area, (int, float)) else polygon_area(area)
+    if all(m["model"] in CLOSED for m in check_models(params)):
+        return float(neff_circular(size, params))
+    return neff_numerical(size, params)
+
+
 def standard_error(sigma, n):
     return sigma / (F.sqrt(n) if isinstance(n, Column) else np.sqrt(n))
 
@@ -350,10 +378,23 @@ def standard_error_finite(sigma, n_total, n):
     return sigma * root((1 - n / n_total) / n)
 
 
+def neff_column(area: Column, params: Sequence[dict]) -> Column:
+    """Effective samples in disks: closed forms where all models have one, else quadrature."""
+    if all(m["model"] in CLOSED for m in check_models(params)):
+        return neff_circular(area, params)
+
+    @F.pandas_udf(T.DoubleType())
+    def evaluate(v: pd.Series) -> pd.Series:
+        known = {a: neff_numerical(a, params) for a in v.dropna().unique()}
+        return v.map(known)
+
+    return evaluate(area.cast("double"))
+
+
 def propagate(cells: DataFrame, params: Sequence[dict], cell_area: float, zone: str = "zone") -> DataFrame:
     """zone, mean error, area, effective samples and the standard error of each zone's mean; cells: (zone, sigma)."""
     g = cells.groupBy(zone).agg(F.avg("sigma").alias("mean_sigma"), (F.count("*") * float(cell_area)).alias("area"))
-    g = g.withColumn("n_eff", neff_circular(F.col("area"), params))
+    g = g.withColumn("n_eff", neff_column(F.col("area"), params))
     return g.withColumn("standard_error", standard_error(F.col("mean_sigma"), F.col("n_eff")))
 
 

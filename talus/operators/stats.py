@@ -1,7 +1,8 @@
 """Robust statistics and multi-variable binning.
 
-Quantiles are exact and distributed: equal values are counted first, counts are ordered by range partitions, and each
-partition knows how many values stand before it, so no group is ever gathered in one task. They interpolate linearly.
+Quantiles are exact and distributed: a mergeable sketch gives brackets that are sure to hold the wanted ranks, values below
+and above the brackets are only counted, and those within (a thousandth of a group) are counted by value and ranked. Nothing
+depends on how rows are parted. They interpolate linearly.
 """
 
 from __future__ import annotations
@@ -20,25 +21,41 @@ NFACT = 1.4826
 STATISTICS = ["mean", "median", "max", "min", "sum", "sumofsquares", "90thpercentile", "le90", "nmad", "rmse", "std", "standarddeviation", "validcount", "totalcount", "percentagevalidpoints"]
 
 
+#: Half the width of a bracket and the error of the sketch, as shares of a group's rows. The error is a tenth of the width.
+_SLACK, _ERROR = 0.0005, 0.00005
+
+
 def quantiles(df: DataFrame, by: Sequence[str], column: str, probs: dict[str, float]) -> DataFrame:
-    """by, n (values that are not null) and one column a probability. Groups without values are absent."""
+    """by, n (values that are not null) and one column a probability. Groups without values are absent.
+
+    A bracket goes from the sketch's quantile a little below a probability to the one a little above. Beside the values in it
+    the largest value below and the smallest above are known, so ranks that rounding puts just outside are held too."""
     by = list(by)
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
-    parted = counts.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id())
-    within = parted.withColumn("_c", F.sum("_k").over(Window.partitionBy("_p", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = parted.groupBy("_p", *by).agg(F.sum("_k").alias("_m"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    offsets = sizes.select("_p", *by, F.sum("_m").over(group).alias("n"), (F.sum("_m").over(group.orderBy("_p")) - F.col("_m")).alias("_before"))
-    same = [within["_p"] == offsets["_p"], *(within[b].eqNullSafe(offsets[b]) for b in by)]
-    ranked = within.join(offsets, same).select(*(within[b] for b in by), "_v", "n", (F.col("_c") + F.col("_before")).alias("_to"), (F.col("_c") + F.col("_before") - F.col("_k")).alias("_from"))
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= index) & (index < F.col("_to")), F.col("_v")))
+    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
+    levels = sorted({float(p) for p in probs.values()})
+    ends = [min(1.0, max(0.0, p + d)) for p in levels for d in (-_SLACK, _SLACK)]
+    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", ends, round(1 / _ERROR)).alias("_ends"), F.count("*").alias("n"))
+    met = _with_group(rows, sketch, by)
+    side = [F.when(F.col("_v") < F.col("_ends")[2 * k], -1).when(F.col("_v") > F.col("_ends")[2 * k + 1], 1).otherwise(0).alias(f"_s{k}") for k in range(len(levels))]
+    # -1 and 1: all values below and above a bracket; 0: one value in it
+    sided = met.select(*by, "n", "_v", *side)
+    spots = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"_s{k}").alias("s"), F.when(F.col(f"_s{k}") == 0, F.col("_v")).alias("v")) for k in range(len(levels)))))
+    spread = sided.select(*by, "n", "_v", spots.alias("_at")).select(*by, "n", "_v", "_at.*")
+    counts = spread.groupBy(*by, "k", "s", "v").agg(F.count("*").alias("_k"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.max("n").alias("n"))
+    upto = Window.partitionBy(*by, "k").orderBy("s", "v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_to", F.sum("_k").over(upto)).withColumn("_from", F.col("_to") - F.col("_k"))
+
+    def at(k: int, index: Column) -> Column:
+        # below a bracket the last rank is known, above it the first
+        first, last = F.when(F.col("s") == -1, F.col("_to") - 1).otherwise(F.col("_from")), F.when(F.col("s") == 1, F.col("_from") + 1).otherwise(F.col("_to"))
+        value = F.when(F.col("s") == -1, F.col("_high")).otherwise(F.col("_low"))
+        return F.max(F.when((F.col("k") == k) & (first <= index) & (index < last), value))
 
     out = []
     for name, p in probs.items():
+        k = levels.index(float(p))
         h = (F.col("n") - 1) * F.lit(float(p))
-        low, high = at(F.floor(h)), at(F.ceil(h))
+        low, high = at(k, F.floor(h)), at(k, F.ceil(h))
         part = F.max(h - F.floor(h))
         out.append((low + (high - low) * part).alias(name))
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *out).where("n is not null")
@@ -56,9 +73,13 @@ def _with_group(df: DataFrame, other: DataFrame, by: Sequence[str]) -> DataFrame
 def nmad(df: DataFrame, column: str, by: Sequence[str] = (), nfact: float = NFACT) -> DataFrame:
     """by, n, median and nmad: nfact times the median absolute deviation from the median."""
     middle = quantiles(df, by, column, {"median": 0.5})
-    spread = _with_group(df.where(F.col(column).isNotNull()), middle, by).withColumn("_d", F.abs(F.col(column) - F.col("median")))
-    deviation = quantiles(spread, by, "_d", {"_mad": 0.5}).select(*by, (F.col("_mad") * nfact).alias("nmad"))
-    return _with_group(middle, deviation, by).select(*by, "n", "median", "nmad")
+    return _with_group(middle, _deviation(df, column, by, middle, nfact), by).select(*by, "n", "median", "nmad")
+
+
+def _deviation(df: DataFrame, column: str, by: Sequence[str], middle: DataFrame, nfact: float = NFACT) -> DataFrame:
+    """by and nmad, from the medians."""
+    spread = _with_group(df.where(F.col(column).isNotNull()), middle.select(*by, F.col("median").alias("_median")), by).withColumn("_d", F.abs(F.col(column) - F.col("_median")))
+    return quantiles(spread, by, "_d", {"_mad": 0.5}).select(*by, (F.col("_mad") * nfact).alias("nmad"))
 
 
 def statistics(df: DataFrame, column: str, names: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -83,11 +104,12 @@ def statistics(df: DataFrame, column: str, names: Sequence[str] | None = None, b
     }
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), *(plain[n].alias(n) for n in names if n in plain))
     probs = {"median": 0.5, "90thpercentile": 0.9, "_q05": 0.05, "_q95": 0.95}
-    wanted = {k: p for k, p in probs.items() if k in names or (k[:2] == "_q" and "le90" in names)}
+    wanted = {k: p for k, p in probs.items() if k in names or (k[:2] == "_q" and "le90" in names) or (k == "median" and "nmad" in names)}
     if wanted:
-        out = _left(out, quantiles(df, by, column, wanted).drop("n"), by)
-    if "nmad" in names:
-        out = _left(out, nmad(df, column, by).select(*by, "nmad"), by)
+        found = quantiles(df, by, column, wanted).drop("n")
+        out = _left(out, found, by)
+        if "nmad" in names:
+            out = _left(out, _deviation(df, column, by, found), by)
     if "le90" in names:
         out = out.withColumn("le90", (F.col("_q95") - F.col("_q05")) / 2)
     return out.select(*by, *names)
@@ -156,15 +178,43 @@ def interval_column(text: Column) -> Column:
     return F.struct(part(1).alias("left"), part(2).alias("right"))
 
 
+def _interval_index(x: Column, ends: Sequence[tuple[float, float]]) -> Column:
+    """The number of the interval (left, right) that holds x (left <= x < right), NULL where none does. Intervals are sorted and
+    don't overlap."""
+    left, right = (np.array([e[k] for e in ends], float) for k in (0, 1))
+
+    @F.pandas_udf(T.IntegerType())
+    def find(v: pd.Series) -> pd.Series:
+        a = v.to_numpy(float, na_value=np.nan)
+        at = np.searchsorted(left, a, "right") - 1
+        inside = (at >= 0) & (a < right[np.maximum(at, 0)])
+        return pd.Series(np.where(inside, at, -1)).astype("Int32").where(inside)
+
+    return find(x.cast("double"))
+
+
 def perbin_lookup(df: DataFrame, bins: DataFrame, variables: Sequence[str], statistic: str = "nanmedian", min_count: int = 0, max_bins: int = 100_000) -> DataFrame:
-    """df with the statistic of the bin that its variables fall into (left <= x < right), NULL where there is none. The bin
-    table is small by nature; its size is checked before it is broadcast, and larger ones take an ordinary join."""
+    """df with the statistic of the bin that its variables fall into (left <= x < right), NULL where there is none.
+
+    Each variable's distinct intervals (at most max_bins, else this raises) become numbers by binary search, and the bin table is
+    met by equality; it is broadcast if it has at most max_bins rows. Intervals of one variable mustn't overlap."""
     nd = len(variables)
     table = bins.where((F.col("nd") == nd) & (F.col("count") > min_count)).select(*(F.col(v).alias(f"_i{k}") for k, v in enumerate(variables)), F.col(statistic).alias("_s"))
+    out, keys = df, []
+    for k, v in enumerate(variables):
+        found = table.select(f"_i{k}.left", f"_i{k}.right").where("left is not null and right is not null").distinct().limit(max_bins + 1).collect()
+        ends = sorted((float(r[0]), float(r[1])) for r in found)
+        if len(ends) > max_bins:
+            raise ValueError(f"{v} has more than {max_bins} bins")
+        if any(a[1] > b[0] for a, b in itertools.pairwise(ends)):
+            raise ValueError(f"bins of {v} overlap")
+        out = out.withColumn(f"_n{k}", _interval_index(F.col(v), ends) if ends else F.lit(None).cast("int"))
+        table = table.withColumn(f"_m{k}", _interval_index(F.col(f"_i{k}.left"), ends) if ends else F.lit(None).cast("int"))
+        keys.append(F.col(f"_n{k}") == F.col(f"_m{k}"))
     small = table.limit(max_bins + 1).count() <= max_bins
-    cond = [(F.col(v) >= F.col(f"_i{k}.left")) & (F.col(v) < F.col(f"_i{k}.right")) for k, v in enumerate(variables)]
-    joined = df.join(F.broadcast(table) if small else table, cond, "left")
-    return joined.drop(*(f"_i{k}" for k in range(nd))).withColumnRenamed("_s", statistic)
+    table = table.drop(*(f"_i{k}" for k in range(nd)))
+    joined = out.join(F.broadcast(table) if small else table, keys, "left")
+    return joined.drop(*(f"_{c}{k}" for k in range(nd) for c in "nm")).withColumnRenamed("_s", statistic)
 
 
 def linear_column(x: Column, at: Sequence[float], values: Sequence[float]) -> Column:

@@ -160,9 +160,10 @@ def texture_array(z: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
-def texture_shading(df: DataFrame, alpha: float = 0.8) -> DataFrame:
+def texture_shading(df: DataFrame, alpha: float = 0.8, most: int = 50_000_000) -> DataFrame:
     """row, col, texture_shading. The filter is global: every output depends on every cell, so the raster is one group, and
-    must fit into one task; larger rasters are filtered by tiles of the caller's choice."""
+    must fit into one task: a raster of more than ``most`` cells (counted over its extent) raises, and is filtered by parts of the
+    caller's choice."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["row"] - pdf["row"].min(), pdf["col"] - pdf["col"].min()
@@ -172,6 +173,9 @@ def texture_shading(df: DataFrame, alpha: float = 0.8) -> DataFrame:
 
     if not 0 <= alpha <= 2:
         raise ValueError("alpha must be between 0 and 2")
+    e = df.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if e[0] is not None and (e[1] - e[0] + 1) * (e[3] - e[2] + 1) > most:
+        raise ValueError(f"the filter is global and takes rasters of at most {most} cells")
     shaded = df.select("row", "col", "z", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "row int, col int, texture_shading double")
     return shaded.withColumn("texture_shading", F.when(~F.isnan("texture_shading"), F.col("texture_shading")))
 
@@ -207,11 +211,24 @@ def mean_filter(df: DataFrame, size: int, shape: str = "circular") -> DataFrame:
         raise ValueError("the kernel is square or circular")
     centre = (size - 1) / 2
     cells = [(i, j) for i in range(size) for j in range(size) if (i - centre) ** 2 + (j - centre) ** 2 < (size / 2) ** 2]
-    offsets = F.array(*(F.struct(F.lit(r - i).alias("i"), F.lit(r - j).alias("j")) for i, j in cells))
-    spread = df.where("z is not null").select("row", "col", "z", F.explode(offsets).alias("o"))
-    sums = spread.groupBy((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).agg(F.avg("z").alias("mean"), F.count("*").alias("n"))
-    out = df.select("row", "col").join(sums, ["row", "col"], "left")
-    return out.select("row", "col", "mean", F.coalesce("n", F.lit(0)).alias("n"), F.lit(len(cells)).alias("kernel_size"))
+    # each row of the kernel is one run of columns
+    runs = {i: (min(j for k, j in cells if k == i), max(j for k, j in cells if k == i)) for i in {k for k, _ in cells}}
+
+    def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
+        valid = ~np.isnan(z)
+        sums, n = np.zeros(z.shape), np.zeros(z.shape)
+        for source, into in ((np.where(valid, z, 0.0), sums), (valid.astype(float), n)):
+            wide = np.pad(source, size)
+            total = np.zeros((wide.shape[0], wide.shape[1] + 1))
+            np.cumsum(wide, axis=1, out=total[:, 1:])
+            for i, (first, last) in runs.items():
+                rows = total[size + i - r : size + i - r + z.shape[0]]
+                into += rows[:, size + last - r + 1 :][:, : z.shape[1]] - rows[:, size + first - r :][:, : z.shape[1]]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return {"mean": np.where(n > 0, sums / n, np.nan), "n": n}
+
+    out = halo_tiles(df, kernel, r, ["mean", "n"], max(256, size))
+    return out.select("row", "col", "mean", F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"), F.lit(len(cells)).alias("kernel_size"))
 
 
 def convolution(df: DataFrame, kernels: dict[str, list[list[float]]], size: int = 256) -> DataFrame:
