@@ -138,7 +138,7 @@ def _segments(length: int, gram: int):
 _WORDS = "shard long, id long, first int, last int, words binary"
 
 
-def _words_of(length: int, wide: int):
+def _words_of(length: int, wide: int, id_at: int, text_at: int, spans_at: int):
     """The words of spans that wait, from texts joined with their spans. Spans of an anchor with more than wide rows are
     parted into windows; windows that an earlier text of the block has are settled, and their runs have null words."""
 
@@ -184,9 +184,9 @@ def _words_of(length: int, wide: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = numbers(batch.column(0))
-            for block in blocks(batch.column(1), 1 << 19):
-                out = rows_of(block, ids, batch.column(2))
+            ids = numbers(batch.column(id_at))
+            for block in blocks(batch.column(text_at), 1 << 19):
+                out = rows_of(block, ids, batch.column(spans_at))
                 if out is not None:
                     yield out
 
@@ -323,14 +323,16 @@ def _cut(batch: pa.RecordBatch, text_at: int, spans_at: int) -> list[pa.Array]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
-    """(id, first, last): words of documents (doc_id, text) that some earlier window covers. Spans may overlap; a missing id
-    is the smallest long."""
-    rows = bound_batches(docs.select("doc_id", "text")).mapInArrow(tidy(_segments(length, gram)), _ROWS)
+    """(id, first, last): words of documents (_number, text and further columns) that some earlier window covers. Spans may
+    overlap. All columns of docs take part in its join with the spans that wait, so that a later join by _number can use the
+    same shuffle of texts."""
+    rows = bound_batches(docs.select("_number", "text")).mapInArrow(tidy(_segments(length, gram)), _ROWS)
     met = rows.repartition("route").withColumn("variants", F.count("*").over(Window.partitionBy("route")))
     spans = keep(met.where("anchor is null or variants > 1").drop("route"), "spans")
-    waiting = spans.where("anchor is not null").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "variants")).alias("spans"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(waiting, "id")
-    words = texts.select("id", "text", "spans").mapInArrow(tidy(_words_of(length, wide)), _WORDS)
+    waiting = spans.where("anchor is not null").groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("first", "last", "anchor", "variants")).alias("_waiting"))
+    texts = docs.join(waiting, F.col("_number") == F.col("_id"))
+    at = [texts.columns.index(c) for c in ("_number", "text", "_waiting")]
+    words = texts.mapInArrow(tidy(_words_of(length, wide, *at)), _WORDS)
     matched = words.repartition("shard").sortWithinPartitions("shard", "id", "first").mapInArrow(tidy(_match(length)), "id long, first int, last int")
     return spans.where("anchor is null").select("id", "first", "last").unionByName(matched)
 
@@ -353,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
     it is. With digest, kept_sha256 (of the kept words) stands in for the text."""
     need = ("doc_id", "text")
     numbered = _numbered(shield(docs, need))
-    spans = repeated_spans(numbered.select(F.col("_number").alias("doc_id"), "text"), length, gram, wide).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    spans = repeated_spans(numbered, length, gram, wide).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     joined = numbered.join(spans, F.col("_number") == F.col("_id"), "left").drop("_id", "_number")
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 
