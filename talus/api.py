@@ -192,6 +192,6 @@ class PointCloud:
         return Raster(resample.grid_points(self.df, grid, radius), grid)
 
     def coregister_3d(self, reference: Raster, method, inlier: DataFrame | None = None) -> tuple[PointCloud, object]:
-        """The points moved by what aligns their cells to a reference."""
-        fit = method.fit(reference.df, resample.grid_points(self.df, reference.grid), reference.grid, inlier)
+        """The points moved onto a reference, and the fitted model."""
+        fit = method.fit_points(reference.df, self.df, reference.grid, inlier)
         return self.copy(fit.apply_points(self.df)), fit

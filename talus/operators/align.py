@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -53,6 +54,23 @@ def _dh(sampled: DataFrame, tba: DataFrame, east: float, north: float) -> DataFr
     return resample.interp(placed, tba, {"zt": "z"}).withColumn("dh", F.col("z") - F.col("zt")).where("dh is not null")
 
 
+def located(points: DataFrame, grid: Grid, inlier: DataFrame | None, subsample: float, seed: int) -> DataFrame:
+    """A sample of points (pid, x, y, z) chosen by hash, with their place on the grid (row0, col0); with a mask of cells only
+    those whose nearest cell it holds."""
+    row, col = grid.place(F.col("x"), F.col("y"))
+    rows = points.where("x is not null and y is not null and z is not null").select("pid", "x", "y", "z", row.alias("row0"), col.alias("col0"))
+    if inlier is not None:
+        rows = include(rows.withColumns({"row": F.floor(F.col("row0") + 0.5).cast("int"), "col": F.floor(F.col("col0") + 0.5).cast("int")}), inlier).drop("row", "col")
+    return sample(rows, subsample, seed, ["pid"])
+
+
+def _dh_points(sampled: DataFrame, raster: DataFrame, east: float, north: float) -> DataFrame:
+    """sampled points moved by cells east and north, with dh (raster less point) and the raster's gradients there."""
+    placed = sampled.withColumns({"prow": F.col("row0") - north, "pcol": F.col("col0") + east})
+    met = resample.interp(placed, raster, {"zt": "z", "gx": "gx", "gn": "gn"})
+    return met.withColumn("dh", F.col("zt") - F.col("z")).where("dh is not null")
+
+
 @dataclass
 class Fit:
     """A fitted model: the matrix, the point it turns about, and what the method reports."""
@@ -75,6 +93,14 @@ class Fit:
     def rotations(self) -> tuple[float, float, float]:
         return resample.decompose(self.matrix)[3:]
 
+    def inverse(self) -> Fit:
+        """The fit that moves the other way."""
+        return Fit(resample.invert(self.matrix), self.centroid, self.report)
+
+    @property
+    def is_translation(self) -> bool:
+        return bool(np.allclose(np.asarray(self.matrix)[:3, :3], np.eye(3)))
+
 
 class Method:
     """A step of an alignment. Steps add up to pipelines with ``+``."""
@@ -85,6 +111,25 @@ class Method:
     def fit(self, ref: DataFrame, tba: DataFrame, grid: Grid, inlier: DataFrame | None = None) -> Fit:
         raise NotImplementedError(f"{type(self).__name__} has no fit")
 
+    #: Whether the fit is a matrix, and whether it is without rotation where the method is left at its defaults.
+    is_affine: ClassVar[bool] = True
+    is_translation: ClassVar[bool | None] = None
+
+    def fit_points(self, raster: DataFrame, points: DataFrame, grid: Grid, inlier: DataFrame | None = None, points_are: str = "tba") -> Fit:
+        """A fit between a raster and points (pid, x, y, z): it moves the points onto the raster, or with ``points_are="ref"``
+        the raster onto the points."""
+        if points_are not in ("tba", "ref"):
+            raise ValueError("points are tba or ref")
+        fitted = self._fit_points(raster, points, grid, inlier)
+        return fitted if points_are == "tba" else fitted.inverse()
+
+    def _fit_points(self, raster, points, grid, inlier) -> Fit:
+        raise NotImplementedError(f"{type(self).__name__} takes no points")
+
+    def info(self) -> dict:
+        """The method's name and settings, and what kind of transform it fits."""
+        return {"method": type(self).__name__, "is_affine": self.is_affine, "is_translation": self.is_translation, "settings": dict(vars(self))}
+
     def fit_and_apply(self, ref: DataFrame, tba: DataFrame, grid: Grid, inlier: DataFrame | None = None) -> tuple[DataFrame, Fit]:
         fitted = self.fit(ref, tba, grid, inlier)
         return fitted.apply(tba, grid)[0], fitted
@@ -100,10 +145,16 @@ class VerticalShift(Method):
 
     quantile: float = 0.5
     subsample: float = 1
+    is_translation: ClassVar[bool | None] = True
 
     def fit(self, ref, tba, grid, inlier=None) -> Fit:
-        sampled = prepare(ref, inlier, self.subsample, self.seed)
-        got = quantiles(_dh(sampled, tba, 0.0, 0.0), [], "dh", {"shift": self.quantile}).first()
+        return self._shift(_dh(prepare(ref, inlier, self.subsample, self.seed), tba, 0.0, 0.0))
+
+    def _fit_points(self, raster, points, grid, inlier) -> Fit:
+        return self._shift(_dh_points(located(points, grid, inlier, self.subsample, self.seed), gradients(raster), 0.0, 0.0))
+
+    def _shift(self, dh: DataFrame) -> Fit:
+        got = quantiles(dh, [], "dh", {"shift": self.quantile}).first()
         if got is None:
             raise ValueError("the surfaces have no valid cell in common")
         return Fit(resample.matrix(tz=float(got["shift"])), report={"shift_z": float(got["shift"]), "n": got["n"]})
@@ -125,37 +176,53 @@ class NuthKaab(Method):
     bins: int = 72
     subsample: float = 5e5
     vertical: bool = True
+    is_translation: ClassVar[bool | None] = True
 
     def fit(self, ref, tba, grid, inlier=None) -> Fit:
-        tan = F.sqrt(F.col("gx") * F.col("gx") + F.col("gn") * F.col("gn"))
-        around = F.atan2(F.col("gx"), F.col("gn"))
-        width = 2 * math.pi / self.bins
-        sampled = prepare(ref, inlier, self.subsample, self.seed).withColumn("tan", tan).where("tan > 1e-9")
-        sampled = sampled.withColumn("asp", around - F.floor(around / (2 * math.pi)) * (2 * math.pi)).persist()
+        sampled = self._aspects(prepare(ref, inlier, self.subsample, self.seed)).persist()
         tba = tba.select("row", "col", "z").persist()  # both are met again in every iteration
-        east = north = up = 0.0
-        steps = 0
         try:
-            for steps in range(1, self.max_iterations + 1):
-                dh = _dh(sampled, tba, east, north)
-                up = quantiles(dh, [], "dh", {"m": 0.5}).first()
-                if up is None:
-                    raise ValueError("no valid cell is left in common")
-                up = float(up["m"])
-                ratio = dh.select(((F.col("dh") - up) / F.col("tan")).alias("y"), F.least(F.lit(self.bins - 1), F.floor(F.col("asp") / width)).alias("bin"))
-                medians = quantiles(ratio, ["bin"], "y", {"y": 0.5}).collect()
-                if len(medians) < 3:
-                    raise ValueError("too few aspects hold values")
-                a, b, _ = cosine_fit([((r["bin"] + 0.5) * width, r["y"]) for r in medians])
-                # dh = -gradient . (true - present shift): the fitted vector points against the shift that is missing
-                east, north = east - a * math.sin(b), north - a * math.cos(b)
-                if steps >= 2 and a < self.tolerance:
-                    break
-            final = quantiles(_dh(sampled, tba, east, north), [], "dh", {"m": 0.5}).first()
-            up = float(final["m"]) if final else up
+            return self._search(lambda east, north: _dh(sampled, tba, east, north), grid)
         finally:
             sampled.unpersist()
             tba.unpersist()
+
+    def _fit_points(self, raster, points, grid, inlier) -> Fit:
+        sampled = located(points, grid, inlier, self.subsample, self.seed).persist()
+        raster = gradients(raster).persist()
+        try:
+            return self._search(lambda east, north: self._aspects(_dh_points(sampled, raster, east, north)), grid)
+        finally:
+            sampled.unpersist()
+            raster.unpersist()
+
+    @staticmethod
+    def _aspects(df: DataFrame) -> DataFrame:
+        tan = F.sqrt(F.col("gx") * F.col("gx") + F.col("gn") * F.col("gn"))
+        around = F.atan2(F.col("gx"), F.col("gn"))
+        return df.withColumn("tan", tan).where("tan > 1e-9").withColumn("asp", around - F.floor(around / (2 * math.pi)) * (2 * math.pi))
+
+    def _search(self, dh_at: Callable[[float, float], DataFrame], grid: Grid) -> Fit:
+        width = 2 * math.pi / self.bins
+        east = north = up = 0.0
+        steps = 0
+        for steps in range(1, self.max_iterations + 1):
+            dh = dh_at(east, north)
+            up = quantiles(dh, [], "dh", {"m": 0.5}).first()
+            if up is None:
+                raise ValueError("no valid cell is left in common")
+            up = float(up["m"])
+            ratio = dh.select(((F.col("dh") - up) / F.col("tan")).alias("y"), F.least(F.lit(self.bins - 1), F.floor(F.col("asp") / width)).alias("bin"))
+            medians = quantiles(ratio, ["bin"], "y", {"y": 0.5}).collect()
+            if len(medians) < 3:
+                raise ValueError("too few aspects hold values")
+            a, b, _ = cosine_fit([((r["bin"] + 0.5) * width, r["y"]) for r in medians])
+            # dh = -gradient . (true - present shift): the fitted vector points against the shift that is missing
+            east, north = east - a * math.sin(b), north - a * math.cos(b)
+            if steps >= 2 and a < self.tolerance:
+                break
+        final = quantiles(dh_at(east, north), [], "dh", {"m": 0.5}).first()
+        up = float(final["m"]) if final else up
         shift = (east * grid.resolution, north * grid.resolution, up if self.vertical else 0.0)
         return Fit(resample.matrix(*shift), report={"shift_x": shift[0], "shift_y": shift[1], "shift_z": shift[2], "iterations": steps})
 
@@ -168,25 +235,42 @@ class DhMinimize(Method):
     subsample: float = 5e5
     tolerance: float = 1e-3
 
+    is_translation: ClassVar[bool | None] = True
+
     def fit(self, ref, tba, grid, inlier=None) -> Fit:
         sampled, tba = prepare(ref, inlier, self.subsample, self.seed).persist(), tba.select("row", "col", "z").persist()
-        loss = self.loss or (lambda dh: float(nmad(dh, "dh").first()["nmad"]))
         try:
-            best, cost = nelder_mead(lambda v: loss(_dh(sampled, tba, v[0], v[1])), np.zeros(2), 1.0, self.tolerance)
-            up = float(quantiles(_dh(sampled, tba, *best), [], "dh", {"m": 0.5}).first()["m"])
+            return self._search(lambda east, north: _dh(sampled, tba, east, north), grid)
         finally:
             sampled.unpersist()
             tba.unpersist()
+
+    def _fit_points(self, raster, points, grid, inlier) -> Fit:
+        sampled, raster = located(points, grid, inlier, self.subsample, self.seed).persist(), gradients(raster).persist()
+        try:
+            return self._search(lambda east, north: _dh_points(sampled, raster, east, north), grid)
+        finally:
+            sampled.unpersist()
+            raster.unpersist()
+
+    def _search(self, dh_at: Callable[[float, float], DataFrame], grid: Grid) -> Fit:
+        loss = self.loss or (lambda dh: float(nmad(dh, "dh").first()["nmad"]))
+        best, cost = nelder_mead(lambda v: loss(dh_at(v[0], v[1])), np.zeros(2), 1.0, self.tolerance)
+        up = float(quantiles(dh_at(*best), [], "dh", {"m": 0.5}).first()["m"])
         shift = (float(best[0]) * grid.resolution, float(best[1]) * grid.resolution, up)
         return Fit(resample.matrix(*shift), report={"shift_x": shift[0], "shift_y": shift[1], "shift_z": up, "loss": cost})
 
 
 def _centre(sampled: DataFrame, grid: Grid) -> tuple[DataFrame, tuple[float, float, float]]:
-    located = sampled.withColumns({"x": grid.x(F.col("row"), F.col("col")), "y": grid.y(F.col("row"), F.col("col"))})
-    c = located.agg(F.avg("x"), F.avg("y"), F.avg("z")).first()
+    placed = sampled.withColumns({"x": grid.x(F.col("row"), F.col("col")), "y": grid.y(F.col("row"), F.col("col"))})
+    return placed, _middle(placed)
+
+
+def _middle(points: DataFrame) -> tuple[float, float, float]:
+    c = points.agg(F.avg("x"), F.avg("y"), F.avg("z")).first()
     if c[0] is None:
         raise ValueError("there is no valid cell")
-    return located, (float(c[0]), float(c[1]), float(c[2]))
+    return float(c[0]), float(c[1]), float(c[2])
 
 
 def _rigid(p: np.ndarray, only_translation: bool) -> np.ndarray:
@@ -204,11 +288,24 @@ class LZD(Method):
     subsample: float = 5e5
 
     def fit(self, ref, tba, grid, inlier=None) -> Fit:
-        g = gradients(tba).withColumns({"gx": F.col("gx") / grid.resolution, "gn": F.col("gn") / grid.resolution})
-        located, centre = _centre(prepare(ref, inlier, self.subsample, self.seed), grid)
-        located = located.select("pid", "x", "y", "z").persist()
-        g = g.persist()
-        total, steps = np.eye(4), 0  # moves the reference onto the surface
+        placed, centre = _centre(prepare(ref, inlier, self.subsample, self.seed), grid)
+        total, steps = self._solve(placed.select("pid", "x", "y", "z"), centre, tba, grid)
+        return self._told(resample.invert(total), centre, steps)
+
+    def _fit_points(self, raster, points, grid, inlier) -> Fit:
+        placed = located(points, grid, inlier, self.subsample, self.seed).select("pid", "x", "y", "z")
+        centre = _middle(placed)
+        total, steps = self._solve(placed, centre, raster, grid)
+        return self._told(total, centre, steps)
+
+    def _told(self, m: np.ndarray, centre: tuple, steps: int) -> Fit:
+        return Fit(m, centre, {"iterations": steps, "translations": resample.decompose(m)[:3], "rotations": resample.decompose(m)[3:]})
+
+    def _solve(self, points: DataFrame, centre: tuple, surface: DataFrame, grid: Grid) -> tuple[np.ndarray, int]:
+        """The matrix that moves points onto a surface, and the iterations it took."""
+        g = gradients(surface).withColumns({"gx": F.col("gx") / grid.resolution, "gn": F.col("gn") / grid.resolution}).persist()
+        located = points.persist()
+        total, steps = np.eye(4), 0
         try:
             for steps in range(1, self.max_iterations + 1):
                 moved = resample.apply_to_points(located, total, centre)
@@ -234,8 +331,7 @@ class LZD(Method):
         finally:
             located.unpersist()
             g.unpersist()
-        m = resample.invert(total)
-        return Fit(m, centre, {"iterations": steps, "translations": resample.decompose(m)[:3], "rotations": resample.decompose(m)[3:]})
+        return total, steps
 
 
 def _spread(located: DataFrame) -> float:
@@ -310,19 +406,42 @@ class ICP(Method):
     subsample: float = 5e5
 
     def fit(self, ref, tba, grid, inlier=None) -> Fit:
+        placed, centre = _centre(sample(tba.where("z is not null"), self.subsample, self.seed), grid)
+        # heights are brought together first, so that pairs lie close in plan
+        first = VerticalShift(subsample=self.subsample).fit(ref, tba, grid, inlier).report["shift_z"]
+        return self._meet(self._cells(ref, grid, inlier), placed.select(F.struct("row", "col").alias("pid"), "x", "y", "z"), centre, grid.resolution, first)
+
+    def _fit_points(self, raster, points, grid, inlier) -> Fit:
+        placed = located(points, grid, inlier, self.subsample, self.seed).select("pid", "x", "y", "z")
+        first = VerticalShift(subsample=self.subsample).fit_points(raster, points, grid, inlier).report["shift_z"]
+        return self._meet(self._cells(raster, grid, inlier), placed, _middle(placed), grid.resolution, first)
+
+    def fit_point_point(self, ref: DataFrame, tba: DataFrame, cell: float) -> Fit:
+        """A fit between two sets of points (pid, x, y, z); cell is about the distance between neighbours. Points have no
+        normals, so the method must be point-to-point."""
+        if self.method != "point-to-point":
+            raise ValueError("points without a surface are met point-to-point")
+        known = "x is not null and y is not null and z is not null"
+        none = F.lit(0.0)
+        others = ref.where(known).select(F.col("pid").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), none.alias("nx"), none.alias("ny"), none.alias("nz"))
+        placed = sample(tba.where(known).select("pid", "x", "y", "z"), self.subsample, self.seed, ["pid"])
+        return self._meet(others, placed, _middle(placed), cell, 0.0)
+
+    def _cells(self, ref: DataFrame, grid: Grid, inlier: DataFrame | None) -> DataFrame:
+        """The reference's cells as points with normals."""
         g = gradients(ref).where("z is not null")
         g = include(g, inlier) if inlier is not None else g
         r = grid.resolution
         up = F.sqrt(1 + F.pow(F.col("gx") / r, 2) + F.pow(F.col("gn") / r, 2))
-        others = g.select(
+        return g.select(
             F.struct("row", "col").alias("oid"), grid.x(F.col("row"), F.col("col")).alias("ox"), grid.y(F.col("row"), F.col("col")).alias("oy"), F.col("z").alias("oz"),
             (-F.col("gx") / r / up).alias("nx"), (-F.col("gn") / r / up).alias("ny"), (1 / up).alias("nz"),
-        ).persist()
-        located, centre = _centre(sample(tba.where("z is not null"), self.subsample, self.seed), grid)
-        located = located.select(F.struct("row", "col").alias("pid"), "x", "y", "z").persist()
+        )
+
+    def _meet(self, others: DataFrame, located: DataFrame, centre: tuple, r: float, first: float) -> Fit:
+        """Iterations that move points onto others; r is the width of a cell, first a vertical shift to begin with."""
+        others, located = others.persist(), located.persist()
         total, steps = np.eye(4), 0
-        # heights are brought together first, so that pairs lie close in plan
-        first = VerticalShift(subsample=self.subsample).fit(ref, tba, grid, inlier).report["shift_z"]
         total[2, 3] = first
         try:
             for steps in range(1, self.max_iterations + 1):
@@ -373,7 +492,19 @@ class CPD(Method):
 
     def fit(self, ref, tba, grid, inlier=None) -> Fit:
         ref = include(ref, inlier) if inlier is not None else ref
-        a, b = (self._points(df, grid) for df in (ref, tba))
+        return self._drift(*(self._points(resample.to_points(df, grid, self.subsample, self.seed)) for df in (ref, tba)), grid.resolution)
+
+    def _fit_points(self, raster, points, grid, inlier) -> Fit:
+        cells = include(raster, inlier) if inlier is not None else raster
+        placed = located(points, grid, inlier, self.subsample, self.seed)
+        return self._drift(self._points(resample.to_points(cells, grid, self.subsample, self.seed)), self._points(placed), grid.resolution)
+
+    def fit_point_point(self, ref: DataFrame, tba: DataFrame, cell: float) -> Fit:
+        """A fit between two sets of points (pid, x, y, z); the tolerance is in units of cell."""
+        known = "x is not null and y is not null and z is not null"
+        return self._drift(*(self._points(sample(p.where(known), self.subsample, self.seed, ["pid"])) for p in (ref, tba)), cell)
+
+    def _drift(self, a: np.ndarray, b: np.ndarray, cell: float) -> Fit:
         if len(a) < 3 or len(b) < 3:
             raise ValueError("too few valid cells")
         middle = np.median(a, axis=0)
@@ -392,7 +523,7 @@ class CPD(Method):
             new_shift = mu_x - new @ mu_y
             moved = y @ new.T + new_shift
             sigma2 = max(1e-10, float((pt @ (x**2).sum(axis=1) - 2 * (px * moved).sum() + p1 @ (moved**2).sum(axis=1)) / (3 * total)))
-            done = np.linalg.norm(new_shift - shift) * scale < self.tolerance * grid.resolution and steps > 5
+            done = np.linalg.norm(new_shift - shift) * scale < self.tolerance * cell and steps > 5
             rotation, shift = new, new_shift
             if done:
                 break
@@ -400,10 +531,10 @@ class CPD(Method):
         m[:3, :3], m[:3, 3] = rotation, shift * scale
         return Fit(m, tuple(map(float, middle)), {"iterations": steps, "sigma2": sigma2})
 
-    def _points(self, df: DataFrame, grid: Grid) -> np.ndarray:
+    def _points(self, df: DataFrame) -> np.ndarray:
         if self.subsample > MOST:
             raise ValueError(f"the method is quadratic in its sample and takes at most {MOST} points")
-        pts = resample.to_points(df, grid, self.subsample, self.seed).orderBy("pid").limit(MOST + 1).collect()
+        pts = df.orderBy("pid").limit(MOST + 1).collect()
         if len(pts) > MOST:
             raise ValueError(f"the method is quadratic in its sample and takes at most {MOST} points: ask for a smaller subsample")
         return np.array([(r.x, r.y, r.z) for r in pts], float).reshape(-1, 3)
@@ -450,10 +581,26 @@ class Pipeline(Method):
         return PipelineFit(fits)
 
 
+    def fit_points(self, raster, points, grid, inlier=None, points_are="tba") -> PipelineFit:
+        """The steps fitted to points one after another; they move the points onto the raster."""
+        if points_are != "tba":
+            raise NotImplementedError("a pipeline moves points onto a raster, not a raster onto points")
+        fits, now = [], points
+        for step in self.steps:
+            fits.append(step.fit_points(raster, now, grid, inlier))
+            now = fits[-1].apply_points(now)
+        return PipelineFit(fits)
+
+
 @dataclass
 class PipelineFit:
     fits: list
 
+    def apply_points(self, points: DataFrame, z: str = "z") -> DataFrame:
+        for f in self.fits:
+            points = f.apply_points(points, z)
+        return points
+
     def apply(self, df: DataFrame, grid: Grid) -> tuple[DataFrame, Grid]:
         for f in self.fits:
             df, grid = f.apply(df, grid)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,8 @@ class BiasCorr(Method):
     interpolate: bool = True
     function: str = "polynomial"
     subsample: float = 1
+    is_affine: ClassVar[bool] = False
+    is_translation: ClassVar[bool | None] = False
 
     def differences(self, ref: DataFrame, tba: DataFrame, grid: Grid, inlier: DataFrame | None) -> DataFrame:
         both = self.with_variables(tba, grid).join(ref.select(*KEY, F.col("z").alias("_ref")), KEY)
@@ -130,6 +133,8 @@ class Deramp(Method):
 
     order: int = 2
     subsample: float = 5e5
+    is_affine: ClassVar[bool] = False
+    is_translation: ClassVar[bool | None] = False
 
     def fit(self, ref, tba, grid, inlier=None) -> Correction:
         dh = BiasCorr(subsample=self.subsample).differences(ref, tba, grid, inlier)

@@ -95,6 +95,13 @@ class Collection:
             return None
         return (self.outlines.where(where) if where else self.outlines).select(*KEY).distinct()
 
+    def interpolate(self, method: str = "idw", **options) -> list[DDem]:
+        """The differences of the epochs, one by one, their missing cells filled."""
+        found = self.subtract()
+        times = [(r.start_ts, r.end_ts) for r in found.select("start_ts", "end_ts").distinct().orderBy("start_ts", "end_ts").collect()]
+        parts = [(found.where((F.col("start_ts") == a) & (F.col("end_ts") == b)).drop("start_ts", "end_ts"), a, b) for a, b in times]
+        return [DDem(df, a, b).interpolate(method, **options) for df, a, b in parts]
+
     def dh(self, where: str | None = None, missing_ok: bool = False) -> DataFrame:
         return dh_series(self.subtract(), self.cell_area, self.mask(where), missing_ok)
 

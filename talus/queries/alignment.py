@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from talus.grid import Grid
 from talus.operators import align, biascorr, blockwise, resample
 from talus.queries.statistics import r6
-from talus.queries.surfaces import DENSE, PAIR
+from talus.queries.surfaces import DENSE, PAIR, POINTS
 from talus.sources import tables
 
 QUERIES, SQL = {}, {}
@@ -64,6 +64,30 @@ def _(spark, sf):
     return spark.createDataFrame([(round(report["shift_z"], 6), report["n"])], "shift_z double, n long")
 
 
+#: Points spread over the cells of the dense surface.
+_ON_GRID = f"WITH s AS ({DENSE}), p AS (SELECT pid, x / 4 + 0.13 AS c, y - floor(y / 400) * 400 AS r, z / 10 AS z FROM ({POINTS})), q AS (SELECT *, floor(r) AS r0, floor(c) AS c0 FROM p)"
+
+
+@query("vshift_points", _ON_GRID + ", d AS (SELECT (1 - (r - r0)) * ((1 - (c - c0)) * a.z + (c - c0) * b.z) + (r - r0) * ((1 - (c - c0)) * d.z + (c - c0) * e.z) - q.z AS dh FROM q JOIN s a ON a.row = r0 AND a.col = c0 JOIN s b ON b.row = r0 AND b.col = c0 + 1 JOIN s d ON d.row = r0 + 1 AND d.col = c0 JOIN s e ON e.row = r0 + 1 AND e.col = c0 + 1) SELECT round(median(dh), 6) AS shift_z, count(*) AS n FROM d")
+def _(spark, sf):
+    """The vertical shift that brings points onto a raster, and how many points meet it."""
+    p = tables.points(spark, sf)
+    grid = Grid(area_or_point="Point")
+    spread = p.select("pid", (F.col("x") / 4 + 0.13).alias("pcol"), (F.col("y") - F.floor(F.col("y") / 400) * 400).alias("prow"), (F.col("z") / 10).alias("z"))
+    points = spread.select("pid", grid.x(F.col("prow"), F.col("pcol")).alias("x"), grid.y(F.col("prow"), F.col("pcol")).alias("y"), "z")
+    report = align.VerticalShift().fit_points(tables.dense(spark, sf), points, grid).report
+    return spark.createDataFrame([(round(report["shift_z"], 6), report["n"])], "shift_z double, n long")
+
+
+@query("nk_points")
+def _(spark, sf):
+    """The shift between a raster and points taken from it by interpolation, moved by a known amount."""
+    ref, _tba = moved_pair(spark, sf)
+    cells = ref.where("z is not null").select(F.struct("row", "col").alias("pid"), (GRID.x(F.col("row"), F.col("col")) - 0.3).alias("x"), GRID.y(F.col("row"), F.col("col")).alias("y"), (F.col("z") - 2).alias("z"))
+    t = align.NuthKaab().fit_points(ref, cells, GRID).translations
+    return spark.createDataFrame([tuple(round(v, 2) for v in t)], "shift_x double, shift_y double, shift_z double")
+
+
 _NK = """
 WITH s AS ({dense}), h AS (
   SELECT row, col, 30 * sin(row / 9.0) + 25 * cos(col / 7.0) + 12 * sin((row + 2 * col) / 13.0) + z / 200 AS z FROM s

@@ -93,7 +93,7 @@ def _(spark, sf):
     return d.select("area", F.round(geostat.neff_circular(F.col("area"), MODELS), 6).alias("n_eff"))
 
 
-@query("neff_numerical")
+@query("neff_numerical", f"SELECT area, round({_NEFF}, 6) AS n_eff FROM (SELECT area, sqrt(area / pi()) AS l FROM (SELECT unnest([100.0::DOUBLE, 5000.0::DOUBLE, 90000.0::DOUBLE]) AS area))")
 def _(spark, sf):
     rows = [(float(a), round(geostat.neff_numerical(a, MODELS), 6)) for a in (100.0, 5000.0, 90000.0)]
     return spark.createDataFrame(rows, "area double, n_eff double")
@@ -124,6 +124,18 @@ def _(spark, sf):
     return geostat.propagate(s, MODELS, 4.0).select("zone", *r6("mean_sigma"), "area", *r6("n_eff", "standard_error"))
 
 
+#: A stable model of smoothness 1 and a Matern model of smoothness 1/2 are exponential models, whose integral is known.
+_EXPONENTIAL = "(1 / (2 * power(60 / 3.0 / l, 2) * (1 - exp(-l / (60 / 3.0)) * (1 + l / (60 / 3.0)))))"
+
+
+@query("error_propagation_stable", f"WITH s AS ({SPARSE}), z AS (SELECT row % 5 AS zone, avg(1 + z / 50) AS mean_sigma, count(*) * 4.0 AS area FROM s GROUP BY 1), n AS (SELECT *, sqrt(area / pi()) AS l FROM z) SELECT zone, round(mean_sigma, 6) AS mean_sigma, area, round({_EXPONENTIAL}, 4) AS n_eff, round(mean_sigma / sqrt({_EXPONENTIAL}), 4) AS standard_error FROM n")
+def _(spark, sf):
+    """Errors of zones under a model whose effective samples are integrated numerically."""
+    s = tables.sparse(spark, sf).select((F.col("row") % 5).alias("zone"), (1 + F.col("z") / 50).alias("sigma"))
+    got = geostat.propagate(s, [{"model": "stable", "range": 60.0, "psill": 1.5, "smooth": 1.0}], 4.0)
+    return got.select("zone", *r6("mean_sigma"), "area", F.round("n_eff", 4).alias("n_eff"), F.round("standard_error", 4).alias("standard_error"))
+
+
 @query("standard_errors", "SELECT k, round(2 / sqrt(k), 6) AS se, round(2 * sqrt((1 - k / 500.0) / k), 6) AS se_finite FROM (SELECT CAST(unnest(range(1, 500, 3)) AS BIGINT) AS k)")
 def _(spark, sf):
     k = F.col("k")
@@ -145,7 +157,16 @@ def _(spark, sf):
     return nmad(laid, "mean", ["i", "j"]).select("i", "j", "n", *r6("nmad"))
 
 
-@query("patches_areas")
+_PATCHES = (
+    f"WITH s AS ({SPARSE}), k(size, cells) AS (VALUES (3, 9), (5, 21))"
+    """, m AS (SELECT k.size, k.cells, a.row, a.col, avg(b.z) AS mean, count(b.z) AS n FROM k, s a JOIN s b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2
+  WHERE abs(a.row - b.row) <= k.size // 2 AND abs(a.col - b.col) <= k.size // 2 AND power(a.row - b.row, 2) + power(a.col - b.col, 2) < power(k.size / 2.0, 2) GROUP BY 1, 2, 3, 4),
+g AS (SELECT size, row % size AS i, col % size AS j, 1.4826 * mad(mean) AS nmad, count(*) AS n FROM m WHERE n * 100.0 >= 80.0 * cells GROUP BY 1, 2, 3)
+SELECT CAST(size * size AS DOUBLE) AS areas, CAST(size * size AS DOUBLE) AS exact_areas, CAST(coalesce(sum(n) FILTER (WHERE i = 0 AND j = 0), 0) AS BIGINT) AS n, round(avg(nmad), 6) AS nmad FROM g GROUP BY size"""
+)
+
+
+@query("patches_areas", _PATCHES)
 def _(spark, sf):
     t = geostat.patches_method(tables.sparse(spark, sf).select("row", "col", "z"), [9.0, 25.0], shape="circular")
     return spark.createDataFrame([(float(r.areas), float(r.exact_areas), int(r.nb_indep_patches), round(float(r.nmad), 6)) for r in t.itertuples()], "areas double, exact_areas double, n long, nmad double")

@@ -73,7 +73,17 @@ def _(spark, sf):
     return hypso.hypsometry_area(hypso.hypsometric_binning(d, 8, "count"), d, 400.0).select(*r6("left", "right"), "area")
 
 
-@query("hypso_area_mean")
+_AREA_MEAN = (
+    _COUNT
+    + """, k AS (SELECT (l + r) / 2 AS m, value, row_number() OVER (ORDER BY l) AS i, count(*) OVER () AS n FROM t WHERE value IS NOT NULL),
+g AS (SELECT m AS a, lead(m) OVER (ORDER BY i) AS b, value AS va, lead(value) OVER (ORDER BY i) AS vb, i, n FROM k),
+h AS (SELECT d.z - (va + (d.z - a) * (vb - va) / (b - a)) / 2 AS z FROM d JOIN g ON b IS NOT NULL AND (d.z > a OR i = 1) AND (d.z <= b OR i = n - 1)),
+o AS (SELECT l, r, bin = max(bin) OVER () AS last FROM t)
+SELECT round(o.l, 6) AS "left", round(o.r, 6) AS "right", count(h.z) * 400.0 AS area FROM o LEFT JOIN h ON h.z >= o.l AND (h.z < o.r OR (o.last AND h.z = o.r)) GROUP BY o.l, o.r"""
+)
+
+
+@query("hypso_area_mean", _AREA_MEAN)
 def _(spark, sf):
     d = change(spark, sf)
     bins = hypso.interpolate_bins(hypso.hypsometric_binning(d, 8, "count"))
@@ -90,7 +100,15 @@ def _(spark, sf):
     return hypso.fit_bins(hypso.hypsometric_binning(change(spark, sf), 5.0), 3, 3, 10).select(*r6("left", "right", "value"), "count")
 
 
-@query("hypso_fill")
+_FILL = (
+    _FIXED
+    + """, k AS (SELECT (l + r) / 2 AS m, value FROM t WHERE value IS NOT NULL),
+f AS (SELECT d.row, d.col, d.dh, d.z, arg_max(k.value, k.m) FILTER (WHERE k.m <= d.z) AS p, max(k.m) FILTER (WHERE k.m <= d.z) AS pm, arg_min(k.value, k.m) FILTER (WHERE k.m > d.z) AS q, min(k.m) FILTER (WHERE k.m > d.z) AS qm FROM d CROSS JOIN k GROUP BY d.row, d.col, d.dh, d.z)
+SELECT row, col, round(coalesce(dh, CASE WHEN p IS NULL THEN q WHEN q IS NULL THEN p ELSE p + (q - p) * (z - pm) / (qm - pm) END), 6) AS dh FROM f"""
+)
+
+
+@query("hypso_fill", _FILL)
 def _(spark, sf):
     return hypso.fill_hypsometric(change(spark, sf), 10.0).select("row", "col", *r6("dh"))
 
@@ -125,7 +143,20 @@ def _(spark, sf):
     return hypso.regional_signal(change(spark, sf), 10).select("bin", *r6("w_mean", "std"), "count", *r6("median", "sigma_upper"))
 
 
-@query("regional_fill")
+_REGION_FILL = (
+    _D
+    + """, s AS (SELECT zone, min(z) AS lo, max(z) AS hi FROM d WHERE zone > 0 GROUP BY zone),
+v AS (SELECT d.zone, CAST(least(9, floor((z - lo) / (hi - lo) * 10)) AS INTEGER) AS bin, avg(dh) AS v, count(*) AS k FROM d JOIN s ON d.zone = s.zone WHERE dh IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT zone, min(v) AS a, max(v) AS b FROM v GROUP BY zone), n AS (SELECT bin, (v - a) / (b - a) AS s, k FROM v JOIN e USING (zone)),
+g AS (SELECT bin, sum(s * k) / sum(k) AS w FROM n GROUP BY bin),
+c AS (SELECT d.row, d.col, d.zone, d.dh, CASE WHEN s.zone IS NOT NULL THEN CAST(least(9, floor((z - lo) / (hi - lo) * 10)) AS INTEGER) END AS bin FROM d LEFT JOIN s ON d.zone = s.zone),
+m AS (SELECT c.row, c.col, c.zone, c.dh, g.w FROM c LEFT JOIN g ON c.bin = g.bin),
+f AS (SELECT zone, regr_slope(dh, w) AS slope, regr_intercept(dh, w) AS level FROM m WHERE dh IS NOT NULL AND w IS NOT NULL GROUP BY zone)
+SELECT m.row, m.col, round(coalesce(dh, slope * w + level), 6) AS dh FROM m LEFT JOIN f ON m.zone = f.zone"""
+)
+
+
+@query("regional_fill", _REGION_FILL)
 def _(spark, sf):
     return hypso.fill_regional(change(spark, sf), n_bins=10).select("row", "col", *r6("dh"))
 

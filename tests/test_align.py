@@ -197,3 +197,54 @@ def test_robust_polynomial_and_sines(spark):
     xs = np.linspace(0, 100, 200)
     p = fitting.fit_sines(xs, 5 * np.sin(2 * np.pi / 30 * xs + 1) + 2 * np.sin(2 * np.pi / 8 * xs), 2)
     assert p[0] == pytest.approx(5, abs=0.3) and p[1] == pytest.approx(30, abs=0.5)
+
+
+def scattered(spark, dx=0.0, dy=0.0, dz=0.0, n=900, seed=3):
+    """Points on the hills, by bilinear interpolation, moved away by (dx, dy, dz)."""
+    z = hills()
+    rng = np.random.default_rng(seed)
+    r, c = rng.uniform(6, N - 8, (2, n))
+    i, j = r.astype(int), c.astype(int)
+    a, b = r - i, c - j
+    h = z[i, j] * (1 - a) * (1 - b) + z[i + 1, j] * a * (1 - b) + z[i, j + 1] * (1 - a) * b + z[i + 1, j + 1] * a * b
+    row, col = spark.range(1).select(GRID.x(F.lit(0.0), F.lit(0.0)).alias("x"), GRID.y(F.lit(0.0), F.lit(0.0)).alias("y")).first()
+    x, y = row + c * GRID.resolution, col - r * GRID.resolution
+    rows = [(k, float(x[k] - dx), float(y[k] - dy), float(h[k] - dz)) for k in range(n)]
+    return spark.createDataFrame(rows + [(n, None, 1.0, 2.0), (n + 1, 1.0, 1.0, None)], "pid long, x double, y double, z double")
+
+
+@pytest.mark.parametrize("method", [align.VerticalShift(), align.NuthKaab(), align.LZD(only_translation=True, max_iterations=20), align.ICP(only_translation=True, max_iterations=30)])
+def test_points_are_moved_onto_a_raster_and_back(spark, method):
+    ref = from_array(spark, hills())
+    shift = (0.0, 0.0, 4.0) if isinstance(method, align.VerticalShift) else (0.7 * GRID.resolution, -0.5 * GRID.resolution, 4.0)
+    points = scattered(spark, *shift)
+    fit = method.fit_points(ref, points, GRID)
+    near = [0.12 * GRID.resolution, 0.12 * GRID.resolution, 0.6]
+    assert all(abs(a - b) <= t for a, b, t in zip(fit.translations, shift, near, strict=True)), fit.translations
+    back = method.fit_points(ref, points, GRID, points_are="ref")
+    assert back.translations == pytest.approx([-v for v in fit.translations], abs=1e-6)
+    with pytest.raises(ValueError):
+        method.fit_points(ref, points, GRID, points_are="both")
+
+
+def test_points_meet_points_and_pipelines_move_points(spark):
+    ref, tba = scattered(spark, n=300), scattered(spark, 6.0, -4.0, 2.0, n=300)
+    fit = align.CPD(only_translation=True, subsample=1).fit_point_point(ref, tba, GRID.resolution)
+    assert fit.translations == pytest.approx((6.0, -4.0, 2.0), abs=1.0)
+    met = align.ICP("point-to-point", only_translation=True, picky=False).fit_point_point(ref, tba, GRID.resolution)
+    assert met.translations == pytest.approx((6.0, -4.0, 2.0), abs=1.5)
+    with pytest.raises(ValueError):
+        align.ICP().fit_point_point(ref, tba, 1.0)
+    with pytest.raises(NotImplementedError):
+        biascorr.Deramp().fit_points(from_array(spark, hills()), ref, GRID)
+    steps = align.VerticalShift() + align.NuthKaab(max_iterations=4)
+    fits = steps.fit_points(from_array(spark, hills()), scattered(spark, 0.0, 0.0, 5.0), GRID)
+    assert fits.matrix[2, 3] == pytest.approx(5.0, abs=0.3)
+    assert align.NuthKaab().info()["is_translation"] and not align.LZD().is_translation and not biascorr.Deramp.is_affine
+
+
+def test_masks_hold_for_points(spark):
+    ref = from_array(spark, hills())
+    points = scattered(spark, 0.0, 0.0, 2.0).withColumn("z", F.when(GRID.place(F.col("x"), F.col("y"))[0] < N / 2, F.col("z") - 30).otherwise(F.col("z")))
+    fit = align.VerticalShift().fit_points(ref, points, GRID, ref.where(f"row > {N // 2 + 1}"))
+    assert fit.translations[2] == pytest.approx(2.0, abs=0.05)
