@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.numeric import nelder_mead
+from talus.operators.masks import sample
+from talus.operators.stats import nmad
 
 
 def rmse(y: Column, p: Column) -> Column:
@@ -93,22 +95,78 @@ def linear_fit(df: DataFrame, terms: list[Column], target: Column, robust: bool
     return c
 
 
+#: Rows from which subsets are drawn, and subsets, of the estimators by subsets.
+POOL, SUBSETS, TRIALS = 20_000, 10_000, 100
+
+
+def subset_fit(df: DataFrame, terms: list[Column], target: Column, estimator: str, seed: int = 42) -> np.ndarray:
+    """Coefficients by fits to random smallest subsets.
+
+    ``ransac``: of 100 such fits the one with the most rows within a threshold (the median absolute deviation of the target)
+    wins, and is refitted to those rows; rows are counted for all fits in one pass over all data. ``theil-sen``: the spatial
+    median of 10 000 such fits. Subsets are drawn from a sample of at most 20 000 different rows, which is chosen by hash."""
+    n = len(terms)
+    rows = df.select(*(t.cast("double").alias(f"t{k}") for k, t in enumerate(terms)), target.cast("double").alias("y")).dropna()
+    names = [f"t{k}" for k in range(n)]
+    # equal rows have one hash, so one of them that repeats often could fill a sample
+    pool = sample(rows.distinct(), POOL, seed, [*names, "y"]).toPandas().sort_values([*names, "y"]).to_numpy(float)
+    if len(pool) < n:
+        raise ValueError("there are fewer different rows than terms")
+    rng, found = np.random.default_rng(seed), []
+    wanted = TRIALS if estimator == "ransac" else SUBSETS
+    for _ in range(4):  # singular subsets are drawn again, a few times
+        picks = pool[rng.integers(0, len(pool), (wanted, n))]
+        sides = picks[:, :, :n]
+        good = np.abs(np.linalg.det(sides)) > 1e-9 * np.maximum(np.prod(np.linalg.norm(sides, axis=2), axis=1), 1e-300)
+        found.extend(np.linalg.solve(sides[good], picks[good][:, :, n:])[:, :, 0])
+        if len(found) >= wanted:
+            break
+    if not found:
+        return linear_fit(rows, [F.col(t) for t in names], F.col("y"))
+    fits = np.array(found[:wanted])
+    if estimator == "theil-sen":
+        return _spatial_median(fits)
+    threshold = float(nmad(rows, "y", nfact=1.0).first()["nmad"]) or 1e-9
+    misses = [F.abs(F.col("y") - sum((F.col(t) * float(v) for t, v in zip(names, c, strict=True)), F.lit(0.0))) for c in fits]
+    counts = rows.agg(*(F.count_if(m <= threshold).alias(f"n{k}") for k, m in enumerate(misses))).first()
+    return linear_fit(rows.where(misses[int(np.argmax(counts))] <= threshold), [F.col(t) for t in names], F.col("y"))
+
+
+def _spatial_median(points: np.ndarray, most: int = 300) -> np.ndarray:
+    """The point with the least sum of distances, by re-weighted means."""
+    at = np.median(points, axis=0)
+    for _ in range(most):
+        w = 1 / np.maximum(np.linalg.norm(points - at, axis=1), 1e-12)
+        new = (points * w[:, None]).sum(axis=0) / w.sum()
+        if np.allclose(new, at, rtol=1e-10, atol=1e-12):
+            return new
+        at = new
+    return at
+
+
 def best_order(costs: list[float], margin: float = 20.0) -> int:
     """The first of costs that is within so many percent of the best."""
     best = min(costs)
     return next(k for k, c in enumerate(costs) if c <= best * (1 + margin / 100) + 1e-12)
 
 
-def fit_polynomial(df: DataFrame, x: str, y: str, max_order: int = 6, loss: str = "soft", margin: float = 20.0, robust: bool = True) -> tuple[list[float], int]:
+def fit_polynomial(df: DataFrame, x: str, y: str, max_order: int = 6, loss: str = "soft", margin: float = 20.0, robust: bool = True, estimator: str | None = None) -> tuple[list[float], int]:
     """Coefficients (ascending) and order of the lowest polynomial whose loss is within a margin of the best. Powers are taken
-    of x scaled to -1..1, and the costs of all orders come from one pass."""
+    of x scaled to -1..1, and the costs of all orders come from one pass. The estimator is linear, huber, theil-sen or ransac;
+    left out, huber or linear as ``robust`` says."""
+    estimator = estimator or ("huber" if robust else "linear")
+    if estimator not in ("linear", "huber", "theil-sen", "ransac"):
+        raise ValueError("the estimator is linear, huber, theil-sen or ransac")
     ends = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     if ends["lo"] is None:
         raise ValueError("there is no valid value to fit")
     centre, half = (ends["lo"] + ends["hi"]) / 2, max((ends["hi"] - ends["lo"]) / 2, 1e-12)
     t = (F.col(x) - centre) / half
     df = df.select(x, y).dropna().persist()
-    fits = [linear_fit(df, [F.pow(t, F.lit(k)) if k else F.lit(1.0) for k in range(order + 1)], F.col(y), robust) for order in range(1, max_order + 1)]
+    powers = [F.pow(t, F.lit(k)) if k else F.lit(1.0) for k in range(max_order + 1)]
+    by_subsets = estimator in ("theil-sen", "ransac")
+    fit = (lambda p: subset_fit(df, p, F.col(y), estimator)) if by_subsets else (lambda p: linear_fit(df, p, F.col(y), estimator == "huber"))
+    fits = [fit(powers[: order + 1]) for order in range(1, max_order + 1)]
     cost = df.agg(*(LOSSES[loss](F.col(y), polynomial_1d(t, list(c))).alias(f"c{k}") for k, c in enumerate(fits))).first()
     df.unpersist()
     k = best_order(list(cost), margin)

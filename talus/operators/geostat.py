@@ -429,3 +429,38 @@ def patches_method(df: DataFrame, areas: Sequence[float], cell_area: float = 1.0
         laid, spread = patches(df, size, min_valid, shape)
         rows.append({"nmad": spread, "nb_indep_patches": laid.where("i = 0 and j = 0").count(), "exact_areas": size * size * cell_area, "areas": area})
     return pd.DataFrame(rows)
+
+
+def patches_by_quadrant(
+    df: DataFrame, area: float, cell_area: float = 1.0, n_patches: int = 1000, min_valid: float = 80.0, shape: str = "circular", statistics: dict | None = None, seed: int = 42
+) -> tuple[DataFrame, dict]:
+    """Separate patches of cells (row, col, z): one in each quadrant of the raster, at most n_patches of them by hash.
+
+    Returns i, j (the quadrant), count and the statistics of each patch (aggregates of the values' column by name; the mean
+    if none are given), and nmad of the first statistic between the patches, their number and the exact area of one. Patches
+    that the raster does not hold whole, or of which too few cells are valid, are left out; nmad is NaN where none is left.
+    A circle of the area is a little wider than its quadrant, so its cells are also those of the quadrants around it."""
+    if shape not in ("square", "circular"):
+        raise ValueError("the patch is square or circular")
+    statistics = statistics or {"mean": F.avg}
+    if {"i", "j", "count"} & set(statistics):
+        raise ValueError("statistics may not be named i, j or count")
+    size, cells = max(1, round(math.sqrt(area / cell_area))), df.select("row", "col", "z")
+    i, j = F.floor(F.col("row") / size).cast("int"), F.floor(F.col("col") / size).cast("int")
+    if shape == "square":
+        exact, held = size * size, cells.withColumns({"i": i, "j": j})
+    else:
+        radius = max(1, round(math.sqrt(area / math.pi / cell_area)))
+        span = range(-radius, radius + 1)
+        exact = sum(a * a + b * b < radius * radius for a in span for b in span)
+        reach = range(-math.ceil(radius / size), math.ceil(radius / size) + 1)
+        around = F.explode(F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j")) for a in reach for b in reach)))
+        held = cells.select("row", "col", "z", around.alias("q")).select("row", "col", "z", "q.i", "q.j")
+        # the centre is the middle of the quadrant, rounded down
+        middle = [F.floor((F.col(q) + 0.5) * size) for q in ("i", "j")]
+        held = held.where("i >= 0 and j >= 0").where(F.pow(F.col("row") - middle[0], 2) + F.pow(F.col("col") - middle[1], 2) < radius * radius)
+    patch = held.groupBy("i", "j").agg(F.count("*").alias("_cells"), F.count("z").alias("count"), *(f(F.col("z")).alias(n) for n, f in statistics.items()))
+    patch = patch.where((F.col("_cells") == exact) & (F.col("count") >= math.ceil(min_valid / 100 * exact)) & (F.col("count") > 0)).drop("_cells")
+    patch = sample(patch, n_patches, seed, ["i", "j"]) if n_patches > 1 else patch.orderBy(F.xxhash64("i", "j", F.lit(seed)), "i", "j").limit(n_patches)
+    spread = nmad(patch, next(iter(statistics))).first()
+    return patch, {"nmad": float("nan") if spread is None else spread["nmad"], "nb_indep_patches": 0 if spread is None else spread["n"], "exact_areas": exact * cell_area, "areas": area}

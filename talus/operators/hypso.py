@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from talus.functions.numeric import natural_spline
 from talus.grid import KEY
 from talus.operators.stats import bin_index, linear_column, quantiles
+from talus.plans.stencil import halo_tiles
 
 _TABLE = "left double, right double, value double, count long"
 
@@ -191,9 +192,39 @@ def fill_regional(df: DataFrame, signal: DataFrame | None = None, n_bins: int =
     return met.withColumn("dh", F.coalesce(model, "dh") if idealized else F.coalesce("dh", model)).select(*df.columns)
 
 
-def fill_idw(df: DataFrame, radius: int = 10, column: str = "dh") -> DataFrame:
+def closed_cells(df: DataFrame, size: int, column: str = "dh") -> DataFrame:
+    """Cells (row, col) that are valid or lie in gaps between valid cells that a square of that size can't enter (a binary
+    closing). Cells outside the raster are void."""
+    before, after = size - 1 - size // 2, size // 2
+
+    def moving(v: np.ndarray, first: int, last: int, merge) -> np.ndarray:
+        """v merged over the squares from first to last around each cell; voids lie outside."""
+        wide = np.pad(v, size)
+        for axis in (0, 1):
+            wide = merge.reduce([np.roll(wide, -k, axis) for k in range(first, last + 1)])
+        return wide[size:-size, size:-size]
+
+    def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
+        grown = moving(~np.isnan(z), -before, after, np.logical_or)
+        return {"kept": np.where(moving(grown, -after, before, np.logical_and), 1.0, np.nan)}
+
+    cells = df.select(*KEY, F.col(column).alias("z"))
+    return halo_tiles(cells, kernel, 2 * size, ["kept"], max(256, 4 * size)).where("kept is not null").select(*KEY)
+
+
+def fill_idw(df: DataFrame, radius: int = 10, column: str = "dh", extrapolate: bool = True, force: bool = False) -> DataFrame:
     """df with missing values filled from valid cells within a radius, weighted by inverse distance. Voids are spread to the
-    cells around them and met there, so the work grows with the voids and the radius only."""
+    cells around them and met there, so the work grows with the voids and the radius only.
+
+    Without extrapolate only gaps that a square one smaller than the radius can't enter are filled; valid cells always stay.
+    With force, what is missing then becomes the median of the valid cells (and stays missing where there is none)."""
+    if not extrapolate and radius > 1:
+        inner = closed_cells(df, radius - 1, column).withColumn("_in", F.lit(True))
+        out = fill_idw(df, radius, column).withColumnRenamed(column, "_all").join(df.select(*KEY, column), KEY).join(inner, KEY, "left")
+        out = out.withColumn(column, F.when(F.col("_in"), F.col("_all")).otherwise(F.col(column))).select(*df.columns)
+        return _median_filled(out, df, column) if force else out
+    if force:
+        return _median_filled(fill_idw(df, radius, column), df, column)
     offsets = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if 0 < i * i + j * j <= radius * radius]
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(1 / (i * i + j * j) ** 0.5).alias("w")) for i, j in offsets)))
     voids = df.where(F.col(column).isNull()).select(F.col("row").alias("r0"), F.col("col").alias("c0"), around.alias("o"))
@@ -201,3 +232,8 @@ def fill_idw(df: DataFrame, radius: int = 10, column: str = "dh") -> DataFrame:
     met = voids.join(df.where(F.col(column).isNotNull()).select(*KEY, F.col(column).alias("_v")), KEY)
     filled = met.groupBy(F.col("r0").alias("row"), F.col("c0").alias("col")).agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("_fill"))
     return df.join(filled, KEY, "left").withColumn(column, F.coalesce(column, "_fill")).drop("_fill").select(*df.columns)
+
+
+def _median_filled(out: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    found = quantiles(df, [], column, {"m": 0.5}).first()
+    return out if found is None else out.withColumn(column, F.coalesce(column, F.lit(float(found["m"]))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -145,13 +145,49 @@ def _edge(index: Column, edges: Sequence[float], shift: int) -> Column:
     return F.element_at(F.array(*(F.lit(float(v)) for v in edges)), index + 1 + shift)
 
 
-def nd_binning(df: DataFrame, value: str, edges: dict[str, Sequence[float]]) -> DataFrame:
+def bin_edges(df: DataFrame, value: str, bins: dict[str, Sequence[float] | int] | Sequence[str], ranges: dict[str, tuple[float, float]] | None = None) -> dict[str, Sequence[float]]:
+    """Edges for each variable: as given, or so many bins of equal width (10 for bare names) over its range, which is as given
+    or that of the rows of which the value and all variables are known. A variable without any such row raises."""
+    wanted = dict(bins) if isinstance(bins, dict) else {n: 10 for n in bins}
+    ranges = ranges or {}
+    open_ended = [n for n, b in wanted.items() if isinstance(b, int) and n not in ranges]
+    ends = {}
+    if open_ended:
+        known = df.select(value, *wanted).dropna()
+        row = known.agg(*(f(n).alias(f"{k}_{i}") for i, n in enumerate(open_ended) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+        if row["lo_0"] is None:
+            raise ValueError("no row has all variables")
+        ends = {n: (float(row[f"lo_{i}"]), float(row[f"hi_{i}"])) for i, n in enumerate(open_ended)}
+    out: dict[str, Sequence[float]] = {}
+    for n, b in wanted.items():
+        if isinstance(b, int):
+            lo, hi = ranges.get(n) or ends[n]
+            out[n] = [float(v) for v in np.linspace(lo, hi, b + 1)] if hi > lo else [lo - 0.5, lo + 0.5]
+        else:
+            out[n] = b
+    return out
+
+
+def nd_binning(
+    df: DataFrame,
+    value: str,
+    edges: dict[str, Sequence[float] | int] | Sequence[str],
+    statistics: dict[str, Callable[[Column], Column]] | None = None,
+    ranges: dict[str, tuple[float, float]] | None = None,
+) -> DataFrame:
     """Count, nanmedian and nmad of a value for every variable's bins, every pair's, and all together.
 
+    edges are edges, numbers of bins, or bare names, as in bin_edges. statistics are more aggregates of the value by name, as
+    functions of its column (``{"mean": F.avg}``); they may not take the name of a variable or of another column.
+
     Columns: nd (how many variables the bins have), for each variable its bin as struct (left, right), NULL where it takes no
     part, count, nanmedian, nmad. Empty bins are absent. All sets of variables are counted in one pass over exploded keys.
     """
-    names = list(edges)
+    edges = bin_edges(df, value, edges, ranges)
+    names, more = list(edges), statistics or {}
+    taken = {"nd", "count", "nanmedian", "nmad", *names} & set(more)
+    if taken:
+        raise ValueError(f"statistics have names of other columns: {sorted(taken)}")
     sets = [s for k in sorted({1, 2, len(names)} & set(range(1, len(names) + 1))) for s in itertools.combinations(range(len(names)), k)]
     idx = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_value"), *(bin_index(F.col(n), edges[n]).alias(f"_b{k}") for k, n in enumerate(names)))
     keys = [F.struct(F.lit(len(s)).alias("nd"), *(F.col(f"_b{k}").alias(f"_b{k}") if k in s else F.lit(None).cast("int").alias(f"_b{k}") for k in range(len(names)))) for s in sets]
@@ -161,7 +197,9 @@ def nd_binning(df: DataFrame, value: str, edges: dict[str, Sequence[float]]) ->
     by = ["nd", *(f"_b{k}" for k in range(len(names)))]
     stat = nmad(rows, "_value", by)
     bins = [F.when(F.col(f"_b{k}").isNotNull(), F.struct(_edge(F.col(f"_b{k}"), edges[n], 0).alias("left"), _edge(F.col(f"_b{k}"), edges[n], 1).alias("right"))).alias(n) for k, n in enumerate(names)]
-    return stat.select("nd", *bins, F.col("n").alias("count"), F.col("median").alias("nanmedian"), "nmad")
+    if more:
+        stat = _left(stat, rows.groupBy(*by).agg(*(f(F.col("_value")).alias(f"_s{k}") for k, f in enumerate(more.values()))), by)
+    return stat.select("nd", *bins, F.col("n").alias("count"), F.col("median").alias("nanmedian"), "nmad", *(F.col(f"_s{k}").alias(n) for k, n in enumerate(more)))
 
 
 def parse_interval(text: str) -> tuple[float, float]:
