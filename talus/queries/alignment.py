@@ -197,8 +197,15 @@ def _(spark, sf):
     return step.fit(ref, tba, Grid()).apply(tba, Grid())[0].select("row", "col", *r6("z"))
 
 
-@query("bias_bins_2d")
+_BINS_2D = """, e AS (SELECT min(col) AS c0, max(col) AS c1, min(row) AS r0, max(row) AS r1 FROM d),
+b AS (SELECT row, col, z_tba, dh, least(3, floor((col - c0) / ((c1 - c0) / 4.0))) AS i, least(3, floor((row - r0) / ((r1 - r0) / 4.0))) AS j FROM d, e),
+m AS (SELECT i, j, median(dh) AS m FROM b GROUP BY i, j)
+SELECT row, col, round(z_tba + m, 6) AS z FROM b JOIN m USING (i, j)"""
+
+
+@query("bias_bins_2d", _DERAMP_CELLS + _BINS_2D)
 def _(spark, sf):
+    """A step correction by column and row, from medians in their joint bins."""
     ref, tba = pair(spark, sf)
     both = lambda df, grid: df.withColumns({"_c": F.col("col").cast("double"), "_r": F.col("row").cast("double")})
     return biascorr.BiasCorr(["_c", "_r"], both, "bin", 4).fit(ref, tba, Grid()).apply(tba, Grid())[0].select("row", "col", *r6("z"))
