@@ -135,11 +135,12 @@ def _lag(h: Column, edges: Sequence[float]) -> Column:
     return F.try_element_at(F.filter(e, lambda v: h <= v), F.lit(1))
 
 
-def variogram(points: DataFrame, edges: Sequence[float], estimator: str = "matheron", subsample: int = 1000, method: str = "pdist", runs: int = 1, seed: int = 42) -> DataFrame:
+def variogram(points: DataFrame, edges: Sequence[float], estimator: str = "matheron", subsample: int = 1000, method: str = "pdist", runs: int = 1, seed: int = 42, ranges: Sequence[float] | None = None) -> DataFrame:
     """lags (upper edges), exp, err_exp (deviation over runs, NULL for one) and count, from points (pid, x, y, z).
 
     ``pdist``: all pairs of a sample of so many points. ``cdist_equidistant``: in each run a centre is drawn, and the sample in
-    a disk around it meets samples in rings of growing radius. The last bin is incomplete and left out.
+    a disk around it meets samples in rings of growing radius. ``pdist_disk`` and ``pdist_ring``: all pairs of so many points
+    within each of several ranges around drawn centres. The last bin is incomplete and left out.
     """
     if subsample > MOST:
         raise ValueError(f"all pairs are met within a run, so a run samples at most {MOST} points; take more runs instead")
@@ -150,8 +151,10 @@ def variogram(points: DataFrame, edges: Sequence[float], estimator: str = "mathe
         pairs = s.repartition("h").join(F.broadcast(b), "run").where((F.col("h") < F.col("h2")) | ((F.col("h") == F.col("h2")) & (F.col("pid") < F.col("pid2"))))
     elif method == "cdist_equidistant":
         pairs = _equidistant(points.where("z is not null"), subsample, runs, seed)
+    elif method in ("pdist_disk", "pdist_ring"):
+        pairs = _ranged(points.where("z is not null"), subsample, runs, seed, method == "pdist_ring", ranges)
     else:
-        raise ValueError("the method is pdist or cdist_equidistant")
+        raise ValueError("the method is pdist, pdist_disk, pdist_ring or cdist_equidistant")
     return _by_lag(pairs, edges, estimator).where(F.col("lags") < float(edges[-1]))
 
 
@@ -184,6 +187,40 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _thinned(ranked: DataFrame, most: int) -> DataFrame:
+    """At most so many points by hash of each run and ring. Rings are counted by a combined aggregate (a row for each run and
+    ring), and a threshold on the hash thins them to about the sample before they are ranked."""
+    sizes = ranked.groupBy("run", "ring").agg(F.count("*").alias("k"))
+    thin = ranked.join(F.broadcast(sizes), ["run", "ring"]).where(F.pmod("h", F.lit(1 << 20)) * F.col("k") <= 4 * most * (1 << 20))
+    return thin.withColumn("rank", F.row_number().over(Window.partitionBy("run", "ring").orderBy("h", "pid"))).where(F.col("rank") <= most)
+
+
+def _ranged(points: DataFrame, subsample: int, runs: int, seed: int, rings: bool, ranges: Sequence[float] | None) -> DataFrame:
+    """Pairs (run, h, x, y, z and the same with 2) of points within disks, or between one range and the next smaller, around a
+    centre that is drawn for each run and range. Without ranges they halve from the extent down to twice the spacing."""
+    e = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    extent = math.hypot((e[1] or 0) - (e[0] or 0), (e[3] or 0) - (e[2] or 0)) or 1.0
+    if ranges is None:
+        halves = max(1, min(12, int(math.log2(max(2.0, math.sqrt(e[4] or 1) / 2)))))
+        ranges = [extent / 2**k for k in range(halves)]
+    edges = sorted(float(r) for r in ranges)
+    if not edges or edges[0] <= 0:
+        raise ValueError("ranges are positive lengths")
+    rng = np.random.default_rng(seed)
+    centres = [
+        (r, k, float(rng.uniform(e[0] or 0, e[1] or 0)), float(rng.uniform(e[2] or 0, e[3] or 0)), edges[k - 1] if rings and k else 0.0, hi)
+        for r in range(runs)
+        for k, hi in enumerate(edges)
+    ]
+    table = points.sparkSession.createDataFrame(centres, "run int, ring int, cx double, cy double, lo double, hi double")
+    d = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
+    near = points.crossJoin(F.broadcast(table)).where((d >= F.col("lo")) & (d < F.col("hi")))  # runs and ranges are few by choice
+    kept = _thinned(near.select("run", "ring", "pid", "x", "y", "z", F.xxhash64("pid", "run", "ring", F.lit(seed)).alias("h")), subsample)
+    one = kept.select("run", "ring", "h", "pid", "x", "y", "z")
+    other = kept.select("run", "ring", *(F.col(c).alias(f"{c}2") for c in ("h", "pid", "x", "y", "z")))
+    return one.join(other, ["run", "ring"]).where((F.col("h") < F.col("h2")) | ((F.col("h") == F.col("h2")) & (F.col("pid") < F.col("pid2"))))
+
+
 def _equidistant(points: DataFrame, subsample: int, runs: int, seed: int) -> DataFrame:
     """Pairs (run, h, x, y, z and the same with 2) of a centre disk and rings; all runs in one join by run."""
     e = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
@@ -200,11 +237,7 @@ def _equidistant(points: DataFrame, subsample: int, runs: int, seed: int) -> Dat
     d = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
     ring = F.size(F.filter(F.array(*(F.lit(r) for r in radii[1:])), lambda v: v <= d))
     ranked = near.select("run", "pid", "x", "y", "z", ring.alias("ring"), F.xxhash64("pid", "run", F.lit(seed)).alias("h"))
-    # rings are counted by a combined aggregate (a row for each run and ring), and a threshold on the hash thins them to about
-    # the sample before they are ranked
-    sizes = ranked.groupBy("run", "ring").agg(F.count("*").alias("k"))
-    thin = ranked.join(F.broadcast(sizes), ["run", "ring"]).where(F.pmod("h", F.lit(1 << 20)) * F.col("k") <= 4 * plan["samples"] * (1 << 20))
-    kept = thin.withColumn("rank", F.row_number().over(Window.partitionBy("run", "ring").orderBy("h", "pid"))).where(F.col("rank") <= plan["samples"])
+    kept = _thinned(ranked, plan["samples"])
     centre = kept.where("ring = 0").select("run", "h", "x", "y", "z")
     other = kept.select("run", "ring", *(F.col(c).alias(f"{c}2") for c in ("h", "x", "y", "z")))
     return centre.join(other, "run").where((F.col("ring") > 0) | (F.col("h") < F.col("h2")))

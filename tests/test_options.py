@@ -138,3 +138,25 @@ def test_fill_switches(spark):
     assert (forced[:, 16:] == np.nanmedian(z)).all()
     empty = from_array(spark, np.full((3, 3), np.nan))
     assert np.isnan(to_array(hypso.fill_idw(empty, 4, "z", False, True), 3, 3)).all()
+
+
+@pytest.mark.parametrize("method", ["pdist_disk", "pdist_ring"])
+def test_pairs_of_several_ranges(spark, method):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(k % 30), float(k // 30), float(v)) for k, v in enumerate(rng.normal(size=900))]
+    df = spark.createDataFrame([*rows, (900, 1.0, 1.0, None)], "pid int, x double, y double, z double")
+    edges = [2.0, 4.0, 8.0, 16.0, 100.0]
+    got = geostat.variogram(df, edges, "matheron", 200, method, runs=3).orderBy("lags").toPandas()
+    assert got["lags"].tolist() == edges[:-1] and got["exp"].tolist() == pytest.approx([1.0] * 4, abs=0.25)
+    # one range that holds all points gives all pairs, and one that holds few gives short ones only
+    whole = geostat.variogram(df, edges, "matheron", 2000, method, ranges=[100.0]).orderBy("lags").toPandas()
+    p = np.array(rows)
+    h = np.hypot(p[:, None, 1] - p[None, :, 1], p[:, None, 2] - p[None, :, 2])[np.triu_indices(900, 1)]
+    d = (p[:, None, 3] - p[None, :, 3])[np.triu_indices(900, 1)]
+    for k, lag in enumerate(edges[:-1]):
+        held = (h <= lag) & (h > ([0, *edges][k]))
+        assert whole["count"][k] == held.sum() and whole["exp"][k] == pytest.approx((d[held] ** 2).mean() / 2)
+    assert geostat.variogram(df, edges, "matheron", 200, method, ranges=[2.0]).agg(F.max("lags")).first()[0] <= 4.0
+    assert geostat.variogram(df.limit(0), edges, "matheron", 200, method).count() == 0
+    with pytest.raises(ValueError):
+        geostat.variogram(df, edges, "matheron", 200, method, ranges=[0.0])
