@@ -24,7 +24,7 @@ class Raster:
     @classmethod
     def open(cls, spark: SparkSession, path: str, grid: Grid | None = None, vcrs=None, downsample: int = 1, nodata: float | None = None, product: str | None = None) -> Raster:
         """A raster file; the vertical reference is that of the grid, else as given, else that of the product."""
-        df, grid = files.read_raster(spark, path, grid, downsample, nodata)
+        df, grid = files.open_raster(spark, path, grid, downsample, nodata)
         name = grid.vcrs or (vertical.parse(vcrs) if vcrs is not None else vertical.of_product(product))
         return cls(df, grid.with_vcrs(name))
 
@@ -162,7 +162,7 @@ class PointCloud:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, data_column: str = "z", crs: str | None = None, vcrs=None) -> PointCloud:
-        return cls(files.read_points(spark, path, data_column), crs, None if vcrs is None else vertical.parse(vcrs))
+        return cls(files.open_points(spark, path, data_column), crs, None if vcrs is None else vertical.parse(vcrs))
 
     @classmethod
     def from_arrays(cls, spark: SparkSession, x, y, z, crs: str | None = None) -> PointCloud:

@@ -1,25 +1,43 @@
-"""Readers and writers of rasters and points: Parquet, CSV, ASCII grids and XYZ text. GeoTIFF and LAS need libraries that
-are not here; their readers say so."""
+"""Readers and writers of rasters and points: Parquet, CSV, ASCII grids and XYZ text. GeoTIFF, LAS and outlines have modules
+of their own, which ``open_raster`` and ``open_points`` call by a file's ending."""
 
 from __future__ import annotations
 
-import importlib.util
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.grid import Grid, clean
+from talus.sources import geotiff, las, outlines
+
+TIFF = (".tif", ".tiff")
+
+
+def open_raster(spark: SparkSession, path: str, grid: Grid | None = None, downsample: int = 1, nodata: float | None = None) -> tuple[DataFrame, Grid]:
+    """A raster and its grid from any format that is known: GeoTIFF, or one of read_raster()."""
+    if not path.lower().endswith(TIFF):
+        return read_raster(spark, path, grid, downsample, nodata)
+    df, found = geotiff.read(spark, path, grid or Grid())
+    return _thinned(df.withColumn("z", clean(F.col("z"), found.nodata if nodata is None else nodata)), found, downsample)
+
+
+def _thinned(df: DataFrame, grid: Grid, downsample: int) -> tuple[DataFrame, Grid]:
+    if downsample <= 1:
+        return df, grid
+    from talus.grid import downsample as thin
+
+    a, b, c, d, e, f = grid.transform
+    size = {k: v and -(-v // downsample) for k, v in (("height", grid.height), ("width", grid.width))}
+    return thin(df, downsample), replace(grid, transform=(a * downsample, b * downsample, c, d * downsample, e * downsample, f), **size)
 
 
 def read_raster(spark: SparkSession, path: str, grid: Grid | None = None, downsample: int = 1, nodata: float | None = None) -> tuple[DataFrame, Grid]:
-    """A raster and its grid. Formats by ending: .parquet and .csv with row, col, z; .asc."""
+    """A raster and its grid from what Spark's own readers read. Formats by ending: .parquet and .csv with row, col, z; .asc."""
     grid = grid or Grid()
     nodata = grid.nodata if nodata is None else nodata
-    if path.endswith((".tif", ".tiff", ".vrt")):
-        if importlib.util.find_spec("rasterio") is None:
-            raise NotImplementedError("GeoTIFF needs rasterio: convert to Parquet or an ASCII grid")
-        raise NotImplementedError("GeoTIFF is read on the cluster from converted Parquet")
+    if path.lower().endswith((*TIFF, ".vrt")):
+        raise NotImplementedError("GeoTIFF is read by open_raster(); virtual rasters are not read")
     if path.endswith(".asc"):
         df, grid = _ascii(spark, path, grid)
         nodata = grid.nodata
@@ -33,12 +51,7 @@ def read_raster(spark: SparkSession, path: str, grid: Grid | None = None, downsa
     if any(c.startswith("band") for c in bands):
         raise ValueError("a raster has one band")
     df = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), clean(F.col("z"), nodata).alias("z"))
-    if downsample > 1:
-        from talus.grid import downsample as thin
-
-        a, b, c, d, e, f = grid.transform
-        df, grid = thin(df, downsample), replace(grid, transform=(a * downsample, b * downsample, c, d * downsample, e * downsample, f))
-    return df, grid
+    return _thinned(df, grid, downsample)
 
 
 def _ascii(spark: SparkSession, path: str, grid: Grid) -> tuple[DataFrame, Grid]:
@@ -57,8 +70,12 @@ def _ascii(spark: SparkSession, path: str, grid: Grid) -> tuple[DataFrame, Grid]
 
 
 def write_raster(df: DataFrame, path: str, grid: Grid | None = None) -> None:
-    """Parquet sorted by row and column (readers prune by both), CSV, or for small rasters an ASCII grid."""
+    """Parquet sorted by row and column (readers prune by both), CSV, or for rasters that one task can write a GeoTIFF or an
+    ASCII grid."""
     cells = df.select("row", "col", "z")
+    if path.lower().endswith(TIFF):
+        geotiff.write(cells, path, grid or Grid())
+        return
     if path.endswith(".csv"):
         cells.write.mode("overwrite").csv(path, header=True)
     elif path.endswith(".asc"):
@@ -79,10 +96,21 @@ def _write_ascii(df: DataFrame, path: str, grid: Grid) -> None:
     heading.union(lines).coalesce(1).sortWithinPartitions("row").select("value").write.mode("overwrite").text(path)
 
 
+def open_points(spark: SparkSession, path: str, data_column: str = "z") -> DataFrame:
+    """Points from any format that is known: LAS, shapefiles and GeoJSON of points, or one of read_points()."""
+    if path.lower().endswith(".las"):
+        df = las.read(spark, path)
+        df = df if data_column == "z" else df.drop("z").withColumnRenamed(data_column, "z")
+        return df.withColumn("z", clean(F.col("z")))
+    if path.lower().endswith(outlines.ENDINGS):
+        return outlines.read_points(spark, path, data_column).withColumn("z", clean(F.col("z")))
+    return read_points(spark, path, data_column)
+
+
 def read_points(spark: SparkSession, path: str, data_column: str = "z") -> DataFrame:
     """Points pid, x, y, z and other columns, from Parquet, CSV or XYZ text (x y z, parted by white space)."""
     if path.endswith((".las", ".laz", ".gpkg", ".shp")):
-        raise NotImplementedError("LAS and vector files need libraries that are not here: convert to Parquet or CSV")
+        raise NotImplementedError("LAS and shapefiles are read by open_points(); LAZ and GeoPackage need libraries that are not here")
     if path.endswith(".xyz"):
         parts = F.split(F.trim("value"), r"\s+")
         df = spark.read.text(path).where("trim(value) != ''").select(*(parts[k].cast("double").alias(n) for k, n in enumerate(("x", "y", "z"))))
