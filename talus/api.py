@@ -23,9 +23,9 @@ class Raster:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, grid: Grid | None = None, vcrs=None, downsample: int = 1, nodata: float | None = None, product: str | None = None) -> Raster:
-        """A raster file; the vertical reference is that of the grid, else as given, else that of the product."""
+        """A raster file; the vertical reference is that of the grid or of its reference, else as given, else of the product."""
         df, grid = files.open_raster(spark, path, grid, downsample, nodata)
-        name = grid.vcrs or (vertical.parse(vcrs) if vcrs is not None else vertical.of_product(product))
+        name = grid.vcrs or vertical.of_crs(grid.crs) or (vertical.parse(vcrs) if vcrs is not None else vertical.of_product(product))
         return cls(df, grid.with_vcrs(name))
 
     @classmethod
@@ -52,6 +52,14 @@ class Raster:
     def crop(self, row0: int, row1: int, col0: int, col1: int) -> Raster:
         return self.copy(G.crop(self.df, row0, row1, col0, col1))
 
+    def intersection(self, other: Raster) -> tuple[float, float, float, float] | None:
+        """West, south, east and north of what both rasters reach over; None if they don't meet."""
+        return self.grid.sized(self.df).intersection(other.grid.sized(other.df))
+
+    def crop_to(self, bounds: tuple[float, float, float, float]) -> Raster:
+        """The cells that bounds touch, by their old numbers."""
+        return self.crop(*self.grid.window(bounds))
+
     def translate(self, dx: float, dy: float) -> Raster:
         return Raster(self.df, self.grid.moved(dx, dy))
 

@@ -6,6 +6,7 @@ southward, columns eastward. A table need not hold all cells of its grid: an abs
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -69,6 +70,51 @@ class Grid:
     def with_vcrs(self, vcrs: str | None) -> Grid:
         return replace(self, vcrs=vcrs)
 
+    def sized(self, df: DataFrame) -> Grid:
+        """The grid with a height and a width; those that are not known reach to the last cell of df."""
+        if self.height is not None and self.width is not None:
+            return self
+        last = df.agg(F.max("row"), F.max("col")).first()
+        height, width = (n if n is not None else 1 + (-1 if k is None else k) for n, k in zip((self.height, self.width), last, strict=True))
+        return replace(self, height=height, width=width)
+
+    @property
+    def bounds(self) -> tuple[float, float, float, float]:
+        """West, south, east and north of a grid of known height and width."""
+        if self.height is None or self.width is None:
+            raise ValueError("a grid without height and width has no bounds")
+        a, b, c, d, e, f = self.transform
+        ends = [(a * j + b * i + c, d * j + e * i + f) for i in (0, self.height) for j in (0, self.width)]
+        xs, ys = zip(*ends, strict=True)
+        return min(xs), min(ys), max(xs), max(ys)
+
+    def intersection(self, other: Grid) -> tuple[float, float, float, float] | None:
+        """The bounds that two grids share; None if they don't meet. Both must have the same horizontal reference."""
+        if self.crs != other.crs:
+            raise ValueError(f"the grids have different references, {self.crs} and {other.crs}")
+        (w, s, e, n), (w2, s2, e2, n2) = self.bounds, other.bounds
+        shared = max(w, w2), max(s, s2), min(e, e2), min(n, n2)
+        return shared if shared[0] < shared[2] and shared[1] < shared[3] else None
+
+    def window(self, bounds: tuple[float, float, float, float]) -> tuple[int, int, int, int]:
+        """First and last row and column, the last excluded, of the cells that bounds touch; for grids along the axes."""
+        a, b, c, d, e, f = self.transform
+        if b or d:
+            raise ValueError("windows are for grids along the axes")
+        west, south, east, north = bounds
+        cols, rows = sorted(((west - c) / a, (east - c) / a)), sorted(((south - f) / e, (north - f) / e))
+        return math.floor(rows[0] + 1e-9), math.ceil(rows[1] - 1e-9), math.floor(cols[0] + 1e-9), math.ceil(cols[1] - 1e-9)
+
+    def metric_crs(self) -> str:
+        """The code of the UTM zone (beyond its latitudes, of the polar projection) that a grid in degrees has its middle in."""
+        west, south, east, north = self.bounds
+        lon, lat = (west + east) / 2, (south + north) / 2
+        if not (-180 <= lon <= 180 and -90 <= lat <= 90):
+            raise ValueError("the grid is not in degrees")
+        if not -80 <= lat <= 84:
+            return "EPSG:32661" if lat > 0 else "EPSG:32761"
+        return f"EPSG:{(32600 if lat >= 0 else 32700) + min(60, int((lon + 180) // 6) + 1)}"
+
 
 def clean(z: Column, nodata: float | None = None) -> Column:
     """z as a double with one spelling of missing."""

@@ -6,6 +6,7 @@ grids are downloaded; they are given as tables.
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ PRODUCTS = {
     "COPDEM": "EGM08",
 }
 EPSG = {5773: "EGM96", 3855: "EGM08"}
+# EPSG codes of references of three dimensions, whose heights are over the ellipsoid.
+SPATIAL = (4979, 4978, 7912, 9754, 7664, 7789, 9989)
 GRIDS = {"EGM96": "us_nga_egm96_15.tif", "EGM08": "us_nga_egm08_25.tif"}
 
 
@@ -52,6 +55,30 @@ def parse(reference) -> str:
     raise ValueError(f"unknown vertical reference {reference}")
 
 
+def of_crs(crs: str | None) -> str | None:
+    """The vertical part of a reference: of a compound of codes (EPSG:32633+5773), of well-known text with a vertical system,
+    or the ellipsoid for references of three dimensions. None for references without heights."""
+    if not crs:
+        return None
+    text = crs.strip()
+    codes = re.fullmatch(r"(?i)epsg:(\d+)(?:\s*\+\s*(?:epsg:)?(\d+))?", text)
+    if codes:
+        return parse(int(codes[2])) if codes[2] else "Ellipsoid" if int(codes[1]) in SPATIAL else EPSG.get(int(codes[1]))
+    part = re.search(r'(?i)\b(?:VERT_CS|VERTCRS|VERTICALCRS)\s*\[\s*"([^"]*)"(.*)$', text, re.DOTALL)
+    if part:
+        known = [int(n) for n in re.findall(r'(?i)(?:AUTHORITY|ID)\s*\[\s*"EPSG"\s*,\s*"?(\d+)', part[2]) if int(n) in EPSG]
+        if known:
+            return EPSG[known[-1]]
+        name = part[1].upper()
+        for said, reference in (("EGM96", "EGM96"), ("EGM2008", "EGM08"), ("EGM08", "EGM08"), ("ELLIPSOID", "Ellipsoid")):
+            if said in name:
+                return reference
+        raise ValueError(f"unknown vertical reference {part[1]}")
+    if re.search(r'(?i)AXIS\s*\[\s*"[^"]*ellipsoidal height', text) or re.search(r"(?i)CS\s*\[\s*ellipsoidal\s*,\s*3", text):
+        return "Ellipsoid"
+    return None
+
+
 def compound_name(crs: str | None, vcrs: str | None) -> str | None:
     return None if crs is None and vcrs is None else " + ".join(v for v in (crs, vcrs) if v)
 

@@ -299,10 +299,8 @@ def write(df: DataFrame, path: str, grid: Grid) -> None:
     a megabyte; absent and missing cells are nodata. As a file is one task's work, large rasters are better kept as Parquet. A
     cell that stands twice, or outside the grid, raises."""
     nodata = -9999.0 if grid.nodata is None else float(grid.nodata)
+    grid = grid.sized(df)
     height, width = grid.height, grid.width
-    if height is None or width is None:
-        n = df.agg(F.max("row") + 1, F.max("col") + 1).first()
-        height, width = height or n[0], width or n[1]
     if not height or not width:
         raise ValueError("a raster without cells needs a grid of known height and width")
     strip = max(1, min(height, (1 << 17) // width))

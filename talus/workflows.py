@@ -15,7 +15,7 @@ from talus.api import Raster
 from talus.grid import KEY, Grid
 from talus.grid import downsample as thin
 from talus.operators import align, biascorr, masks, stats, terrain, vertical
-from talus.sources import files
+from talus.sources import files, outlines
 
 METHODS = {
     "VerticalShift": align.VerticalShift,
@@ -138,16 +138,22 @@ def _load(spark: SparkSession, source: dict, grid: Grid | None, geoids: dict | N
     """A source: cells of its mask are missing, and heights are those of the vertical reference that is asked for."""
     raster = Raster.open(spark, source["path_to_elev"], grid, source.get("from_vcrs"), int(source.get("downsample") or 1), source.get("force_source_nodata"))
     if source.get("path_to_mask"):
-        raster = raster.set_mask(_cells(spark, source["path_to_mask"], int(source.get("downsample") or 1)))
+        raster = raster.set_mask(_cells(spark, source["path_to_mask"], int(source.get("downsample") or 1), raster.grid.sized(raster.df)))
     target = source.get("to_vcrs")
     if target is not None and vertical.parse(target) != raster.grid.vcrs:
-        known = {name: g if isinstance(g, tuple) else files.read_raster(spark, g) for name, g in (geoids or {}).items()}
+        known = {name: g if isinstance(g, tuple) else files.open_raster(spark, g) for name, g in (geoids or {}).items()}
         raster = raster.to_vcrs(target, known, source.get("from_vcrs"))
     return raster
 
 
-def _cells(spark: SparkSession, path: str, downsample: int = 1) -> DataFrame:
-    """Cells of a mask (row, col; where it has a column z, those with a value other than 0), thinned like the surface."""
+def _cells(spark: SparkSession, path: str, downsample: int, grid: Grid) -> DataFrame:
+    """Cells of a mask: those that outlines cover in the surface's grid, or (row, col; where it has a column z, those with a
+    value other than 0) thinned like the surface."""
+    if path.lower().endswith(outlines.ENDINGS):
+        return outlines.mask(outlines.read(spark, path), grid)
+    if path.lower().endswith(files.TIFF):
+        df, _ = files.open_raster(spark, path, None, downsample)
+        return df.where("coalesce(z, 0) != 0").select(*KEY)
     mask = spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
     if "z" in mask.columns:
         mask = mask.where("coalesce(cast(z as double), 0) != 0")
@@ -214,7 +220,7 @@ def accuracy(spark: SparkSession, config: dict, grid: Grid | None = None, write:
             tba = tba.reproject(ref)
     inlier = None
     if c["inputs"]["path_to_mask"]:
-        inlier = masks.exclude(ref.df, _cells(spark, c["inputs"]["path_to_mask"]))
+        inlier = masks.exclude(ref.df, _cells(spark, c["inputs"]["path_to_mask"], 1, ref.grid.sized(ref.df)))
     before = ref - tba
     out = {"dh_before": before} | ({"statistics_before": stats.statistics(before, "dh", names)} if names else {})
     if more:

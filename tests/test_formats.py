@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.api import PointCloud, Raster
-from talus.grid import Grid
+from talus.grid import Grid, to_array
 from talus.operators.masks import inside_polygon
 from talus.sources import files, geotiff, las, outlines
 
@@ -234,3 +234,50 @@ def test_points_of_vector_files(spark, tmp_path):
     (tmp_path / "p.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     for column, want in (("z", 3.0), ("h", 7.5)):
         assert PointCloud.open(spark, str(tmp_path / "p.geojson"), column).df.select("x", "y", "z").collect() == [(1.0, 2.0, want)]
+
+
+def test_vertical_part_of_references():
+    from talus.operators.vertical import of_crs
+
+    wkt1 = 'COMPD_CS["a + b",PROJCS["UTM",AUTHORITY["EPSG","32633"]],VERT_CS["EGM96 height",VERT_DATUM["EGM96 geoid",2005,AUTHORITY["EPSG","5171"]],AUTHORITY["EPSG","5773"]]]'
+    wkt2 = 'COMPOUNDCRS["a",PROJCRS["UTM",ID["EPSG",32633]],VERTCRS["EGM2008 height",VDATUM["EGM2008 geoid"]]]'
+    spatial = 'GEOGCRS["WGS 84",CS[ellipsoidal,3],AXIS["ellipsoidal height (h)",up]]'
+    flat = 'GEOGCRS["WGS 84",CS[ellipsoidal,2]]'
+    wanted = {wkt1: "EGM96", wkt2: "EGM08", spatial: "Ellipsoid", flat: None, "EPSG:32633": None, "EPSG:4979": "Ellipsoid", "epsg:32633+3855": "EGM08", None: None, "": None}
+    assert {k: of_crs(k) for k in wanted} == wanted
+    for bad in ("EPSG:32633+9999", 'VERT_CS["NAVD88 height"]'):
+        with pytest.raises(ValueError):
+            of_crs(bad)
+
+
+def test_extents(spark):
+    a, b = Grid(height=10, width=20, transform=(1.0, 0.0, 5.0, 0.0, -1.0, 60.0)), Grid(height=4, width=4, transform=(2.0, 0.0, 20.5, 0.0, -2.0, 64.0))
+    assert a.bounds == (5.0, 50.0, 25.0, 60.0) and a.intersection(b) == (20.5, 56.0, 25.0, 60.0)
+    assert a.intersection(a.moved(20, 0)) is None
+    assert a.window((20.5, 56.0, 25.0, 60.0)) == (0, 4, 15, 20)
+    r = Raster.from_array(spark, np.ones((10, 20)), a)
+    assert Raster(r.df, Grid(transform=a.transform)).intersection(Raster(r.df, Grid(transform=b.transform))) == (20.5, 50.0, 25.0, 60.0)
+    assert r.crop_to((20.5, 56.0, 25.0, 60.0)).df.count() == 20
+    assert [a.metric_crs(), a.moved(160, -80).metric_crs(), a.moved(0, 30).metric_crs(), a.moved(0, -140).metric_crs()] == ["EPSG:32633", "EPSG:32760", "EPSG:32661", "EPSG:32761"]
+    for bad in (lambda: Grid().bounds, lambda: a.intersection(Grid(height=1, width=1, crs="x")), a.moved(1000, 0).metric_crs):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_jobs_take_outlines_and_tiffs(spark, tmp_path):
+    from talus import workflows
+
+    z = np.add.outer(np.sin(np.arange(30) / 4), np.cos(np.arange(30) / 3)) * 10
+    for name, v in (("ref", z), ("tba", z - 3)):
+        Raster.from_array(spark, v, GRID).write(f"{tmp_path}/{name}.tif")
+    square = [(500000.0, 6999700.0), (500000.0, 7000000.0), (500100.0, 7000000.0), (500100.0, 6999700.0)]
+    (tmp_path / "ice.shp").write_bytes(shapefile([[square]]))
+    Raster.from_array(spark, np.eye(30), GRID).write(f"{tmp_path}/diagonal.tif")
+    source = lambda name, **more: {"path_to_elev": f"{tmp_path}/{name}.tif", **more}
+    config = {"inputs": {"reference_elev": source("ref", path_to_mask=f"{tmp_path}/ice.shp"), "to_be_aligned_elev": source("tba", path_to_mask=f"{tmp_path}/diagonal.tif"), "path_to_mask": f"{tmp_path}/ice.shp"}, "coregistration": {"step_one": {"method": "VerticalShift"}}, "outputs": {"path": f"file://{tmp_path}/out"}}
+    out = workflows.accuracy(spark, config, write=False)
+    before = to_array(out["dh_before"].withColumnRenamed("dh", "z"), 30, 30)
+    want = np.full((30, 30), 3.0)
+    want[:, :10] = np.nan
+    want[np.diag_indices(30)] = np.nan
+    np.testing.assert_allclose(before, want)
