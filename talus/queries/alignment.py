@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talus.grid import Grid
 from talus.operators import align, biascorr, blockwise, resample
+from talus.queries.least import fitted
 from talus.queries.statistics import r6
 from talus.queries.surfaces import DENSE, PAIR, POINTS
 from talus.sources import tables
@@ -183,7 +184,10 @@ def _(spark, sf):
     return biascorr.Deramp(order=0, subsample=1).fit(ref, tba, Grid()).apply(tba, Grid())[0].select("row", "col", *r6("z"))
 
 
-@query("deramp")
+_RAMP = [f"power(x, {i}) * power(y, {j})" for i in range(3) for j in range(3)]
+
+
+@query("deramp", _DERAMP_CELLS + ", e AS (SELECT *, CAST(col AS DOUBLE) / (SELECT max(col) FROM d) AS x, CAST(row AS DOUBLE) / (SELECT max(row) FROM d) AS y FROM d), " + fitted("w", "e", ["row", "col", "z_tba"], _RAMP, "dh") + " SELECT row, col, round(z_tba + f, 4) AS z FROM w")
 def _(spark, sf):
     ref, tba = pair(spark, sf)
     return biascorr.Deramp(subsample=1).fit(ref, tba, Grid()).apply(tba, Grid())[0].select("row", "col", F.round("z", 4).alias("z"))

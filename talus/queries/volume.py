@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from talus.operators import hypso, series
+from talus.queries.least import fitted
 from talus.queries.statistics import r6
 from talus.queries.surfaces import PAIR, SERIES
 from talus.sources import tables
@@ -95,7 +96,42 @@ def _(spark, sf):
     return hypso.interpolate_bins(hypso.hypsometric_binning(change(spark, sf), 5.0), count_threshold=30).select(*r6("left", "right", "value"), "count")
 
 
-@query("hypso_polynomial")
+_NARROW = _FIXED.replace("10.0 * k", "5.0 * k").replace("hi - lo + 10 + 1e-6) / 10)", "hi - lo + 5 + 1e-6) / 5)")
+_KNOTS = _NARROW + ", m AS (SELECT l, r, (l + r) / 2 AS m, n, {value} FROM t)"
+
+
+@query(
+    "hypso_interpolate_linear",
+    _KNOTS.replace("{value}", "CASE WHEN n >= 30 THEN value END AS v")
+    + """, k AS (SELECT m, v FROM m WHERE v IS NOT NULL),
+f AS (SELECT m.l, m.r, m.m, m.n, m.v, arg_max(k.v, k.m) FILTER (WHERE k.m <= m.m) AS p, max(k.m) FILTER (WHERE k.m <= m.m) AS pm, arg_min(k.v, k.m) FILTER (WHERE k.m > m.m) AS q, min(k.m) FILTER (WHERE k.m > m.m) AS qm FROM m, k GROUP BY m.l, m.r, m.m, m.n, m.v)
+SELECT round(l, 6) AS "left", round(r, 6) AS "right", round(coalesce(v, CASE WHEN p IS NULL THEN q WHEN q IS NULL THEN p ELSE p + (q - p) * (m - pm) / (qm - pm) END), 6) AS value, n AS count FROM f""",
+)
+def _(spark, sf):
+    return hypso.interpolate_bins(hypso.hypsometric_binning(change(spark, sf), 5.0), "linear", 30).select(*r6("left", "right", "value"), "count")
+
+
+_BIN = ["l", "r", "n", "v", "u", "ok"]
+
+
+def _refit(name: str, source: str) -> str:
+    """A cubic fit of the bins that are ok, and after it which of them lie within three deviations of all of its values."""
+    cubic = fitted(f"{name}_fit", source, _BIN, [f"power(u, {k})" for k in range(4)], "v", "ok")
+    near = f"abs(f - v) <= 3 * (SELECT stddev_pop(f - v) FROM {name}_fit)"
+    return f", {cubic}, {name} AS (SELECT l, r, n, v, u, f, ok AND {near} AS ok FROM {name}_fit)"
+
+
+_CUBIC = (
+    _KNOTS.replace("{value}", "CASE WHEN n >= 10 THEN value END AS v")
+    + ", a AS (SELECT l, r, n, v, (m - (SELECT avg(m) FROM m)) / (SELECT stddev_pop(m) FROM m) AS u, v IS NOT NULL AS ok FROM m)"
+    + _refit("once", "a")
+    + _refit("twice", "once")
+    + _refit("thrice", "twice")
+    + ' SELECT round(l, 6) AS "left", round(r, 6) AS "right", round(f, 6) AS value, n AS count FROM thrice'
+)
+
+
+@query("hypso_polynomial", _CUBIC)
 def _(spark, sf):
     return hypso.fit_bins(hypso.hypsometric_binning(change(spark, sf), 5.0), 3, 3, 10).select(*r6("left", "right", "value"), "count")
 
