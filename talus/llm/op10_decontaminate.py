@@ -90,30 +90,40 @@ def _capitals(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _CAPITAL[np.where(x < 0x80, x, np.where(x < 0xE0, two, np.where(x < 0xF0, three, 0)))]
 
 
-class Tokens:
-    """Tokens of a block: values (hashes of folded words), kinds (0 literal, 1 number, 2 unit, 3 name), codes, doc, bounds;
-    with ``loose`` those of the looser template."""
+class Letters:
+    """What both templates need of a block: the bytes that tokens are made of (use; plain, folded, digit), how many line feeds
+    stand before each byte, and the words that hold such bytes (starts and ends among them, doc, opens)."""
 
-    def __init__(self, block: Block, loose: bool = False):
+    def __init__(self, block: Block):
         block.find_words()
-        use = _LETTER[block.data]
+        self.use = _LETTER[block.data]
         place = np.zeros(len(block.data) + 1, np.int64)
-        np.cumsum(use, out=place[1:])
+        np.cumsum(self.use, out=place[1:])
         a, b = place[block.starts], place[block.ends]
         full = b > a
-        plain = block.data[use]
+        self.plain = block.data[self.use]
+        self.folded = _FOLD[self.plain]
+        self.digit = (self.plain >= 48) & (self.plain <= 57)
+        self.feeds = np.zeros(len(block.data) + 1, np.int64)
+        np.cumsum(block.data == 10, out=self.feeds[1:])
         opens = np.ones(len(a), bool)  # starts a sentence
         if len(a) > 1:
-            feeds = np.zeros(len(block.data) + 1, np.int64)
-            np.cumsum(block.data == 10, out=feeds[1:])
-            opens[1:] = _STOP[block.data[block.ends[:-1] - 1]] | (feeds[block.starts[1:]] > feeds[block.ends[:-1]])
+            opens[1:] = _STOP[block.data[block.ends[:-1] - 1]] | (self.feeds[block.starts[1:]] > self.feeds[block.ends[:-1]])
             opens[1:] |= block.doc[1:] != block.doc[:-1]
-        a, b = a[full], b[full]
-        self.doc, opens = block.doc[full], opens[full]
-        self.folded = _FOLD[plain]
-        digit = (plain >= 48) & (plain <= 57)
+        self.starts, self.ends = a[full], b[full]
+        self.doc, self.opens = block.doc[full], opens[full]
+
+
+class Tokens:
+    """Tokens of a block: values (hashes of folded words), kinds (0 literal, 1 number, 2 unit, 3 name), codes, doc, bounds;
+    with ``loose`` those of the looser template."""
+
+    def __init__(self, block: Block, loose: bool = False, letters: Letters | None = None):
+        found = letters or Letters(block)
+        a, b, opens, plain, digit = found.starts, found.ends, found.opens, found.plain, found.digit
+        self.doc, self.folded = found.doc, found.folded
         if loose and len(a):
-            a, b, opens = self._part(block, use, digit, a, opens)
+            a, b, opens = self._part(block, found.use, digit, a, opens)
         self.values, self.starts, self.ends = hash_slices(self.folded, a, b), a, b
         digits = sums(digit, np.append(a, b[-1:])) if len(a) else a
         number = (digits == b - a) | _among(self.values, _NUMBERS)
@@ -121,7 +131,7 @@ class Tokens:
         name = _capitals(plain, a) & ~(opens & _among(self.values, _OPENERS) if loose else opens)
         self.kinds = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0))).astype(np.int8)
         if loose and len(a):
-            self._join(block, use, a, b)
+            self._join(block, found, a, b)
         self.bounds = np.searchsorted(self.doc, np.arange(len(block) + 1))
         self.codes = np.where(self.kinds > 0, _SLOTS[np.maximum(self.kinds, 1) - 1], self.values)
 
@@ -137,14 +147,12 @@ class Tokens:
         self.doc = self.doc[of]
         return starts, np.append(starts[1:], len(cut)), opens[of] & word[starts]
 
-    def _join(self, block: Block, use: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    def _join(self, block: Block, found: Letters, a: np.ndarray, b: np.ndarray) -> None:
         """Runs of names or numbers become one token: what lies between two of them is white space or hyphens alone, or the
         full stop of a title or initial."""
-        raw = np.flatnonzero(use)
+        use, feeds, raw = found.use, found.feeds, np.flatnonzero(found.use)
         marks = np.zeros(len(block.data) + 1, np.int64)
         np.cumsum(~use & ~SPACE[block.data] & (block.data != 45), out=marks[1:])
-        feeds = np.zeros(len(block.data) + 1, np.int64)
-        np.cumsum(block.data == 10, out=feeds[1:])
         end, begin = raw[b[:-1] - 1] + 1, raw[a[1:]]
         short = _among(self.values[:-1], _TITLES) | (b[:-1] - a[:-1] == 1)
         stop = (block.data[np.minimum(end, len(block.data) - 1)] == 46) & (marks[begin] - marks[end] == 1)
@@ -242,8 +250,9 @@ def _hits(t: Tokens, index: Index, window: int, literals: int, docs: int) -> lis
 def _both(block: Block, held: tuple[Index, Index], window: int, literals: int) -> list[dict[int, list[int]]]:
     """The items that the typed template and the plain tokens find, and those that only the looser template does."""
     exact, loose = held
-    found = _hits(Tokens(block), exact, window, literals, len(block))
-    for mine, more in zip(found, _hits(Tokens(block, True), loose, window, literals, len(block)), strict=True):
+    letters = Letters(block)
+    found = _hits(Tokens(block, False, letters), exact, window, literals, len(block))
+    for mine, more in zip(found, _hits(Tokens(block, True, letters), loose, window, literals, len(block)), strict=True):
         for item, seen in more.items():
             mine.setdefault(item, seen)
     return found
