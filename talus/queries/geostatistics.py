@@ -110,7 +110,7 @@ def _suppliers(spark, sf):
 
 @query("neff_exact", _EXACT + f", c AS (SELECT avg((1 - {_gamma_sql('h')}) * e) AS v FROM (SELECT sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS h, a.err * b.err AS e FROM p a, p b)) SELECT round(power((SELECT avg(err) FROM p), 2) / v, 4) AS n_eff FROM c")
 def _(spark, sf):
-    return spark.createDataFrame([(round(geostat.neff_exact(_suppliers(spark, sf), MODELS), 4),)], "n_eff double")
+    return spark.createDataFrame([(round(geostat.neff_all_pairs(_suppliers(spark, sf), MODELS), 4),)], "n_eff double")
 
 
 @query("neff_subsample")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.grid import Grid, from_array
-from talus.operators import align
+from talus.operators import align, geostat
+from talus.queries import geostatistics
 
 GRID = Grid(transform=(10.0, 0.0, 1000.0, 0.0, -10.0, 5000.0))
 
@@ -31,3 +32,17 @@ def test_simplex_search_takes_few_jobs(spark):
     dh = np.array([x.dh for x in align._dh(align.prepare(ref, None, 1, 42), tba, east, north).collect()])
     assert fit.report["loss"] == pytest.approx(1.4826 * np.median(np.abs(dh - np.median(dh))), rel=1e-9)
     assert fit.report["shift_z"] == pytest.approx(np.median(dh), rel=1e-9) and math.isfinite(fit.report["shift_z"])
+
+
+def test_all_pairs_of_any_number_of_points(spark, monkeypatch):
+    """More points than one side of a broadcast may have, and the same value as by the broadcast."""
+    monkeypatch.setattr(geostat, "BLOCK", 37)
+    monkeypatch.setattr(geostat, "CHUNK", 11)
+    params = [{"model": "spherical", "range": 60.0, "psill": 0.7}, {"model": "exponential", "range": 300.0, "psill": 0.3}]
+    points = spark.range(150).select(F.col("id").alias("pid"), (F.col("id") % 13 * 10.0).alias("x"), (F.col("id") * 7.0 % 90).alias("y"), (1 + F.col("id") % 5 / 10.0).alias("err"))
+    assert geostat.neff_all_pairs(points, params) == pytest.approx(geostat.neff_exact(points, params), rel=1e-12)
+    monkeypatch.setattr(geostat, "MOST", 100)
+    assert geostat.neff_all_pairs(points, params) > 0
+    # the query takes the way without a bound
+    monkeypatch.setattr(geostat, "neff_exact", None)
+    assert geostatistics.QUERIES["neff_exact"](spark, "/root/testdata/sf0.001").count() == 1
