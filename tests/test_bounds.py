@@ -46,3 +46,23 @@ def test_all_pairs_of_any_number_of_points(spark, monkeypatch):
     # the query takes the way without a bound
     monkeypatch.setattr(geostat, "neff_exact", None)
     assert geostatistics.QUERIES["neff_exact"](spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_genton_by_blocks_finds_the_rank(spark, monkeypatch):
+    """Small blocks, cells and lists, so that all passes take part; ties and outliers; in few jobs."""
+    for name, v in {"_CELLS": 64, "_BLOCK": 50, "_BUCKETS": 16, "_LISTED": 300, "_ONCE": 100}.items():
+        monkeypatch.setattr(geostat, name, v)
+    rng = np.random.default_rng(3)
+    groups = {0: rng.normal(size=400), 1: np.append(rng.normal(size=300), [1e6, -1e9]), 2: np.round(rng.normal(size=350), 1), 3: np.repeat([1.0, 2.0], [90, 10]), 4: rng.integers(0, 4, 200).astype(float)}
+    rows = [(g, float(v), abs(float(v))) for g, vs in groups.items() for v in vs]
+    spark.sparkContext.setJobGroup("genton", "genton")
+    try:
+        got = {r.run: r.exp for r in geostat._estimate(spark.createDataFrame(rows, "run int, signed double, d double"), ["run"], "genton").collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("genton"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    for g, v in groups.items():
+        d = np.sort(np.abs(v[:, None] - v)[np.triu_indices(len(v), 1)])
+        h = len(v) // 2 + 1
+        assert got[g] == pytest.approx(0.5 * (2.219 * d[h * (h - 1) // 2 - 1]) ** 2, rel=1e-9, abs=1e-18)
+    assert jobs < 40
