@@ -62,10 +62,12 @@ class BiasCorr(Method):
     def fit(self, ref, tba, grid, inlier=None) -> Correction:
         if self.how not in ("fit", "bin", "bin_and_fit"):
             raise ValueError("a correction is made by fit, bin or bin_and_fit")
-        dh = self.differences(ref, tba, grid, inlier)
-        if self.how == "fit":
-            return self._by_function(dh)
-        return self._by_bins(dh)
+        # ends and medians read the differences several times, and they may cost windows and joins
+        dh = self.differences(ref, tba, grid, inlier).select("dh", *self.names).persist()
+        try:
+            return self._by_function(dh) if self.how == "fit" else self._by_bins(dh)
+        finally:
+            dh.unpersist()
 
     def _about(self) -> dict:
         return {"how": self.how, "variables": list(self.names)}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.grid import Grid, from_array
-from talus.operators import align, geostat
+from talus.operators import align, biascorr, fitting, geostat
 from talus.queries import geostatistics
 
 GRID = Grid(transform=(10.0, 0.0, 1000.0, 0.0, -10.0, 5000.0))
@@ -66,3 +66,30 @@ def test_genton_by_blocks_finds_the_rank(spark, monkeypatch):
         h = len(v) // 2 + 1
         assert got[g] == pytest.approx(0.5 * (2.219 * d[h * (h - 1) // 2 - 1]) ** 2, rel=1e-9, abs=1e-18)
     assert jobs < 40
+
+
+def test_fits_of_all_orders_share_their_passes(spark):
+    """As many passes as for one order, and the coefficients of each order fitted alone."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, 400)
+    y = 1 + 2 * x - x**3 + rng.normal(0, 0.1, 400) + (rng.random(400) < 0.1) * 5
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double").persist()
+    powers = [F.pow("x", F.lit(k)) if k else F.lit(1.0) for k in range(5)]
+    spark.sparkContext.setJobGroup("orders", "orders")
+    try:
+        fits = fitting.nested_fits(df, powers, F.col("y"), [2, 3, 4, 5], True)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("orders"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    for k, c in zip((2, 3, 4, 5), fits, strict=True):
+        assert c == pytest.approx(fitting.linear_fit(df, powers[:k], F.col("y"), True), rel=1e-9, abs=1e-12)
+    assert jobs <= 4 * (1 + 2 * 8)
+
+
+def test_bias_by_bins_reads_its_differences_once(spark, monkeypatch):
+    seen = []
+    real = biascorr.quantiles
+    monkeypatch.setattr(biascorr, "quantiles", lambda df, *a: seen.append("InMemory" in df._jdf.queryExecution().executedPlan().toString()) or real(df, *a))
+    z = np.add.outer(np.arange(12.0) ** 2, np.arange(12.0))
+    biascorr.TerrainBias("slope", bins=3).fit(from_array(spark, z), from_array(spark, z - 1), GRID)
+    assert seen == [True]
