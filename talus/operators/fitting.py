@@ -75,24 +75,45 @@ def gram(df: DataFrame, terms: list[Column], target: Column, weight: Column | No
 
 def linear_fit(df: DataFrame, terms: list[Column], target: Column, robust: bool = False, iterations: int = 8, delta: float = 1.35) -> np.ndarray:
     """Coefficients by least squares, or with Huber's weights, which are renewed by further passes."""
+    return nested_fits(df, terms, target, [len(terms)], robust, iterations, delta)[0]
+
+
+def nested_fits(df: DataFrame, terms: list[Column], target: Column, sizes: list[int], robust: bool = False, iterations: int = 8, delta: float = 1.35) -> list[np.ndarray]:
+    """The coefficients of linear_fit for the first so many terms, for several sizes at once: one pass gives the normal equations
+    of all, and each renewal of Huber's weights takes two passes for all fits that have not settled."""
     g, b, n = gram(df, terms, target)
     if not n:
         raise ValueError("there is no valid value to fit")
-    c = np.linalg.lstsq(g, b, rcond=None)[0]
-    if robust:
-        for _ in range(iterations):
-            r = F.abs(target - sum((t * float(v) for t, v in zip(terms, c, strict=True)), F.lit(0.0)))
-            scale = df.select(r.alias("r")).where("r is not null").agg(F.percentile_approx("r", 0.5, 10000)).first()[0] * 1.4826
-            if not scale:
-                break
-            w = F.when(r <= delta * scale, 1.0).otherwise(delta * scale / r)
-            g, b, _ = gram(df, terms, target, w)
+    fits = [np.linalg.lstsq(g[:k, :k], b[:k], rcond=None)[0] for k in sizes]
+    left = list(range(len(sizes))) if robust else []
+    for _ in range(iterations):
+        if not left:
+            break
+        r = {f: F.abs(target - sum((t * float(v) for t, v in zip(terms, fits[f], strict=False)), F.lit(0.0))) for f in left}
+        medians = df.where(target.isNotNull()).agg(*(F.percentile_approx(r[f], 0.5, 10000).alias(f"r{f}") for f in left)).first()
+        left = [f for f in left if medians[f"r{f}"]]
+        if not left:
+            break
+        scales = {f: medians[f"r{f}"] * 1.4826 for f in left}
+        weights = [F.when(r[f] <= delta * scales[f], 1.0).otherwise(delta * scales[f] / r[f]) for f in left]
+        for f, (g, b) in zip(list(left), _grams(df, terms, target, weights, [sizes[f] for f in left]), strict=True):
             new = np.linalg.lstsq(g, b, rcond=None)[0]
-            done = np.allclose(new, c, rtol=1e-6, atol=1e-9)
-            c = new
-            if done:
-                break
-    return c
+            if np.allclose(new, fits[f], rtol=1e-6, atol=1e-9):
+                left.remove(f)
+            fits[f] = new
+    return fits
+
+
+def _grams(df: DataFrame, terms: list[Column], target: Column, weights: list[Column], sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Normal equations under several weights, each of the first so many terms, in one pass."""
+    rows = df.select(*(t.cast("double").alias(f"t{k}") for k, t in enumerate(terms)), target.cast("double").alias("y"), *(w.cast("double").alias(f"w{k}") for k, w in enumerate(weights))).where("y is not null")
+    sums = [F.sum(F.col(f"w{k}") * F.col(f"t{i}") * F.col(f"t{j}")).alias(f"g{k}_{i}_{j}") for k, n in enumerate(sizes) for i in range(n) for j in range(i, n)]
+    got = rows.agg(*sums, *(F.sum(F.col(f"w{k}") * F.col(f"t{i}") * F.col("y")).alias(f"b{k}_{i}") for k, n in enumerate(sizes) for i in range(n))).first()
+    out = []
+    for k, n in enumerate(sizes):
+        g = np.array([[got[f"g{k}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+        out.append((g, np.array([got[f"b{k}_{i}"] or 0.0 for i in range(n)])))
+    return out
 
 
 #: Rows from which subsets are drawn, and subsets, of the estimators by subsets.
@@ -165,8 +186,8 @@ def fit_polynomial(df: DataFrame, x: str, y: str, max_order: int = 6, loss: str
     df = df.select(x, y).dropna().persist()
     powers = [F.pow(t, F.lit(k)) if k else F.lit(1.0) for k in range(max_order + 1)]
     by_subsets = estimator in ("theil-sen", "ransac")
-    fit = (lambda p: subset_fit(df, p, F.col(y), estimator)) if by_subsets else (lambda p: linear_fit(df, p, F.col(y), estimator == "huber"))
-    fits = [fit(powers[: order + 1]) for order in range(1, max_order + 1)]
+    sizes = range(2, max_order + 2)
+    fits = [subset_fit(df, powers[:k], F.col(y), estimator) for k in sizes] if by_subsets else nested_fits(df, powers, F.col(y), list(sizes), estimator == "huber")
     cost = df.agg(*(LOSSES[loss](F.col(y), polynomial_1d(t, list(c))).alias(f"c{k}") for k, c in enumerate(fits))).first()
     df.unpersist()
     k = best_order(list(cost), margin)
