@@ -93,3 +93,21 @@ def test_bias_by_bins_reads_its_differences_once(spark, monkeypatch):
     z = np.add.outer(np.arange(12.0) ** 2, np.arange(12.0))
     biascorr.TerrainBias("slope", bins=3).fit(from_array(spark, z), from_array(spark, z - 1), GRID)
     assert seen == [True]
+
+
+def test_bounded_search_sends_points_once(spark):
+    """Points aren't copied to the cells around them; ties go to the least oid; points without any in reach are left out."""
+    rng = np.random.default_rng(8)
+    a, b = np.round(rng.uniform(-90, 90, (150, 3))), np.round(rng.uniform(-90, 90, (150, 3)))
+    a = np.append(a, [[9e3, 0, 0], [0.5, 0.5, 0.0]], axis=0)
+    b = np.append(b, [[0.0, 0.5, 0.0], [1.0, 0.5, 0.0]], axis=0)
+    points = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(a)], "pid long, x double, y double, z double")
+    others = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(b)], "oid long, ox double, oy double, oz double")
+    found = align.nearest(points, others, 10.0, reach=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
+    got = {r.pid: (r.oid, r.d2) for r in found.collect()}
+    for k, p in enumerate(a):
+        near = [o for o, q in enumerate(b) if all(abs(math.floor(p[c] / 10) - math.floor(q[c] / 10)) <= 1 for c in (0, 1))]
+        d2 = {o: ((p - b[o]) ** 2).sum() for o in near}
+        assert got.get(k) == (min((v, o) for o, v in d2.items())[::-1] if near else None)
