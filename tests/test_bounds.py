@@ -111,3 +111,19 @@ def test_bounded_search_sends_points_once(spark):
         near = [o for o, q in enumerate(b) if all(abs(math.floor(p[c] / 10) - math.floor(q[c] / 10)) <= 1 for c in (0, 1))]
         d2 = {o: ((p - b[o]) ** 2).sum() for o in near}
         assert got.get(k) == (min((v, o) for o, v in d2.items())[::-1] if near else None)
+
+
+def test_kept_others_are_not_dealt_again(spark):
+    """The same partners as by nearest(), near and far, while the others stay where they are."""
+    rng = np.random.default_rng(9)
+    a, b = np.append(rng.uniform(0, 40, (60, 3)), [[500.0, -300.0, 0.0]], axis=0), rng.uniform(0, 40, (80, 3))
+    points = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(a)], "pid long, x double, y double, z double")
+    others = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(b)], "oid long, ox double, oy double, oz double")
+    kept = align._Kept(others, 4.0)
+    try:
+        want = np.argmin(((a[:, None] - b[None]) ** 2).sum(axis=2), axis=1)
+        assert {r.pid: r.oid for r in kept.nearest(points).collect()} == dict(enumerate(want.tolist()))
+        near = points.where("pid < 60")
+        assert {r.pid: r.oid for r in kept.nearest(near).collect()} == dict(enumerate(want[:60].tolist()))
+    finally:
+        kept.release()
