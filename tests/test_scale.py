@@ -112,3 +112,29 @@ def test_texture_shading_has_a_stated_bound(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (100, 100, 2.0)], "row int, col int, z double")
     with pytest.raises(ValueError):
         terrain.texture_shading(df, most=1000)
+
+
+def test_texture_shading_is_not_one_group(spark):
+    small, large = (spark.range(n).selectExpr("int(id div 64) row", "int(id % 64) col", "hash(id) / 1e6 z") for n in (6400, 640_000))
+    assert "_all" in plan(terrain.texture_shading(small)) and "_all" not in plan(terrain.texture_shading(large))
+    void = terrain.texture_shading(large.withColumn("z", F.expr("double(null)")))
+    assert "_all" not in plan(void) and void.agg(F.count("*"), F.count("texture_shading")).first() == (640_000, 0)
+
+
+@pytest.mark.parametrize(("height", "width", "alpha", "block"), [(90, 41, 0.8, 512), (41, 90, 0.0, 512), (1030, 3, 2.0, 64), (1, 1100, 0.8, 64), (300, 290, 1.3, 40)])
+def test_texture_shading_by_blocks_equals_the_whole(spark, height, width, alpha, block):
+    rng = np.random.default_rng(height)
+    z = 1000 + 50 * rng.normal(size=(height, width))
+    z[rng.random(z.shape) < 0.1] = np.nan
+    z[height // 3 : height // 2] = np.nan
+    z[0, 0] = z[-1, -1] = 990.0
+    # cells without a height are in the table or, in a part of the lines, are not
+    there = ~np.isnan(z) | (np.arange(height) < 0.4 * height)[:, None]
+    rows, cols = np.nonzero(there)
+    pdf = pd.DataFrame({"row": rows - 7, "col": cols + 5, "z": z[rows, cols]})
+    df = spark.createDataFrame(pdf, "row int, col int, z double")
+    made = terrain.texture_shading(df, alpha, block=block)
+    assert "_all" not in plan(made) and made.dtypes == [("row", "int"), ("col", "int"), ("texture_shading", "double")]
+    got = made.orderBy("row", "col").toPandas()
+    assert got["row"].tolist() == pdf["row"].tolist() and got["col"].tolist() == pdf["col"].tolist()
+    np.testing.assert_allclose(got["texture_shading"].to_numpy(float), terrain.texture_array(z, alpha)[rows, cols], rtol=0, atol=1e-9)
