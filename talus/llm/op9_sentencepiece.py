@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-Texts get a leading space, spaces become the mark, and each text is parted where no piece can reach across (before runs of
-marks, around line feeds). The distinct parts of an Arrow batch are concatenated and indexed by a suffix array, sorted to the
-length of the longest piece; every piece is found by binary search as a range of suffixes, and each suffix in the range is an
-edge of the lattice. Edges are sorted by position and relaxed from left to right. Parts of over a
-thousand characters are relaxed alone, their edges found in windows. Models with pieces that reach across the borders of parts,
-with a normaliser or without byte fallback raise when they are loaded.
+Texts get a leading space, and each text is parted where no piece can reach across (before runs of spaces, which stand for the
+mark, around line feeds). The distinct parts of a run of texts are concatenated and indexed by a suffix array, sorted by eight
+bytes; every piece is found by binary search as a range of suffixes (what a longer piece has beyond is compared), and each suffix
+in the range is an edge of the lattice. Edges are sorted by position and relaxed from left to right. Parts of over a thousand
+bytes are relaxed alone, their edges found in windows. Models with pieces that reach across the borders of parts, with a
+normaliser or without byte fallback raise when they are loaded.
 
 ``bpe`` models: an edge extends the encoding that ends where it starts if its piece and the last piece there stay two pieces
 when they are merged alone. Each prefix has one encoding, so the first edge that fits ends the search for its end. ``unigram``
@@ -14,36 +14,60 @@ The ids equal those of the SentencePiece library for models without a normaliser
 
 Decoding joins pieces, turns marks into spaces and drops the leading space, so it returns each text, but that a mark in the
 text itself comes back as a space. Bytes that are no UTF-8 come in as U+FFFD. Null texts have null ids and null texts have null decodings; empty texts have no ids. Ids
-outside the vocabulary are an error. Parts once encoded are kept in a bounded table of the task.
+outside the vocabulary are an error. Parts once encoded are kept in bounded tables of the task.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from talus.llm.batches import add_columns, field
 from talus.llm.vocabulary import MARK, Vocabulary, load
 
-_PARTS = re.compile("\n| *[^ \n]+| +")
 #: What a piece must look like so that none crosses a border between parts.
 _WITHIN = re.compile(f"{MARK}*[^{MARK}\n]*|\n")
 _SLICE = 1 << 19
 _WINDOW = 1 << 16  # bytes of a long part whose edges are held at once
+_TEXTS = 1 << 22  # bytes of the texts that are parted at once
 _KEPT = 200_000
 _LONG = 1000
+_SLOTS, _MIX = 20, np.uint64(0x9E3779B97F4A7C15)  # places in the table of pairs: 2 ** _SLOTS
+_PAIRS = 1 << 16
+_LATE = 1 << 40
 _END = 0xFE
 _NONE, _START, _NEVER = -3, -2, float("inf")
 _STEP = np.ones(256, np.int64)
 _STEP[0xC0:0xE0], _STEP[0xE0:0xF0], _STEP[0xF0:] = 2, 3, 4
 
 
+def _spaced(piece: str) -> bytes:
+    return piece.replace(MARK, " ").encode()
+
+
+def _words(raw: bytes) -> np.ndarray:
+    """For each place but the last seven the eight bytes from there on, as a number that sorts as they do."""
+    words = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    for k in (1, 2, 4):
+        words = (words[:-k] << np.uint64(8 * k)) | words[k:]
+    return words
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of large texts or large binaries, and the offsets of its rows in them."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, kind: str | None = None):
         self.kind, self.ids = kind or vocabulary.kind, vocabulary.ids()
@@ -54,49 +78,62 @@ class Encoder:
             raise ValueError(f"pieces such as {crossing[0]!r} reach across the borders at which texts are parted")
         self.pieces, self.byte_ids, self.n = vocabulary.pieces, vocabulary.byte_ids, len(vocabulary.pieces)
         self.scores = np.array([*vocabulary.scores, min(vocabulary.scores[i] for i in vocabulary.usable) - 10])  # the last: of what is no piece
-        order = sorted(vocabulary.usable)
-        raw = [vocabulary.pieces[i].encode() for i in order]
-        width = self.width = max(map(len, raw)) + 1
-        self.found = np.array(order)
-        self.lengths = np.array([len(r) for r in raw])
-        self.low = np.array(raw, dtype=f"S{width}")
-        self.high = np.array([r.ljust(width, b"\xff") for r in raw], dtype=f"S{width}")
-        self.done: dict[str, bytes] = {}
+        # in parts a space stands for the mark, so a piece with a space of its own matches none
+        raw, self.found = zip(*sorted((_spaced(vocabulary.pieces[i]), i) for i in vocabulary.usable if " " not in vocabulary.pieces[i]), strict=True)
+        self.found, self.lengths = np.array(self.found), np.array([len(r) for r in raw])
+        self.width = max(map(len, raw))
+        self.words = -(-self.width // 8)
+        low = _words(b"".join(r.ljust(8 * self.words, b"\0") for r in raw))[::8].reshape(-1, self.words)
+        high = _words(b"".join(r.ljust(8 * self.words, b"\xff") for r in raw))[::8].reshape(-1, self.words)
+        self.low, self.high, self.rest, self.mask = low[:, 0].copy(), high[:, 0].copy(), low, ~(low ^ high)
+        self.done: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.spines: dict[int, tuple] = {}
-        self.output = [p.encode() for p in vocabulary.pieces]
+        self.merges = _Merges(self) if self.kind == "bpe" else None
+        output = [_spaced(p) for p in vocabulary.pieces]
         for value, i in enumerate(vocabulary.byte_ids):
-            self.output[i] = bytes([value])
+            output[i] = bytes([value])
+        self.output = pa.array(output, pa.large_binary())
 
     # lattice
 
     def _edges(self, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and piece of every edge in the joined parts; a code point that is no piece has an edge of piece -1."""
-        data = np.frombuffer(joined + bytes(self.width), np.uint8)
-        text = data[: len(joined)]
+        words = _words(joined + bytes([_END]) * (8 * self.words))
+        text = np.frombuffer(joined, np.uint8)
         at = np.flatnonzero(((text & 0xC0) != 0x80) & (text != _END))
-        suffixes = np.ascontiguousarray(sliding_window_view(data, self.width)[at]).view(f"S{self.width}").ravel()
-        order = np.argsort(suffixes)
-        array = suffixes[order]
-        lo, hi = np.searchsorted(array, self.low), np.searchsorted(array, self.high)
+        array = words[at]
+        order = np.argsort(array)
+        array = array[order]
+        lo, hi = np.searchsorted(array, self.low), np.searchsorted(array, self.high, "right")
         count = hi - lo
         which = np.repeat(np.arange(len(lo)), count)
-        rank = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
-        start = at[order[rank]]
-        end = start + self.lengths[which]
-        step = _STEP[text[at]]
+        rank = np.arange(len(which)) - np.repeat(np.cumsum(count) - count - lo, count)
+        start = at[order][rank]
+        lengths = self.lengths[which]
+        for k in range(1, self.words):  # suffixes are sorted by eight bytes; what longer pieces have beyond is compared
+            more = np.flatnonzero(lengths > 8 * k)
+            differ = more[(words[start[more] + 8 * k] & self.mask[which[more], k]) != self.rest[which[more], k]]
+            if len(differ):
+                keep = np.ones(len(which), bool)
+                keep[differ] = False
+                which, start, lengths = which[keep], start[keep], lengths[keep]
+        step = _STEP[text]
         single = np.zeros(len(joined), bool)
-        single[start[self.lengths[which] == _STEP[text[start]]]] = True
+        single[start[lengths == step[start]]] = True
         gap = at[~single[at]]
         return (
             np.concatenate([start, gap]),
-            np.concatenate([end, gap + step[~single[at]]]),
+            np.concatenate([start + lengths, gap + step[gap]]),
             np.concatenate([self.found[which], np.full(len(gap), -1)]),
         )
 
-    def _encode_long(self, part: str) -> None:
+    def _unknown(self, raw: bytes) -> list[int]:
+        return [self.byte_ids[v] for v in raw.replace(b" ", MARK.encode())]
+
+    def _encode_long(self, raw: bytes) -> None:
         """Relax the edges of one long part place by place; edges are found in windows, so few of them are held."""
-        raw = part.replace(" ", MARK).encode()
         last, back = np.full(len(raw) + 1, _NONE, np.int32), np.zeros(len(raw) + 1, np.int64)
         last[0] = _START
         bpe, fits, scores = self.kind == "bpe", self._fit, self.scores.tolist()
@@ -130,11 +167,11 @@ class Encoder:
             if p >= 0:
                 ids.append(p)
             else:
-                ids += [self.byte_ids[v] for v in reversed(raw[s:e])]
+                ids += reversed(self._unknown(raw[s:e]))
             e = s
-        self.done[part] = np.array(ids[::-1], "<i4").tobytes()
+        self.done[raw] = np.array(ids[::-1], "<i4").tobytes()
 
-    def _encode(self, parts: list[str]) -> None:
+    def _encode(self, parts: list[bytes]) -> None:
         """Relax the edges of all parts in step: those at the first place of every part, then those at the next, and so on;
         long parts alone, so that the others need few steps."""
         for part in parts:
@@ -143,14 +180,14 @@ class Encoder:
         parts = [p for p in parts if len(p) <= _LONG]
         if not parts:
             return
-        raw = [p.replace(" ", MARK).encode() for p in parts]
-        start, end, piece = self._edges(bytes([_END]).join(raw) + bytes([_END]))
-        sizes = np.array([len(r) for r in raw])
+        start, end, piece = self._edges(bytes([_END]).join(parts) + bytes([_END]))
+        sizes = np.array([len(p) for p in parts])
         heads = np.cumsum(np.concatenate([[0], sizes[:-1] + 1]))
-        place = start - np.repeat(heads, sizes + 1)[start]
+        size = int(sizes.sum()) + len(parts) + 1
+        places = (np.arange(size - 1) - np.repeat(heads, sizes + 1)).astype(np.uint16)  # at most _LONG; such small numbers sort by radix
+        place = places[start]
         order = np.argsort(place, kind="stable")
         start, end, piece, place = start[order], end[order], piece[order], place[order]
-        size = int(sizes.sum()) + len(raw) + 1
         last = np.full(size, _NONE)  # the piece that ends here
         back = np.zeros(size, np.int64)
         total = np.full(size, -np.inf)
@@ -159,36 +196,35 @@ class Encoder:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             s, e, p = start[a:b], end[a:b], piece[a:b]
             if self.kind == "bpe":
-                take = (last[e] == _NONE) & (last[s] != _NONE)
+                take = np.flatnonzero((last[e] == _NONE) & (last[s] != _NONE))
                 s, e, p = s[take], e[take], p[take]
-                take = self._fits(last[s], p)
+                take = self.merges.fits(last[s], p)
             else:
                 sums = total[s] + self.scores[p]
                 take = sums > total[e]
                 total[e[take]] = sums[take]
             last[e[take]], back[e[take]] = p[take], s[take]
-        found, owner, now, who = [], [], heads + sizes, np.arange(len(raw))
+        found, owner, now, who = [], [], heads + sizes, np.arange(len(parts))
         while len(now):
             live = last[now] != _START
             now, who = now[live], who[live]
             found.append(np.where(last[now] >= 0, last[now], -now - 1))
             owner.append(who)
             now = back[now]
-        level = np.repeat(np.arange(len(owner)), [len(o) for o in owner])
-        found, owner = np.concatenate(found), np.concatenate(owner)
-        order = np.lexsort((-level, owner))
-        found, bounds = found[order], np.searchsorted(owner[order], np.arange(len(raw) + 1)).tolist()
-        odd = set(owner[order][found < 0].tolist())
-        out = found.astype("<i4").tobytes()
-        for k, part in enumerate(parts):
-            if k in odd:
-                ids: list[int] = []
-                for f in found[bounds[k] : bounds[k + 1]].tolist():
-                    e = -f - 1
-                    ids += [f] if f >= 0 else [self.byte_ids[v] for v in raw[k][back[e] - heads[k] : e - heads[k]]]
-                self.done[part] = np.array(ids, "<i4").tobytes()
-            else:
-                self.done[part] = out[4 * bounds[k] : 4 * bounds[k + 1]]
+        count = np.bincount(np.concatenate(owner), minlength=len(parts))
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        ids = np.zeros(bounds[-1], np.int64)
+        for level, (f, who) in enumerate(zip(found, owner, strict=True)):  # from the end of each part
+            ids[bounds[1:][who] - 1 - level] = f
+        odd = np.unique(np.repeat(np.arange(len(parts)), count)[ids < 0]).tolist()
+        out, cuts = ids.astype("<i4").tobytes(), (4 * bounds).tolist()
+        self.done.update((part, out[a:b]) for part, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True))
+        for k in odd:
+            found = []
+            for f in ids[bounds[k] : bounds[k + 1]].tolist():
+                e = -f - 1
+                found += [f] if f >= 0 else self._unknown(parts[k][back[e] - heads[k] : e - heads[k]])
+            self.done[parts[k]] = np.array(found, "<i4").tobytes()
 
     # merges
 
@@ -241,76 +277,201 @@ class Encoder:
             known = self.pairs[key] = self._stays(before, p)
         return known
 
-    def _fits(self, before: np.ndarray, p: np.ndarray) -> np.ndarray:
-        keys, inverse = np.unique((before + 3) * (self.n + 3) + p + 3, return_inverse=True)
-        pairs, out = self.pairs, []
-        for key in keys.tolist():
-            known = pairs.get(key)
-            if known is None:
-                known = pairs[key] = self._stays(key // (self.n + 3) - 3, key % (self.n + 3) - 3)
-            out.append(known)
-        return np.array(out, bool)[inverse]
-
     # texts
 
-    def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        """For each text its ids as little-endian 32-bit integers."""
-        split = [_PARTS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+    def _parts(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each part. Of parts once encoded, two bounded tables are kept: when the newer is full it takes the place of
+        the older, and what is met again comes over, so frequent parts stay."""
         if len(self.done) > _KEPT:
-            self.done.clear()
+            self.old, self.done = self.done, {}
         if len(self.pairs) > 2 * _KEPT:
             self.pairs.clear()
-        missing, size = [], 0
-        done = self.done
-        for parts in split:
-            for part in parts:
-                if part in done:
-                    continue
-                done[part] = b""
-                missing.append(part)
-                size += len(part)
-                if size > _SLICE:
-                    self._encode(missing)
-                    missing, size = [], 0
+        done, old = self.done, self.old
+        fresh, missing, size = [part for part in distinct if part not in done], [], 0
+        for part in fresh:
+            known = old.get(part)
+            if known is not None:
+                done[part] = known
+                continue
+            missing.append(part)
+            size += len(part)
+            if size > _SLICE:
+                self._encode(missing)
+                missing, size = [], 0
         if missing:
             self._encode(missing)
-        known = self.done.__getitem__
-        out = [None if t is None else b"".join(map(known, parts)) for t, parts in zip(texts, split, strict=True)]
-        for parts in split:
-            for part in parts:
-                if len(part) > _LONG:
-                    self.done.pop(part, None)
+        out = list(map(done.__getitem__, distinct))
+        for part in fresh:
+            if len(part) > _LONG:
+                done.pop(part, None)
         return out
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts and the offsets of the rows in them; the bytes that the ids should decode to (a space, then the
+        text with its marks as spaces) and the offsets of the rows in these. Null and empty texts have none of either."""
+        plain = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), MARK, " ")
+        space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        led = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(plain), 0), nothing, space), plain, nothing)
+        data, rows = _flat(led)
+        if not len(data):
+            return np.zeros(0, "<i4"), rows, data, rows
+        # a part begins with a text, before a run of spaces, and before and after a line feed
+        blank, line = data == 0x20, data == 0x0A
+        begins = blank | line
+        begins[1:] &= ~(blank[1:] & blank[:-1])
+        begins[1:] |= line[:-1]
+        begins[rows[:-1][rows[:-1] < rows[1:]]] = True
+        begins = np.flatnonzero(begins)
+        bounds = np.append(begins, len(data))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        parts = parts.dictionary_encode()
+        found = pa.array(self._parts(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        ids, ends = _flat(found)
+        return ids.view("<i4"), ends[np.searchsorted(begins, rows)] // 4, data, rows
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        """For each text its ids as little-endian 32-bit integers."""
+        ids, at, _, _ = self.encode_column(pa.array(texts, pa.large_string()))
+        return [None if t is None else ids[a:b].tobytes() for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _decoded(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of rows of ids joined, marks of pieces as spaces, and the offsets of the rows in them."""
+        data, ends = _flat(self.output.take(pa.array(ids)))
+        return data, ends[at]
+
+    def decode_rows(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        data, rows = self._decoded(ids, at)
+        texts = (data[a:b].tobytes().decode("utf-8", "replace").replace(MARK, " ") for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True))
+        return [t.removeprefix(" ") for t in texts]
+
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.output.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_rows(ids, np.array([0, len(ids)]))[0]
+
+    def returns(self, ids: np.ndarray, at: np.ndarray, want: np.ndarray, rows: np.ndarray) -> list[bool]:
+        """Whether each row of ids decodes to the bytes wanted, which are UTF-8 without marks."""
+        data, got = self._decoded(ids, at)
+        if np.array_equal(got, rows) and np.array_equal(data, want):
+            return [True] * (len(rows) - 1)
+        texts = [want[a:b].tobytes().decode().removeprefix(" ") for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+        return [a == b for a, b in zip(self.decode_rows(ids, at), texts, strict=True)]
+
+
+class _Merges:
+    """Encoder._stays for arrays of pairs. What is known of pairs is held in a table with one place for each hash."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.n = encoder, encoder.n
+        self.symbols = dict(encoder.ids)  # pieces and, from n on, code points that are none
+        _, order = np.unique(-encoder.scores[:-1], return_inverse=True)
+        self.order = {float(-x): int(r) for x, r in zip(encoder.scores, order, strict=False)}
+        keys, ranks = [], []
+        for piece, i in encoder.ids.items():
+            for k in range(1, len(piece)):
+                x, y = self._symbol(piece[:k]), self._symbol(piece[k:])
+                if x is not None and y is not None:
+                    keys.append(x << 32 | y)
+                    ranks.append(order[i])
+        by = np.argsort(np.array(keys, np.int64))
+        self.keys, self.ranks = np.append(np.array(keys, np.int64)[by], -1), np.append(np.array(ranks, np.int64)[by], 0)
+        # of each piece whether it is whole (-1: not looked at yet), and where its left and right symbols are listed
+        self.whole = np.full(self.n, -1, np.int8)
+        self.at, self.sizes = np.zeros((2, self.n), np.int64), np.zeros((2, self.n), np.int64)
+        self.listed, self.used = np.zeros((3, 1024), np.int64), 0  # symbol, rank when it comes, rank when it goes
+        self.slots, self.values = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, bool)
+
+    def _symbol(self, text: str) -> int | None:
+        got = self.symbols.get(text)
+        if got is None and len(text) == 1:
+            got = self.symbols[text] = self.n + len(self.symbols)
+        return got
+
+    def _rank(self, rank: float) -> int:
+        return -1 if rank == -1 else _LATE if rank == _NEVER else self.order[rank]
+
+    def _list(self, pieces: np.ndarray) -> None:
+        for p in pieces[self.whole[pieces] < 0].tolist():
+            if self.whole[p] >= 0:
+                continue
+            whole, *edges = self.encoder._spines(p)
+            for side, edge in enumerate(edges):
+                if self.used + len(edge) > self.listed.shape[1]:
+                    self.listed = np.concatenate([self.listed, np.zeros((3, max(len(edge), self.listed.shape[1])), np.int64)], axis=1)
+                for x, made, gone in edge:
+                    self.listed[:, self.used] = self._symbol(x), self._rank(made), self._rank(gone)
+                    self.used += 1
+                self.at[side, p], self.sizes[side, p] = self.used - len(edge), len(edge)
+            self.whole[p] = whole
+
+    def stays(self, before: np.ndarray, p: np.ndarray) -> np.ndarray:
+        out = np.ones(len(p), bool)
+        known = np.flatnonzero(p >= 0)
+        self._list(p[known])
+        out[known] = self.whole[p[known]] == 1
+        known = np.flatnonzero(out & (p >= 0) & (before >= 0))
+        before, p = before[known], p[known]
+        self._list(before)
+        lefts = self.sizes[0, p]
+        count = self.sizes[1, before] * lefts
+        pair = np.repeat(np.arange(len(p)), count)
+        i, j = np.divmod(np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count), lefts[pair])
+        x, made, gone = self.listed[:, self.at[1, before][pair] + i]
+        y, made_too, gone_too = self.listed[:, self.at[0, p][pair] + j]
+        key = x << 32 | y
+        place = np.searchsorted(self.keys[:-1], key)
+        time = np.maximum(self.ranks[place], np.maximum(made, made_too))
+        falls = (self.keys[place] == key) & (time < gone) & (time <= gone_too)
+        out[known[pair[falls]]] = False
+        return out
+
+    def fits(self, before: np.ndarray, p: np.ndarray) -> np.ndarray:
+        keys = (before + 3) * (self.n + 3) + p + 3
+        slot = ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        out, unknown = self.values[slot], np.flatnonzero(self.slots[slot] != keys)
+        if len(unknown):
+            _, first, inverse = np.unique(keys[unknown], return_index=True, return_inverse=True)
+            first = unknown[first]
+            for k in range(0, len(first), _PAIRS):
+                now = first[k : k + _PAIRS]
+                out[now] = self.stays(before[now], p[now])
+            out[unknown] = out[first][inverse]
+            _, one = np.unique(slot[first], return_index=True)  # one key for each place
+            self.slots[slot[first[one]]], self.values[slot[first[one]]] = keys[first[one]], out[first[one]]
+        return out
 
 
-_KNOWN: dict[tuple, tuple[dict, dict]] = {}
+_KNOWN: dict[tuple, tuple] = {}
 
 
-def _encoder(vocabulary: Vocabulary, kind: str) -> Encoder:
-    """An encoder for a task; what is known about pairs of pieces (a bounded table) is shared by the tasks of a worker."""
-    encoder, key = Encoder(vocabulary, kind), (hash(vocabulary.pieces), kind)
+def _encoder(vocabulary: Vocabulary, kind: str | None) -> Encoder:
+    """An encoder for a task; its index of pieces and what is known about pairs (a bounded table) are shared by the tasks of a
+    worker, and what is known of parts is not."""
+    key = (hash(vocabulary.pieces), hash(vocabulary.scores), kind or vocabulary.kind)
     if key not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[key] = encoder.pairs, encoder.spines
-    encoder.pairs, encoder.spines = _KNOWN[key]
+        _KNOWN[key] = Encoder(vocabulary, kind)
+    encoder = copy.copy(_KNOWN[key])
+    encoder.done, encoder.old = {}, {}
     return encoder
 
 
-def _strings(column: pa.Array) -> list[str | None]:
+def _valid(column: pa.Array) -> pa.Array:
+    """The column, its bytes that are no UTF-8 as U+FFFD."""
     try:
-        return column.to_pylist()
-    except UnicodeDecodeError:
+        column.validate(full=True)
+        return column
+    except pa.ArrowInvalid:
         raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-        return [None if r is None else r.decode("utf-8", "replace") for r in raw]
+        return pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw], pa.large_string())
 
 
-def _in_slices(column: pa.Array, rows: int = 500):
-    for k in range(0, len(column), rows):
-        yield _strings(column.slice(k, rows))
+def _in_slices(column: pa.Array):
+    """Runs of rows of about _TEXTS bytes together, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _TEXTS, "right")))
+        yield _valid(column.slice(a, b - a))
+        a = b
 
 
 def encode(docs: DataFrame, model_file: str, kind: str | None = None, drop: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
@@ -321,13 +482,18 @@ def encode(docs: DataFrame, model_file: str, kind: str | None = None, drop: tupl
         encoder = _encoder(held.value, kind)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            raw = [r for part in _in_slices(batch.column("text")) for r in encoder.encode(part)]
-            values = np.frombuffer(b"".join(r for r in raw if r), "<i4")
-            offsets = np.concatenate([[0], np.cumsum([len(r or b"") // 4 for r in raw])]).astype(np.int32)
-            null = np.array([r is None for r in raw])
-            out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(null))]
+            column, values, sizes, back = batch.column("text"), [], [[0]], []
+            for part in _in_slices(column):
+                ids, at, _, _ = encoder.encode_column(part)
+                values.append(ids)
+                sizes.append(np.diff(at))
+                if decoded:
+                    back += encoder.decode_rows(ids, at)
+            null = column.is_null()
+            offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+            out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), pa.int32()), mask=null)]
             if decoded:
-                out.append(pa.array([None if r is None else encoder.decode(np.frombuffer(r, "<i4")) for r in raw], pa.string()))
+                out.append(pc.if_else(null, None, pa.array(back, pa.string())))
             return out
 
         return compute
@@ -363,13 +529,14 @@ def digest(docs: DataFrame, model_file: str, kind: str | None = None, drop: tupl
         encoder = _encoder(held.value, kind)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            n, sha, back = [], [], []
-            for part in _in_slices(batch.column("text")):
-                for text, raw in zip(part, encoder.encode(part), strict=True):
-                    n.append(None if raw is None else len(raw) // 4)
-                    sha.append(None if raw is None else hashlib.sha256(raw).hexdigest())
-                    back.append(None if raw is None else encoder.decode(np.frombuffer(raw, "<i4")) == text.replace(MARK, " "))
-            return [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.bool_())]
+            column, n, sha, back = batch.column("text"), [], [], []
+            for part in _in_slices(column):
+                ids, at, want, rows = encoder.encode_column(part)
+                n += np.diff(at).tolist()
+                sha += [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                back += encoder.returns(ids, at, want, rows)
+            null = column.is_null()
+            return [pc.if_else(null, None, pa.array(v, t)) for v, t in ((n, pa.int64()), (sha, pa.string()), (back, pa.bool_()))]
 
         return compute
 

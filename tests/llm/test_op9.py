@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import table, texts
 
@@ -112,3 +113,65 @@ def test_models_that_break_an_assumption_raise():
             op9.Encoder(odd)
     with pytest.raises(ValueError):
         op9.Encoder(v, "word")
+
+
+def test_cost_is_near_that_of_the_library(spark, library):
+    import time
+
+    rows = [text for _, text in texts(spark, "/root/testdata/sf0.01") if text]
+    v, first = load(default_model()), [text for _, text in texts(spark)]
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    def ours(e):
+        for k in range(0, len(rows), 500):
+            for raw, text in zip(e.encode(rows[k : k + 500]), rows[k : k + 500], strict=True):
+                assert e.decode(np.frombuffer(raw, "<i4")) == text.replace(MARK, " ")
+
+    ratios = []
+    for _ in range(3):  # the least of them, as other work on the machine disturbs
+        e = op9.Encoder(v)
+        e.encode(first)
+        ratios.append(seconds(lambda e=e: ours(e)) / seconds(lambda: library.encode(rows, num_threads=1)))
+    assert min(ratios) < 1.6
+
+
+def test_frequent_parts_stay_known(monkeypatch):
+    monkeypatch.setattr(op9, "_KEPT", 5)
+    e, seen = op9.Encoder(load(default_model())), []
+    work = e._encode
+    monkeypatch.setattr(e, "_encode", lambda parts: (seen.extend(parts), work(parts)))
+    for k in range(20):
+        e.encode([f"often {k}a {k}b {k}c"])
+        assert len(e.done) + len(getattr(e, "old", ())) < 20
+    assert len([p for p in seen if p in (" often", b" often")]) == 1
+
+
+def test_pairs_in_arrays_fit_as_single_ones():
+    v = load(default_model())
+    e, rng = op9.Encoder(v), np.random.default_rng(7)
+    ids = np.array(sorted(v.usable))
+    before, after = rng.choice(np.concatenate([ids[:2000], [-2, -1]]), 6000), rng.choice(np.concatenate([ids[:2000], [-1]]), 6000)
+    want = [e._stays(b, p) for b, p in zip(before.tolist(), after.tolist(), strict=True)]
+    assert 0 < sum(want) < len(want)
+    for _ in range(2):  # the second time from the table
+        assert e.merges.fits(before, after).tolist() == want
+
+
+def test_parts_and_decoded_bytes_of_odd_texts(spark, library):
+    # long pieces, pieces beyond eight bytes, bytes of no piece, spaces and line feeds at every border, slices of an array
+    rows = ["", None, " ", "\n", "  \n  a\n\n b ", "a\x00b", "internationalization", " " * 40 + "x", "-" * 999, "\U0001f600é", MARK, f"{MARK}{MARK}x {MARK}"]
+    column = pa.array(["skipped", *rows], pa.string()).slice(1)
+    e = op9.Encoder(load(default_model()))
+    ids, at, want, bounds = e.encode_column(column)
+    for k, text in enumerate(rows):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(text or "")
+    assert e.returns(ids, at, want, bounds) == [True] * len(rows)
+    wrong = ids.copy()
+    wrong[at[4]] = wrong[at[6]]
+    assert e.returns(wrong, at, want, bounds) == [k != 4 for k in range(len(rows))]
+    got = op9.encode(table(spark, list(enumerate(rows)), "doc_id long, text string"), default_model(), decoded=True).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [None if t is None else t.replace(MARK, " ") for t in rows]
